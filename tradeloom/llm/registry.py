@@ -1,7 +1,7 @@
 """All queries of the subpackage."""
 
-from . import chat_format, line_dedup, packing, quality_rules
+from . import chat_format, line_dedup, near_dedup, packing, quality_rules
 
-_MODULES = (quality_rules, line_dedup, packing, chat_format)
+_MODULES = (quality_rules, line_dedup, packing, near_dedup, chat_format)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -1,7 +1,7 @@
 """All queries of the subpackage."""
 
-from . import chat_format, line_dedup, near_dedup, packing, quality_rules
+from . import chat_format, html_text, line_dedup, near_dedup, packing, quality_rules, suffix_dedup
 
-_MODULES = (quality_rules, line_dedup, packing, near_dedup, chat_format)
+_MODULES = (quality_rules, line_dedup, packing, near_dedup, chat_format, suffix_dedup, html_text)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

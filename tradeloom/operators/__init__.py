@@ -1 +1 @@
-
+"""Joins, checks and reports over extracted documents."""

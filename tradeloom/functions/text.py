@@ -18,6 +18,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once per row and not once per use in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")

@@ -95,7 +95,10 @@ def sentence_ids(text: str | None) -> list[str]:
                 i += k
                 break
         else:
-            out += [f"spdx:{x}" for x in _SPDX.findall(pieces[i][0])]
+            # The name may stand in the next piece, as a colon ends one.
+            here = pieces[i][0]
+            near = f"{here} {pieces[i + 1][0]}" if i + 1 < len(pieces) else here
+            out += [f"spdx:{m[1].rstrip('.')}" for m in _SPDX.finditer(near) if m.start() < len(here)]
             i += 1
     return out
 

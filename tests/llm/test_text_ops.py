@@ -175,7 +175,7 @@ def test_toxicity(spark, docs, no_docs):
     import random
 
     r = random.Random(2)
-    rows = [(i, " ".join([*(r.choice("alpha beta gamma delta eps zeta eta".split()) for _ in range(30)), *(["vile", "foulness"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(400)]
+    rows = [(i, " ".join([*("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(100)), *(["vile", "foulness"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(400)]
     train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(train.select("doc_id", "text"), train.where("doc_id < 300").select("doc_id", "toxic"))
     got = {x["doc_id"]: x["score"] for x in toxicity.score(train, model).collect()}

@@ -8,8 +8,8 @@ negative amount. Score, on all rows: the linear-time scan of Ruzzo and Tompa
 finds every maximal scoring segment; a segment of score S among n words has the
 extreme-value significance lambda * S - ln(K n) with K = 1 as its bound and
 lambda solved on the clean frequencies. A logistic function, fitted to the same
-sample, turns the best segment, the evidence over all significant segments and
-the length into a probability.
+sample, turns the best segment and the evidence over all significant
+segments into a probability.
 
 Edge cases: a null or empty text has no words and gets the probability of no
 evidence; very long texts are taken whole; repeated rows are scored each; with
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 FIT_ROWS, LEXICON = 20_000, 20_000
-PRIOR, LEAST, DEVIATIONS, ODDS, DRIFT = 500.0, 0.5, 4.0, 4.0, 0.25
+PRIOR, LEAST, DEVIATIONS, ODDS, DRIFT = 200.0, 0.5, 3.0, 3.5, 0.25
 PREFIXES = range(4, 9)
 SIGNIFICANT = 3.0  # natural logarithm of the inverse chance
 MEMORY = 500_000
@@ -92,7 +92,7 @@ class Scorer:
         size = math.log(max(n, 1))
         e = [self.scale * s - size for _, _, s in found]
         best = self.scale * max((s for _, _, s in found), default=0.0)
-        return [best, max(e, default=-size), sum(x for x in e if x >= SIGNIFICANT), float(bool(found)), size]
+        return [best, max(e, default=0.0), sum(x for x in e if x >= SIGNIFICANT), float(bool(found))]
 
 
 def _scale(p0: list[float], s: list[float], other: float) -> float:

@@ -4,9 +4,9 @@ Document frequencies of all words of all documents are counted under hashed
 buckets. Benchmark items, in blocks of `BLOCK`, give TF-IDF matrices; their
 randomised singular value decomposition, made on the executors, is the latent
 space of the block (as many dimensions as items, so it spans them). Every
-document is read in overlapping windows. A window whose weight lies too little
-on the block's words can't reach the cosine (Cauchy-Schwarz) and is passed over;
-the others are projected, and windows close to an item are candidates. The
+document is read in overlapping windows. A window that can't reach the cosine is
+passed over - its weight lies too little on the block's words (Cauchy-Schwarz),
+or the most that its words add to any item is too small; the others are projected, and windows close to an item are candidates. The
 candidate stretch is then compared with the whole item by longest common
 subsequence of words, and the item's answer - its last sentence - by its own.
 A pair is a leak if the common subsequence has LCS of the item, or LCS_ANSWER of
@@ -32,40 +32,84 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import materialize, table
 
 BUCKETS, BLOCK, PASS, OVER = 1 << 16, 128, 8, 16
 WINDOW, STRIDE, COSINE = 40, 10, 0.4
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.6
-MEMORY = 500_000
-_WORD = re.compile(WORD)
+MEMORY = 1_200_000
+#: Words that are searched at a time.
+PART = 100_000
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»¿¡…–—"
 
 
 def normal(text: str | None) -> list[str]:
     """Lower-cased words without punctuation at their ends."""
-    return [w for x in _WORD.findall((text or "").lower()) if (w := x.strip(_EDGE))]
+    return [w for x in (text or "").lower().split() if (w := x.strip(_EDGE))]
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class Codes(dict):
+    """Raw word -> number; hashes has the hash of its normal form by number, 0 where it has none.
+
+    One is kept per Python worker, so that later tasks know the words; at most
+    MEMORY words are kept from one part of a batch to the next.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+        x = word.strip(_EDGE)
+        self.hashes[n] = (_hash(x) or 1) if x else 0
+        return n
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def trim(self) -> bool:
+        """Begin anew if there are too many; numbers given before are void then."""
+        if len(self) > MEMORY:
+            self.clear()
+            return True
+        return False
+
+
+_codes = Codes()
+
+
+def worker_codes() -> Codes:
+    """Those of this Python worker. A function that is sent to it must ask here: it would carry its own copy of a global."""
+    return _codes
 
 
 def _bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
+    return (_hash(word) or 1) % BUCKETS
 
 
 def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts with words, and per bucket how many have a word in it. BUCKETS rows go to the driver."""
 
     def run(batches):
-        known: dict[str, int] = {}
-        sums, n = np.zeros(BUCKETS, np.int64), 0
+        codes, sums, n = worker_codes(), np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             for text in b["text"]:
-                words = set(normal(text))
-                if words:
-                    if len(known) > MEMORY:
-                        known.clear()
-                    got = {known[w] if w in known else known.setdefault(w, _bucket(w)) for w in words}
-                    sums[np.fromiter(got, np.int64, len(got))] += 1
-                    n += 1
+                codes.trim()
+                words = set((text or "").lower().split())
+                code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+                h = codes.hashes[code]
+                h = h[h > 0]
+                # A bucket that words share is raised once: this is assignment, not accumulation.
+                sums[(h % np.uint64(BUCKETS)).astype(np.int64)] += 1
+                n += bool(len(h))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"b": [-1, *at], "n": [n, *sums[at]]})
 
@@ -139,20 +183,35 @@ class _Block:
         self.ids = list(row["ids"])
         self.words = [normal(t) for t in row["texts"]]
         self.answers = [answer(t) for t in row["texts"]]
-        self.vocab = {w: i for i, w in enumerate(row["words"])}
+        self.hashes = np.array([_hash(w) or 1 for w in row["words"]], np.uint64)
+        self.order = np.argsort(self.hashes)
         items = np.frombuffer(row["items"], "<f4").reshape(len(self.ids), row["rank"])
         self.items = items
         self.space = np.ascontiguousarray(np.frombuffer(row["space"], "<f4").reshape(row["rank"], -1).T)
         weight = np.array([idf[_bucket(w)] for w in row["words"]], np.float32)
+        # The most that a word can add to the product of a window with any item.
+        self.most = np.zeros(len(weight) + 1)
         if len(weight):
+            self.most[:-1] = np.maximum((items @ self.space.T).max(axis=0), 0) * weight
             self.space = self.space * weight[:, None]
 
 
-def _windows(n: int, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    first = np.arange(0, max(n - size, 0) + 1, stride)
-    if first[-1] + size < n:
-        first = np.append(first, n - size)
-    return first, np.minimum(first + size, n)
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Word numbers of the block by hash, -1 for other words."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = self.order[np.minimum(np.searchsorted(self.hashes, h, sorter=self.order), len(self.hashes) - 1)]
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+def _windows(lengths: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, end) of windows over documents that stand one after the other; the last window ends at the end."""
+    many = np.where(lengths > 0, np.maximum(-(-(lengths - size) // stride), 0) + 1, 0)
+    doc = np.repeat(np.arange(len(lengths)), many)
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    first = np.minimum(step * stride, np.maximum(lengths[doc] - size, 0))
+    begin = (np.cumsum(lengths) - lengths)[doc]
+    return doc, begin + first, begin + np.minimum(first + size, lengths[doc])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, cosine: float = COSINE) -> DataFrame:
@@ -176,46 +235,59 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stri
 def _search(rows, idf, window, stride, cosine, kinds):
     def run(batches):
         blocks = [_Block(r, idf) for r in rows]
-        codes: dict[str, int] = {}
-        weight, numbers = np.zeros(1 << 12), np.zeros((len(blocks), 1 << 12), np.int64)
+        names = [c.split()[0] for c in kinds.split(", ")]
+        # By word number: squared weight (negative: no word), number in each block.
+        codes = worker_codes()
+        known, weight, numbers = 0, np.empty(0), [np.empty(0, np.int64) for _ in blocks]
         for b in batches:
-            found = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                words = normal(text)
-                if not words:
-                    continue
-                if len(codes) > MEMORY:
-                    codes.clear()
-                for w in set(words).difference(codes):
-                    c = codes[w] = len(codes)
-                    if c == len(weight):
-                        weight, numbers = np.resize(weight, 2 * c), np.column_stack((numbers, numbers))
-                    weight[c] = float(idf[_bucket(w)]) ** 2
-                    numbers[:, c] = [k.vocab.get(w, -1) for k in blocks]
-                found += _one(doc, words, np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), weight, numbers, blocks, window, stride, cosine)
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in kinds.split(", ")])
+            ids, texts, at = b["doc_id"].to_numpy(), b["text"].to_numpy(), 0
+            while at < len(ids):
+                if codes.trim():
+                    known, weight, numbers = 0, weight[:0], [x[:0] for x in numbers]
+                took, held = [], 0
+                while at < len(ids) and held < PART:
+                    c = codes.of(texts[at])
+                    took.append((at, c[codes.hashes[c] > 0]))
+                    held += len(c)
+                    at += 1
+                if len(codes) > known:
+                    h = codes.hashes[known : len(codes)]
+                    weight = np.concatenate((weight, idf[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(float) ** 2))
+                    numbers = [np.concatenate((x, k.numbers(h))) for x, k in zip(numbers, blocks, strict=True)]
+                    known = len(codes)
+                found = list(_part(ids, texts, took, weight, numbers, blocks, window, stride, cosine))
+                if found:
+                    yield pd.DataFrame(found, columns=names)
 
     return run
 
 
-def _one(doc, words, code, weight, numbers, blocks, window, stride, cosine):
+def _part(ids, texts, took, weight, numbers, blocks, window, stride, cosine):
+    """The leaks of some documents: all their windows at once, then the candidates one by one."""
+    code = np.concatenate([c for _, c in took])
+    lengths = np.array([len(c) for _, c in took])
+    begin = np.cumsum(lengths) - lengths
+    doc, first, end = _windows(lengths, window, stride)
     mass = weight[code]
     total = np.concatenate(([0.0], np.cumsum(mass)))
-    first, last = _windows(len(words), window, stride)
-    whole = total[last] - total[first]
+    norm = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
     for k, number in zip(blocks, numbers, strict=True):
         v = number[code]
-        part = np.concatenate(([0.0], np.cumsum(np.where(v >= 0, mass, 0.0))))
-        part = part[last] - part[first]
-        near: dict[int, list[tuple[int, int, float]]] = {}
-        for j in np.flatnonzero(part >= cosine * cosine * whole):
-            s, e = first[j], last[j]
-            inside = v[s:e]
-            p = k.space[inside[inside >= 0]].sum(axis=0)
-            cos = k.items @ p / math.sqrt(max(whole[j], 1e-12))
+        held = np.concatenate(([0.0], np.cumsum(np.where(v >= 0, mass, 0.0))))
+        most = np.concatenate(([0.0], np.cumsum(k.most[v])))
+        slack = 1e-6
+        may = (held[end] - held[first] >= (cosine * norm) ** 2 - slack) & (most[end] - most[first] >= cosine * norm - slack)
+        near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        for j in np.flatnonzero(may):
+            inside = v[first[j] : end[j]]
+            cos = k.items @ k.space[inside[inside >= 0]].sum(axis=0) / norm[j]
             for i in np.flatnonzero(cos >= cosine):
-                near.setdefault(int(i), []).append((int(s), int(e), float(cos[i])))
-        for i, at in near.items():
+                s = begin[doc[j]]
+                near.setdefault((int(doc[j]), int(i)), []).append((int(first[j] - s), int(end[j] - s), float(cos[i])))
+        words: dict[int, list[str]] = {}
+        for (d, i), at in near.items():
+            if d not in words:
+                words = {d: normal(texts[took[d][0]])}
             item, best = k.words[i], None
             runs: list[list] = []
             for s, e, c in at:
@@ -225,13 +297,12 @@ def _one(doc, words, code, weight, numbers, blocks, window, stride, cosine):
                     runs.append([s, e, c])
             for s, e, c in runs:
                 # A window reaches an item's ends only in part; widen by what may stand outside.
-                s, e = max(0, s - stride), min(len(words), e + stride)
-                part_ = words[s:e]
-                got = lcs(item, part_) / len(item)
-                ans = k.answers[i]
-                hit = lcs(ans, part_) / len(ans) if ans else 0.0
+                s, e = max(0, s - stride), min(len(words[d]), e + stride)
+                part = words[d][s:e]
+                got, said = lcs(item, part) / len(item), k.answers[i]
+                hit = lcs(said, part) / len(said) if said else 0.0
                 if (got >= LCS or got >= LCS_ANSWER and hit >= ANSWER) and (best is None or got > best[3]):
-                    best = (doc, k.ids[i], c, got, hit, s, e)
+                    best = (ids[took[d][0]], k.ids[i], c, got, hit, s, e)
             if best:
                 yield best
 

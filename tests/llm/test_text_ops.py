@@ -101,6 +101,30 @@ def test_units_are_the_tokenizer(text):
     assert np.frombuffer(packing.units().ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|>x", "<|endoftext", "<<|endoftext|>|>", "<|ENDOFTEXT|>"]
+
+
+def test_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), with_ids=True).collect()
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(ADDED)}
+    assert {r["doc_id"]: r["ids"] for r in rows} == want and 50256 in want[1] and 50256 not in want[3]
+    assert all(r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(want[r["doc_id"]], "<u4").tobytes()) for r in rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "\t", "a", "b1", "é", "'s", "endoftext"]), max_size=12))
+def test_units_with_added_tokens(parts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, text = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "".join(parts)
+    assert np.frombuffer(packing.units().ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "a\\b\\\\<\\|im_end|>", "<|im_end|>\n<|im_start|>", "\\", "<s>\\<<SYS>>", "", None, "<|im_sep|>" * 3]
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(nasty)] + [(2, None, None, "x"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y")]

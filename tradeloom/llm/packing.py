@@ -13,7 +13,8 @@ so that a length of very many copies is spread over tasks.
 Ids are those that the tokenizers library gives for the same vocabulary: units
 between white space do not influence each other, so their ids are remembered (a
 bounded number of them); a unit not yet seen is encoded by tiktoken's ranks of
-that vocabulary. Strings of special tokens in a text are ordinary text.
+that vocabulary. A text is first split at the added tokens of the vocabulary's
+JSON (<|endoftext|>), whose ids stand as they are, as in the library.
 
 Edge cases: null or empty text: the end id alone; very long texts: several
 pieces; repeated rows are packed each; an empty table: no rows; other columns
@@ -23,6 +24,8 @@ are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 
@@ -51,6 +54,9 @@ class Units(dict):
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.added = _added(os.path.splitext(ranks_path)[0] + ".json")
+        # Longest first, as the library takes the longest that begins at a place.
+        self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.encode = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, unit: str) -> bytes:
@@ -60,7 +66,24 @@ class Units(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _UNIT.findall(text)))
+        parts = self.split(text) if self.split else [text]
+        if len(parts) == 1:
+            return b"".join(map(self.__getitem__, _UNIT.findall(text)))
+        return b"".join(self.added[x] if k % 2 else b"".join(map(self.__getitem__, _UNIT.findall(x))) for k, x in enumerate(parts))
+
+
+def _added(path: str) -> dict[str, bytes]:
+    """Added tokens of a vocabulary's JSON and their ids; none where it has no JSON."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    # That list alone: the vocabulary is many times as large.
+    at = re.search(r'"added_tokens"\s*:\s*(?=\[)', text)
+    found = json.JSONDecoder().raw_decode(text, at.end())[0] if at else []
+    if odd := [x["content"] for x in found if x["single_word"] or x["lstrip"] or x["rstrip"]]:
+        raise ValueError(f"{path}: added tokens that take or need what stands beside them: {odd}")
+    return {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in found}
 
 
 _units: dict[str, Units] = {}

@@ -239,6 +239,27 @@ def test_leaks(spark, docs, texts, no_docs):
     assert decontaminate.find_leaks(no_docs, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_every_length(spark):
+    """Items of 5 to 400 words, verbatim and with 60 % of their words kept in order, in long texts."""
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    # Fillers and items share no words, so that idf is alike; an item is one sentence, so 0.6 of it is 0.6 of the answer.
+    items = {n: [word() for _ in range(n)] for n in (5, 6, 15, 40, 100, 250, 300, 400)}
+    fill = lambda n: [word() for _ in range(n)]
+    loose = lambda t: [w if i % 5 in (0, 2, 4) else word() for i, w in enumerate(t)]
+    docs, want = [], set()
+    for n, t in items.items():
+        for k, body in enumerate((t, loose(t))):
+            docs.append((10 * n + k, " ".join(fill(150) + body + fill(150))))
+            want.add((10 * n + k, n))
+    docs += [(10 * n + 5, " ".join(fill(150) + [w if i % 2 else word() for i, w in enumerate(t)] + fill(150))) for n, t in items.items()]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
 def test_svd():
     a = np.random.default_rng(1).random((20, 60))
     left, right = decontaminate.randomised_svd(a, 20)

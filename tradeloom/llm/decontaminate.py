@@ -6,8 +6,14 @@ randomised singular value decomposition, made on the executors, is the latent
 space of the block (as many dimensions as items, so it spans them). Every
 document is read in overlapping windows. A window that can't reach the cosine is
 passed over - its weight lies too little on the block's words (Cauchy-Schwarz),
-or the most that its words add to any item is too small; the others are projected, and windows close to an item are candidates. The
-candidate stretch is then compared with the whole item by longest common
+or the most that its words add to any item is too small; the others are projected, and windows close to an item are candidates.
+
+A fixed window and cosine miss items much longer or shorter than the window, so
+candidates are also found by a bound that follows from the LCS rule: of an item
+of n words no more than n - t may be unmatched, t being the least count that the
+rule accepts, so of its n - t + r rarest words r at least stand in the stretch.
+Every stretch of up to `reach(n)` words that keeps the LCS rule is found so,
+whatever the item's length. A candidate stretch is then compared with the whole item by longest common
 subsequence of words, and the item's answer - its last sentence - by its own.
 A pair is a leak if the common subsequence has LCS of the item, or LCS_ANSWER of
 it and ANSWER of the answer.
@@ -38,6 +44,8 @@ BUCKETS, BLOCK, PASS, OVER = 1 << 16, 128, 8, 16
 WINDOW, STRIDE, COSINE = 40, 10, 0.4
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.6
 MEMORY = 1_200_000
+#: Of an item's n words, 1 + n // RARE more than the rule needs are indexed, so that as many must be found.
+RARE = 10
 #: Words that are searched at a time.
 PART = 100_000
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»¿¡…–—"
@@ -178,6 +186,16 @@ def answer(text: str | None) -> list[str]:
     return []
 
 
+def least(n: int) -> int:
+    """The least common subsequence that can be a leak of an item of n words."""
+    return max(1, math.ceil(min(LCS, LCS_ANSWER) * n - 1e-9))
+
+
+def reach(n: int) -> int:
+    """Words of the longest stretch that is held against an item of n words for sure."""
+    return n + max(STRIDE, n // 2)
+
+
 class _Block:
     def __init__(self, row, idf):
         self.ids = list(row["ids"])
@@ -194,7 +212,20 @@ class _Block:
         if len(weight):
             self.most[:-1] = np.maximum((items @ self.space.T).max(axis=0), 0) * weight
             self.space = self.space * weight[:, None]
-
+        number = {w: j for j, w in enumerate(row["words"])}
+        self.inside = [np.unique([number[w] for w in t]).astype(np.int64) for t in self.words]
+        self.least = np.array([least(len(t)) for t in self.words])
+        self.reach = np.array([reach(len(t)) for t in self.words])
+        self.need = np.array([min(least(len(t)), 1 + len(t) // RARE) for t in self.words])
+        # Items by word, for the rarest words of each item.
+        of: list[list[int]] = [[] for _ in row["words"]]
+        for i, t in enumerate(self.words):
+            rarest = sorted((number[w] for w in t), key=lambda j: (-weight[j], j))
+            for j in set(rarest[: len(t) - self.least[i] + self.need[i]]):
+                of[j].append(i)
+        self.many = np.array([*map(len, of), 0])
+        self.start = np.cumsum(self.many) - self.many
+        self.rare = np.array([i for x in of for i in x], np.int64)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Word numbers of the block by hash, -1 for other words."""
@@ -270,6 +301,7 @@ def _part(ids, texts, took, weight, numbers, blocks, window, stride, cosine):
     doc, first, end = _windows(lengths, window, stride)
     mass = weight[code]
     total = np.concatenate(([0.0], np.cumsum(mass)))
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     norm = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
     for k, number in zip(blocks, numbers, strict=True):
         v = number[code]
@@ -284,20 +316,24 @@ def _part(ids, texts, took, weight, numbers, blocks, window, stride, cosine):
             for i in np.flatnonzero(cos >= cosine):
                 s = begin[doc[j]]
                 near.setdefault((int(doc[j]), int(i)), []).append((int(first[j] - s), int(end[j] - s), float(cos[i])))
+        spans = _spans(v, owner, begin, lengths, k)
         words: dict[int, list[str]] = {}
-        for (d, i), at in near.items():
+        for d, i in sorted(near.keys() | spans.keys()):
             if d not in words:
                 words = {d: normal(texts[took[d][0]])}
             item, best = k.words[i], None
             runs: list[list] = []
-            for s, e, c in at:
+            for s, e, c in near.get((d, i), ()):
                 if runs and s <= runs[-1][1]:
                     runs[-1][1], runs[-1][2] = e, max(runs[-1][2], c)
                 else:
                     runs.append([s, e, c])
-            for s, e, c in runs:
-                # A window reaches an item's ends only in part; widen by what may stand outside.
-                s, e = max(0, s - stride), min(len(words[d]), e + stride)
+            # A window reaches an item's ends only in part; widen by what may stand outside.
+            tried = [(max(0, s - stride), min(len(words[d]), e + stride), c) for s, e, c in runs]
+            for s, e in spans.get((d, i), ()):
+                x = v[begin[d] + s : begin[d] + e]
+                tried.append((s, e, float(k.items[i] @ k.space[x[x >= 0]].sum(axis=0) / math.sqrt(max(total[begin[d] + e] - total[begin[d] + s], 1e-12)))))
+            for s, e, c in tried:
                 part = words[d][s:e]
                 got, said = lcs(item, part) / len(item), k.answers[i]
                 hit = lcs(said, part) / len(said) if said else 0.0
@@ -307,6 +343,38 @@ def _part(ids, texts, took, weight, numbers, blocks, window, stride, cosine):
                 yield best
 
 
+def _spans(v, owner, begin, lengths, k) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(document, item) -> stretches that hold enough of the item's words, by word numbers of documents that stand one after the other."""
+    at = np.flatnonzero(k.many[v])
+    many = k.many[v[at]]
+    pos = np.repeat(at, many)
+    item = k.rare[np.repeat(k.start[v[at]], many) + np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many)]
+    order = np.lexsort((pos, item))
+    pos, item = pos[order], item[order]
+    doc, first = owner[pos], np.arange(len(pos))
+    last = first + k.need[item] - 1
+    first, last = first[last < len(pos)], last[last < len(pos)]
+    fits = (item[first] == item[last]) & (doc[first] == doc[last]) & (pos[last] - pos[first] < k.reach[item[first]])
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    runs: list[list[int]] = []
+    for a, b in zip(first[fits], last[fits], strict=True):
+        i, d = int(item[a]), int(doc[a])
+        lo, hi = max(int(begin[d]), int(pos[b] - k.reach[i] + 1)), min(int(begin[d] + lengths[d]), int(pos[a] + k.reach[i]))
+        if runs and runs[-1][:2] == [d, i] and lo <= runs[-1][3]:
+            runs[-1][3] = max(hi, runs[-1][3])
+        else:
+            runs.append([d, i, lo, hi])
+    for d, i, lo, hi in runs:
+        has = np.concatenate(([0], np.cumsum(np.isin(v[lo:hi], k.inside[i]))))
+        step = max(STRIDE, k.reach[i] // 4)
+        # Pieces overlap by the reach, so every stretch of that length is whole in one.
+        for s in range(0, max(1, hi - lo - int(k.reach[i])), int(step)):
+            e = min(s + int(k.reach[i] + step), hi - lo)
+            if has[e] - has[s] >= k.least[i]:
+                out.setdefault((d, i), []).append((lo + s - int(begin[d]), lo + e - int(begin[d])))
+    return out
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

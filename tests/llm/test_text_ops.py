@@ -260,6 +260,27 @@ def test_leaks_of_every_length(spark):
     assert got == want
 
 
+def test_repeated_words_reach_the_cosine(monkeypatch):
+    """A window whose words repeat: the cosine is above the bound that single squares of idf would give."""
+    words = [f"w{i}" for i in range(8)]
+    rare = [f"r{i}" for i in range(24)]
+    idf = np.full(decontaminate.BUCKETS, 1.0, np.float32)
+    for w in rare:
+        idf[decontaminate._bucket(w)] = 2.0
+    for w in words:
+        idf[decontaminate._bucket(w)] = 1.0
+    item = np.full((1, 8), 8**-0.5, "<f4")
+    row = {"ids": [1], "texts": [" ".join(words + words)], "words": words, "items": np.ones((1, 1), "<f4").tobytes(), "space": item.tobytes(), "rank": 1}
+    kinds = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double, first_word long, last_word long"
+    import pandas as pd
+
+    text = " ".join(rare[:12] + words + words + rare[12:])
+    # Without the count bound: the cosine alone must find the pair.
+    monkeypatch.setattr(decontaminate, "_spans", lambda *a: {}, raising=False)
+    got = list(decontaminate._search([row], idf, 40, 10, 0.4, kinds)(iter([pd.DataFrame({"doc_id": [7], "text": [text]})])))
+    assert len(got) == 1 and got[0]["item_id"].tolist() == [1] and got[0]["cosine"][0] == pytest.approx((32 / 112) ** 0.5, rel=1e-3)
+
+
 def test_svd():
     a = np.random.default_rng(1).random((20, 60))
     left, right = decontaminate.randomised_svd(a, 20)

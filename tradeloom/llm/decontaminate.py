@@ -5,8 +5,8 @@ buckets. Benchmark items, in blocks of `BLOCK`, give TF-IDF matrices; their
 randomised singular value decomposition, made on the executors, is the latent
 space of the block (as many dimensions as items, so it spans them). Every
 document is read in overlapping windows. A window that can't reach the cosine is
-passed over - its weight lies too little on the block's words (Cauchy-Schwarz),
-or the most that its words add to any item is too small; the others are projected, and windows close to an item are candidates.
+passed over, as the most that its words add to any item is too small; the others
+are projected, and windows close to an item are candidates.
 
 A fixed window and cosine miss items much longer or shorter than the window, so
 candidates are also found by a bound that follows from the LCS rule: of an item
@@ -305,10 +305,9 @@ def _part(ids, texts, took, weight, numbers, blocks, window, stride, cosine):
     norm = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
     for k, number in zip(blocks, numbers, strict=True):
         v = number[code]
-        held = np.concatenate(([0.0], np.cumsum(np.where(v >= 0, mass, 0.0))))
         most = np.concatenate(([0.0], np.cumsum(k.most[v])))
         slack = 1e-6
-        may = (held[end] - held[first] >= (cosine * norm) ** 2 - slack) & (most[end] - most[first] >= cosine * norm - slack)
+        may = most[end] - most[first] >= cosine * norm - slack
         near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for j in np.flatnonzero(may):
             inside = v[first[j] : end[j]]

@@ -173,6 +173,58 @@ def test_license(docs, no_docs):
     assert license_scan.scan_licenses(docs).where("size(licenses) > 0").count() == 0 and license_scan.scan_licenses(no_docs).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GNU = """This {} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {}General Public
+License as published by the Free Software Foundation; either
+version {} of the License, or (at your option) any later version.
+"""
+LICENSED = {
+    "BSD-2-Clause": [BSD + '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"', "Licensed under the 2-Clause BSD License."],
+    "BSD-3-Clause": [BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE",
+                     BSD + "\n3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n"],
+    "BSD-4-Clause": [BSD + "\n3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement:\n     This product includes software developed by Example.\n\n4. Neither the name of Example nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"],
+    "MIT": ["Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "MIT License", "Released under the MIT License."],
+    "GPL-2.0-or-later": [GNU.format("program", "", "2"), "Licensed under the GNU General Public License, version 2 or later."],
+    "GPL-2.0-only": ["                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989", "This code is released under the GPLv2.".replace("GPLv2", "GPL v2")],
+    "LGPL-2.1-or-later": [GNU.format("library", "Lesser ", "2.1")],
+    "LGPL-3.0-only": ["                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"],
+    "AGPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nx"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free"],
+    "CC0-1.0": ["Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION", "To the extent possible under law, A. Writer has waived all copyright and related or neighboring rights to This Work."],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission", "Distributed under the Boost Software License, Version 1.0."],
+    "BUSL-1.1": ["Business Source License 1.1\n\nParameters"],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["This work is licensed under CC BY-ND 4.0."],
+    "CC-BY-SA-3.0": ["Licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+}
+
+
+@pytest.mark.parametrize("name", LICENSED)
+def test_usual_licenses(name):
+    for text in LICENSED[name]:
+        got = license_scan.match_rules(license_scan.sentence_ids("Intro text.\n\n" + text))
+        assert {n for n, _ in got} == {name}, text
+        assert all(c == license_scan.NAMED[name] for _, c in got)
+
+
+def test_no_license():
+    assert license_scan.sentence_ids("All rights reserved.\nLicensed under the MIT License.") == ["reserved", "name:MIT"]
+    for text in ("The court ruled under the law.", "She was released under the bridge.", "All work is published under the name of Smith.", "A driving license", "Neither the name of it nor the license."):
+        assert license_scan.match_rules(license_scan.sentence_ids(text)) == []
+
+
 def maximal(v):
     best = None
     for i in range(len(v)):

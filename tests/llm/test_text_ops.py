@@ -153,6 +153,30 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_runs_of_a_large_host(spark):
+    """Runs that two pages of a host share, in hosts of 1,200 and of 80 pages, against the suffix array over the whole host."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    pages = {}
+    for host, n in (("big", 1200), ("small", 80)):
+        for i in range(0, n, 2):
+            # Eight to ten tokens, too few to be a block of their own.
+            run = [word() for _ in range(8 + i % 3)] if i < 80 else []
+            for k in (i, i + 1):
+                pages[host, k] = [word() for _ in range(3)] + run + [word() for _ in range(2)]
+    pages["other", 0] = list(pages["big", 0])
+    keys = list(pages)
+    rows = [(n, f"http://{h}/{k}", f"<div><p>{' '.join(pages[h, k])}</p></div>") for n, (h, k) in enumerate(keys)]
+    rows.append((len(keys), None, f"<p>{' '.join(pages['big', 0])}</p>"))
+    got = {x["page_id"]: x["text"].split() for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in ("big", "small", "other"):
+        mine = [n for n, (h, _) in enumerate(keys) if h == host]
+        assert [got[n] for n in mine] == html_text.unique_runs([pages[keys[n]] for n in mine])
+    assert all(len(got[n]) == 5 for n, (h, _) in enumerate(keys) if h != "other") and got[len(keys)] == pages["big", 0]
+
+
 def test_unique_runs_brute_force():
     pages = [list("xxabcdefghyy"), list("abcdefghij"), list("cdefghijk"), list("zzzzzzzzzzzz"), []]
     got = html_text.unique_runs(pages, 4)

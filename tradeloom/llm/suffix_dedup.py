@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by a run-length index.
+"""Removal of long repeated byte strings by an anchor-partitioned LCP sweep.
 
 Every `LENGTH`-byte string that starts at two places or more is removed from all
 of them. A string is routed by content: of its `GRAM`-byte grams the one of
@@ -11,7 +11,7 @@ column by column: the suffixes that begin at the anchor are sorted, then each
 step to the left reads the column of preceding bytes and maps the order by it
 (last-to-first). Within a run of equal bytes the order stays and the common
 prefix of neighbours grows by one; only at run ends is it cut or taken again as
-a range minimum, so runs are all that is worked on. The larger of a suffix's two
+a range minimum. Every column works on all rows; no run is encoded. The larger of a suffix's two
 common prefixes is its matching statistic against all others; where it reaches
 LENGTH the string is marked. Memory is bounded by a block of anchors, not by the
 corpus. The stretches of an anchor with more than `HOT` occurrences are not

@@ -1,54 +1,59 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Document frequencies of all words of all documents are counted under hashed
-buckets. Benchmark items, in blocks of `BLOCK`, give TF-IDF matrices; their
-randomised singular value decomposition, made on the executors, is the latent
-space of the block (as many dimensions as items, so it spans them). Every
-document is read in overlapping windows. A window that can't reach the cosine is
-passed over, as the most that its words add to any item is too small; the others
-are projected, and windows close to an item are candidates.
-
-A fixed window and cosine miss items much longer or shorter than the window, so
-candidates are also found by a bound that follows from the LCS rule: of an item
-of n words no more than n - t may be unmatched, t being the least count that the
-rule accepts, so of its n - t + r rarest words r at least stand in the stretch.
-Every stretch of up to `reach(n)` words that keeps the LCS rule is found so,
-whatever the item's length. A candidate stretch is then compared with the whole item by longest common
-subsequence of words, and the item's answer - its last sentence - by its own.
-A pair is a leak if the common subsequence has LCS of the item, or LCS_ANSWER of
-it and ANSWER of the answer.
+Every text becomes the 32-bit hashes of its normal words; from these document
+frequencies are counted under hashed buckets, over all texts.
+Benchmark items are cut into passages, these are dealt to blocks, and every
+block's TF-IDF matrix of passages gets a randomised singular value
+decomposition on an executor. The rank is the least at which each passage keeps
+`ENERGY` of its squared length, so the space is smaller than the block by as
+much as its passages have in common. Documents are read in overlapping windows
+- for passages of up to 8, 16 and 32 words windows of 12, 24 and 40 - which are
+projected; a window whose cosine with a passage, over the share of its length
+that the passage keeps in the space, reaches `COSINE` is a candidate. Windows
+whose words can't add up to it are passed over first, by a true bound.
+
+Around the candidate windows of an item, stretches of `reach` words are compared
+with the whole item by longest common subsequence of words, and the item's
+answer - its last sentence - by its own. A pair is a leak if the common
+subsequence has LCS of the item, or LCS_ANSWER of it and ANSWER of the answer.
+Words are compared by their 32-bit hashes.
 
 The benchmark is a stated query set: its blocks go to the executors `PASS` at a
 time, so what is sent is bounded; a pass reads the documents once.
 
 Edge cases: null or empty texts and items have no words and match nothing;
 windows of a text shorter than one are the text; very long texts are read whole;
-repeated rows give repeated pairs; an empty table on either side gives no rows;
-other columns are ignored.
+repeated rows give repeated pairs; a null doc_id stays null; items of a null
+item_id are left out; an empty table on either side gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-BUCKETS, BLOCK, PASS, OVER = 1 << 16, 128, 8, 16
-WINDOW, STRIDE, COSINE = 40, 10, 0.4
+BUCKETS, BLOCK, PASS, OVER = 1 << 16, 512, 8, 16
+#: Longest passage, size and stride of the windows it is searched in.
+SCALES = ((8, 12, 4), (16, 24, 8), (32, 40, 8))
+COSINE, ENERGY = 0.3, 0.5
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.6
-MEMORY = 1_200_000
-#: Of an item's n words, 1 + n // RARE more than the rule needs are indexed, so that as many must be found.
-RARE = 10
-#: Words that are searched at a time.
-PART = 100_000
-_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»¿¡…–—"
+#: Bytes that are hashed and words that are searched at a time; passages that share a bound; windows that are compared at a time.
+PART_BYTES, PART, GROUP, WINDOWS = 1 << 16, 50_000, 48, 512
+_WIDE = "“”‘’«»¿¡…–—"
+#: Stand for those in the bytes that are hashed; control characters are cut from the ends of words as punctuation is.
+_CONTROL = "".join(map(chr, [*range(1, 9), *range(14, 17)]))
+_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "".join(map(chr, [*range(9), *range(14, 28), 127])) + _WIDE
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+KINDS = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double, first_word long, last_word long"
 
 
 def normal(text: str | None) -> list[str]:
@@ -56,68 +61,93 @@ def normal(text: str | None) -> list[str]:
     return [w for x in (text or "").lower().split() if (w := x.strip(_EDGE))]
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+def _tables() -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Of each byte: a random number, and 0 for white space, 1 for what is cut from the ends of words, 2 for the rest; powers of a number and of its inverse."""
+    kind = np.full(256, 2, np.uint8)
+    kind[:32] = kind[127] = 1
+    kind[[ord(c) for c in _EDGE if c < "\x7f"]] = 1
+    kind[[*range(9, 14), *range(28, 33)]] = 0
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    powers = [np.array([1] + [x] * PART_BYTES, np.uint64).cumprod() for x in (base, inverse)]
+    return np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), kind.tobytes(), *powers
 
 
-class Codes(dict):
-    """Raw word -> number; hashes has the hash of its normal form by number, 0 where it has none.
-
-    One is kept per Python worker, so that later tasks know the words; at most
-    MEMORY words are kept from one part of a batch to the next.
-    """
+class Hasher:
+    """32-bit hashes of the normal words of texts, by whole arrays of bytes: no step is taken word by word."""
 
     def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros(1 << 16, np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        if n == len(self.hashes):
-            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
-        x = word.strip(_EDGE)
-        self.hashes[n] = (_hash(x) or 1) if x else 0
-        return n
+        self.value, self.kind, self.power, self.inverse = _tables()
+
+    def bytes(self, text: str | None) -> bytes:
+        t = (text or "").lower()
+        x = t.encode("utf-8", "surrogatepass")
+        # The first bytes of what is written with more than one byte and isn't a letter.
+        if b"\xc2" in x or b"\xe1" in x or b"\xe2" in x or b"\xe3" in x:
+            if _SPACES.search(t):
+                t = " ".join(t.split())
+            for i, c in enumerate(_WIDE):
+                t = t.replace(c, _CONTROL[i])
+            return t.encode("utf-8", "surrogatepass")
+        return x
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def trim(self) -> bool:
-        """Begin anew if there are too many; numbers given before are void then."""
-        if len(self) > MEMORY:
-            self.clear()
-            return True
-        return False
-
-
-_codes = Codes()
-
-
-def worker_codes() -> Codes:
-    """Those of this Python worker. A function that is sent to it must ask here: it would carry its own copy of a global."""
-    return _codes
-
-
-def _bucket(word: str) -> int:
-    return (_hash(word) or 1) % BUCKETS
+        return self.many([text])[0]
+
+    def many(self, texts) -> list[np.ndarray]:
+        """One array for each text."""
+        out, held, size = [], [], 0
+        for x in map(self.bytes, texts):
+            if held and size + len(x) + len(held) > PART_BYTES:
+                out += self._block(held)
+                held, size = [], 0
+            if len(x) >= PART_BYTES:
+                # A very long text goes by parts that end at white space.
+                out.append(np.concatenate([self._block([p])[0] for p in _cut(x)]))
+                continue
+            held.append(x)
+            size += len(x)
+        return out + (self._block(held) if held else [])
+
+    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b" ".join(texts)
+        kind, data = np.frombuffer(data.translate(self.kind), np.uint8), np.frombuffer(data, np.uint8)
+        core = np.flatnonzero(kind == 2)
+        if not len(core):
+            return [np.empty(0, np.uint32)] * len(texts)
+        word = np.cumsum(kind == 0, dtype=np.int32)[core]
+        new = np.flatnonzero(word[1:] != word[:-1])
+        first, end = core[np.concatenate(([0], new + 1))], core[np.append(new, len(core) - 1)] + 1
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
+        h = (total[end] - total[first]) * self.inverse[first]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        code = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        return np.split(code, np.searchsorted(first, ends[:-1]))
+
+
+def _cut(text: bytes):
+    at = 0
+    while len(text) - at >= PART_BYTES:
+        m = max(text.rfind(c, at, at + PART_BYTES - 1) for c in (b" ", b"\n"))
+        if m < at:
+            raise ValueError(f"a word of more than {PART_BYTES} bytes")
+        yield text[at : m + 1]
+        at = m + 1
+    yield text[at:]
 
 
 def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts with words, and per bucket how many have a word in it. BUCKETS rows go to the driver."""
 
     def run(batches):
-        codes, sums, n = worker_codes(), np.zeros(BUCKETS, np.int64), 0
+        hasher, sums, n = Hasher(), np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for text in b["text"]:
-                codes.trim()
-                words = set((text or "").lower().split())
-                code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                h = codes.hashes[code]
-                h = h[h > 0]
+            for x in hasher.many(b["text"]):
                 # A bucket that words share is raised once: this is assignment, not accumulation.
-                sums[(h % np.uint64(BUCKETS)).astype(np.int64)] += 1
-                n += bool(len(h))
+                sums[x & np.uint32(BUCKETS - 1)] += 1
+                n += bool(len(x))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"b": [-1, *at], "n": [n, *sums[at]]})
 
@@ -144,30 +174,51 @@ def randomised_svd(a: np.ndarray, rank: int, over: int = OVER, steps: int = 2) -
     return (q @ u[:, :k]) * s[:k], v[:k]
 
 
-def latent_spaces(items: DataFrame, n: int, df: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """items (item_id, text, block) -> per block its items, words and latent space."""
+def fitting_rank(left: np.ndarray, energy: float = ENERGY) -> int:
+    """The least number of dimensions in which every row keeps `energy` of its squared length."""
+    share = np.cumsum(left**2, axis=1) / np.maximum((left**2).sum(axis=1, keepdims=True), 1e-12)
+    return int((share < energy).sum(axis=1).max(initial=0)) + 1
+
+
+def passages(n: int) -> list[tuple[int, int]]:
+    """(first, end) of the passages of an item of n words: all of it, or halfway overlapping ones of the longest size."""
+    size = SCALES[-1][0]
+    if n <= size:
+        return [(0, n)]
+    return [(s, s + size) for s in range(0, n - size, size // 2)] + [(n - size, n)]
+
+
+def latent_spaces(items: DataFrame, n: int, df: np.ndarray) -> DataFrame:
+    """items (item_id, text, block) -> per block its items, words, passages and latent space."""
     idf = np.log((n + 1) / (df + 1)) + 0.1
 
     def run(g):
-        texts = [normal(t) for t in g["text"]]
-        vocab = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-        a = np.zeros((len(texts), max(len(vocab), 1)))
-        for i, t in enumerate(texts):
-            for w in t:
-                a[i, vocab[w]] += idf[_bucket(w)]
+        words = Hasher().many(g["text"])
+        vocab = np.unique(np.concatenate(words))
+        cuts = [(i, s, e) for i, w in enumerate(words) for s, e in passages(len(w)) if e > s]
+        a = np.zeros((len(cuts), max(len(vocab), 1)))
+        weight = idf[vocab & np.uint32(BUCKETS - 1)]
+        for k, (i, s, e) in enumerate(cuts):
+            v = np.searchsorted(vocab, words[i][s:e])
+            np.add.at(a[k], v, weight[v])
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-        left, right = randomised_svd(a, block) if vocab else (np.zeros((len(texts), 1)), np.zeros((1, 1)))
+        left, right = np.zeros((len(cuts), 1)), np.zeros((1, a.shape[1]))
+        if len(cuts):
+            left, right = randomised_svd(a, len(cuts))
+            k = fitting_rank(left)
+            left, right = left[:, :k], right[:k]
         return pd.DataFrame([{
-            "block": int(g["block"].iloc[0]), "ids": list(g["item_id"]), "texts": list(g["text"]), "words": list(vocab),
-            "items": left.astype("<f4").tobytes(), "space": right.astype("<f4").tobytes(), "rank": right.shape[0],
+            "block": int(g["block"].iloc[0]), "ids": list(g["item_id"]), "texts": list(g["text"]), "words": vocab.astype("<u4").tobytes(),
+            "cuts": np.array(cuts, "<i4").tobytes(), "passages": left.astype("<f4").tobytes(), "space": right.astype("<f4").tobytes(), "rank": right.shape[0],
         }])
 
-    return items.groupBy("block").applyInPandas(run, "block long, ids array<long>, texts array<string>, words array<string>, items binary, space binary, rank int")
+    kinds = "block long, ids array<long>, texts array<string>, words binary, cuts binary, passages binary, space binary, rank int"
+    return items.groupBy("block").applyInPandas(run, kinds)
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bits of a."""
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -178,12 +229,9 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def answer(text: str | None) -> list[str]:
-    """The words of the last sentence that has any."""
-    for part in reversed(re.split(r"(?<=[.!?])\s+|\n", text or "")):
-        if w := normal(part):
-            return w
-    return []
+def answer(text: str | None) -> str:
+    """The last sentence that has words."""
+    return next((p for p in reversed(re.split(r"(?<=[.!?])\s+|\n", text or "")) if normal(p)), "")
 
 
 def least(n: int) -> int:
@@ -192,47 +240,64 @@ def least(n: int) -> int:
 
 
 def reach(n: int) -> int:
-    """Words of the longest stretch that is held against an item of n words for sure."""
-    return n + max(STRIDE, n // 2)
+    """Words of the stretch that is held against an item of n words."""
+    return n + max(10, n // 2)
 
 
 class _Block:
     def __init__(self, row, idf):
+        hasher = Hasher()
         self.ids = list(row["ids"])
-        self.words = [normal(t) for t in row["texts"]]
-        self.answers = [answer(t) for t in row["texts"]]
-        self.hashes = np.array([_hash(w) or 1 for w in row["words"]], np.uint64)
-        self.order = np.argsort(self.hashes)
-        items = np.frombuffer(row["items"], "<f4").reshape(len(self.ids), row["rank"])
-        self.items = items
-        self.space = np.ascontiguousarray(np.frombuffer(row["space"], "<f4").reshape(row["rank"], -1).T)
-        weight = np.array([idf[_bucket(w)] for w in row["words"]], np.float32)
-        # The most that a word can add to the product of a window with any item.
-        self.most = np.zeros(len(weight) + 1)
-        if len(weight):
-            self.most[:-1] = np.maximum((items @ self.space.T).max(axis=0), 0) * weight
-            self.space = self.space * weight[:, None]
-        number = {w: j for j, w in enumerate(row["words"])}
-        self.inside = [np.unique([number[w] for w in t]).astype(np.int64) for t in self.words]
-        self.least = np.array([least(len(t)) for t in self.words])
-        self.reach = np.array([reach(len(t)) for t in self.words])
-        self.need = np.array([min(least(len(t)), 1 + len(t) // RARE) for t in self.words])
-        # Items by word, for the rarest words of each item.
-        of: list[list[int]] = [[] for _ in row["words"]]
-        for i, t in enumerate(self.words):
-            rarest = sorted((number[w] for w in t), key=lambda j: (-weight[j], j))
-            for j in set(rarest[: len(t) - self.least[i] + self.need[i]]):
-                of[j].append(i)
-        self.many = np.array([*map(len, of), 0])
-        self.start = np.cumsum(self.many) - self.many
-        self.rare = np.array([i for x in of for i in x], np.int64)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Word numbers of the block by hash, -1 for other words."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = self.order[np.minimum(np.searchsorted(self.hashes, h, sorter=self.order), len(self.hashes) - 1)]
-        return np.where(self.hashes[at] == h, at, -1)
+        self.words = hasher.many(row["texts"])
+        self.answers = [x.tolist() for x in hasher.many([answer(t) for t in row["texts"]])]
+        self.counts = [Counter(w.tolist()) for w in self.words]
+        self.vocab = np.frombuffer(row["words"], "<u4")
+        cuts = np.frombuffer(row["cuts"], "<i4").reshape(-1, 3)
+        u = np.frombuffer(row["passages"], "<f4").reshape(len(cuts), -1)
+        space = np.frombuffer(row["space"], "<f4").reshape(row["rank"], -1).T
+        weight = idf[self.vocab & np.uint32(BUCKETS - 1)]
+        # The cosine over the share of its length that a passage keeps: (u / |u|) . q / |window| / |u|, where the projection q is
+        # a sum over words. So a word's part of it is known beforehand; the last row is of words that the block hasn't.
+        u = u / np.maximum((u**2).sum(axis=1, keepdims=True), 1e-9)
+        part = np.zeros((len(self.vocab) + 1, len(u)), np.float32)
+        if len(self.vocab):
+            part[:-1] = (space * weight[:, None]) @ u.T
+        size = cuts[:, 2] - cuts[:, 1]
+        self.scales, below = [], 0
+        for longest, window, stride in SCALES:
+            mine = np.flatnonzero((size > below) & (size <= longest))
+            below = longest
+            if len(mine):
+                n = -(-len(mine) // GROUP)
+                parts = np.zeros((n, len(part), GROUP), np.float32)
+                for i, p in enumerate(mine):
+                    parts[i // GROUP, :, i % GROUP] = part[:, p]
+                self.scales.append((window, stride, parts, np.maximum(parts.max(axis=2), 0).T.astype(float), cuts[mine]))
+        self.flag = np.zeros(len(self.vocab) + 1, bool)
+
+    def numbers(self, code: np.ndarray) -> np.ndarray:
+        """Word numbers of the block, the last number for other words."""
+        if not len(self.vocab):
+            return np.zeros(len(code), np.int64)
+        at = np.minimum(np.searchsorted(self.vocab, code), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == code, at, len(self.vocab))
+
+
+class _Lookup:
+    """Word numbers of a block by a table of the low bits, so that most words are found by one step."""
+
+    BITS = np.uint32((1 << 20) - 1)
+
+    def __init__(self, block: _Block):
+        self.block = block
+        self.full = np.zeros(int(self.BITS) + 1, bool)
+        self.full[block.vocab & self.BITS] = True
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        out = np.full(len(code), len(self.block.vocab), np.int64)
+        some = np.flatnonzero(self.full[code & self.BITS])
+        out[some] = self.block.numbers(code[some])
+        return out
 
 
 def _windows(lengths: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,133 +310,114 @@ def _windows(lengths: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, n
     return doc, begin + first, begin + np.minimum(first + size, lengths[doc])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer_lcs, first_word, last_word of the confirmed pairs."""
-    kinds = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double, first_word long, last_word long"
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     n, df = document_frequency(docs)
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    count = items.count()
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, math.ceil(count / (BLOCK * 0.75))))).cast("long"))
+    cuts = items.select(F.sum(F.ceil(F.greatest(F.size(F.split("text", r"\s+")) / (SCALES[-1][0] // 2) - 1, F.lit(1))))).collect()[0][0] or 0
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, math.ceil(cuts / (BLOCK * 0.75))))).cast("long"))
     spaces = materialize(latent_spaces(items, n, df))
-    out = spark.createDataFrame([], kinds)
+    out = spark.createDataFrame([], KINDS)
     blocks = sorted(r["block"] for r in spaces.select("block").collect())
     for at in range(0, len(blocks), PASS):
         rows = [r.asDict() for r in spaces.where(F.col("block").isin(blocks[at : at + PASS])).collect()]
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_search(rows, idf, window, stride, cosine, kinds), kinds))
+        out = out.unionByName(docs.mapInPandas(_search(rows, idf, cosine), KINDS))
     return out
 
 
-def _search(rows, idf, window, stride, cosine, kinds):
+def _search(rows, idf, cosine):
     def run(batches):
         blocks = [_Block(r, idf) for r in rows]
-        names = [c.split()[0] for c in kinds.split(", ")]
-        # By word number: squared weight (negative: no word), number in each block.
-        codes = worker_codes()
-        known, weight, numbers = 0, np.empty(0), [np.empty(0, np.int64) for _ in blocks]
+        blocks = [(b, _Lookup(b)) for b in blocks if b.scales]
+        names = [c.split()[0] for c in KINDS.split(", ")]
+        hasher = Hasher()
         for b in batches:
-            ids, texts, at = b["doc_id"].to_numpy(), b["text"].to_numpy(), 0
+            ids, texts = b["doc_id"].to_numpy(), hasher.many(b["text"])
+            lengths = np.array([len(x) for x in texts], np.int64)
+            ends, at = np.cumsum(lengths), 0
             while at < len(ids):
-                if codes.trim():
-                    known, weight, numbers = 0, weight[:0], [x[:0] for x in numbers]
-                took, held = [], 0
-                while at < len(ids) and held < PART:
-                    c = codes.of(texts[at])
-                    took.append((at, c[codes.hashes[c] > 0]))
-                    held += len(c)
-                    at += 1
-                if len(codes) > known:
-                    h = codes.hashes[known : len(codes)]
-                    weight = np.concatenate((weight, idf[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(float) ** 2))
-                    numbers = [np.concatenate((x, k.numbers(h))) for x, k in zip(numbers, blocks, strict=True)]
-                    known = len(codes)
-                found = list(_part(ids, texts, took, weight, numbers, blocks, window, stride, cosine))
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + PART, "right")))
+                if ends[to - 1] > ends[at] - lengths[at]:
+                    if found := [x for k, of in blocks for x in _part(ids[at:to], np.concatenate(texts[at:to]), lengths[at:to], k, of, idf, cosine)]:
+                        yield pd.DataFrame(found, columns=names)
+                at = to
 
     return run
 
 
-def _part(ids, texts, took, weight, numbers, blocks, window, stride, cosine):
-    """The leaks of some documents: all their windows at once, then the candidates one by one."""
-    code = np.concatenate([c for _, c in took])
-    lengths = np.array([len(c) for _, c in took])
+def _norms(code: np.ndarray, weight: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Lengths of windows, a row each, where a word that repeats counts with the square of its count."""
+    key = np.where(inside, code.astype(np.int64), -1)
+    order = np.argsort(key, axis=1)
+    key, weight = np.take_along_axis(key, order, 1), np.take_along_axis(np.where(inside, weight, 0.0), order, 1)
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] != key[:, :-1]
+    sums = np.add.reduceat(weight.ravel(), np.flatnonzero(new.ravel()))
+    row = np.nonzero(new)[0]
+    return np.sqrt(np.maximum(np.bincount(row, sums**2, len(key)), 1e-12))
+
+
+def _part(ids, code, lengths, k: _Block, of: _Lookup, idf, cosine):
+    """The leaks of some documents that stand one after the other."""
+    v = of(code)
+    weight = idf[code & np.uint32(BUCKETS - 1)].astype(float)
+    total = np.concatenate(([0.0], np.cumsum(weight**2)))
     begin = np.cumsum(lengths) - lengths
-    doc, first, end = _windows(lengths, window, stride)
-    mass = weight[code]
-    total = np.concatenate(([0.0], np.cumsum(mass)))
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    norm = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
-    for k, number in zip(blocks, numbers, strict=True):
-        v = number[code]
-        most = np.concatenate(([0.0], np.cumsum(k.most[v])))
-        slack = 1e-6
-        may = most[end] - most[first] >= cosine * norm - slack
-        near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-        for j in np.flatnonzero(may):
-            inside = v[first[j] : end[j]]
-            cos = k.items @ k.space[inside[inside >= 0]].sum(axis=0) / norm[j]
-            for i in np.flatnonzero(cos >= cosine):
-                s = begin[doc[j]]
-                near.setdefault((int(doc[j]), int(i)), []).append((int(first[j] - s), int(end[j] - s), float(cos[i])))
-        spans = _spans(v, owner, begin, lengths, k)
-        words: dict[int, list[str]] = {}
-        for d, i in sorted(near.keys() | spans.keys()):
-            if d not in words:
-                words = {d: normal(texts[took[d][0]])}
-            item, best = k.words[i], None
-            runs: list[list] = []
-            for s, e, c in near.get((d, i), ()):
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1], runs[-1][2] = e, max(runs[-1][2], c)
-                else:
-                    runs.append([s, e, c])
-            # A window reaches an item's ends only in part; widen by what may stand outside.
-            tried = [(max(0, s - stride), min(len(words[d]), e + stride), c) for s, e, c in runs]
-            for s, e in spans.get((d, i), ()):
-                x = v[begin[d] + s : begin[d] + e]
-                tried.append((s, e, float(k.items[i] @ k.space[x[x >= 0]].sum(axis=0) / math.sqrt(max(total[begin[d] + e] - total[begin[d] + s], 1e-12)))))
-            for s, e, c in tried:
-                part = words[d][s:e]
-                got, said = lcs(item, part) / len(item), k.answers[i]
-                hit = lcs(said, part) / len(said) if said else 0.0
+    # Document, item, and the words between which the item's stretch lies; cosine.
+    near: dict[tuple[int, int], list[list]] = {}
+    for window, stride, parts, most, cuts in k.scales:
+        doc, first, end = _windows(lengths, window, stride)
+        norm = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
+        add = np.zeros((len(v) + 1, most.shape[1]))
+        np.cumsum(most[v], axis=0, out=add[1:])
+        # The most that a window's words can add up to with any passage of a group.
+        may, group = np.nonzero(add[end] - add[first] >= (cosine * norm - 1e-6)[:, None])
+        for at in range(0, len(may), WINDOWS):
+            j, g = may[at : at + WINDOWS], group[at : at + WINDOWS]
+            at_ = first[j][:, None] + np.arange(window)
+            inside, at_ = at_ < end[j][:, None], np.minimum(at_, len(v) - 1)
+            words = np.where(inside, v[at_], len(k.vocab))
+            cos = parts[g[:, None], words].sum(axis=1) / _norms(code[at_], weight[at_], inside)[:, None]
+            for a, p in zip(*np.nonzero(cos >= cosine), strict=True):
+                d, (i, s, e) = int(doc[j[a]]), cuts[g[a] * GROUP + p].tolist()
+                n = len(k.words[i])
+                slack = reach(n) - n
+                lo = int(first[j[a]] - begin[d]) - s - slack
+                hi = int(end[j[a]] - begin[d]) + n - e + slack
+                near.setdefault((d, i), []).append([max(0, lo), min(int(lengths[d]), hi), float(cos[a, p])])
+    for (d, i), found in sorted(near.items()):
+        item, said, best = k.words[i].tolist(), k.answers[i], None
+        text, numbers = code[begin[d] : begin[d] + lengths[d]], v[begin[d] : begin[d] + lengths[d]]
+        mine = k.numbers(k.words[i])
+        k.flag[mine] = True
+        n, runs = len(item), []
+        for lo, hi, c in sorted(found):
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1], runs[-1][2] = max(hi, runs[-1][1]), max(c, runs[-1][2])
+            else:
+                runs.append([lo, hi, c])
+        size = reach(n)
+        for lo, hi, c in runs:
+            has = np.concatenate(([0], np.cumsum(k.flag[numbers[lo:hi]])))
+            step = max(10, size // 4)
+            # Pieces overlap by the reach, so every stretch of that length is whole in one.
+            for s in range(0, max(1, hi - lo - size), step):
+                e = min(s + size + step, hi - lo)
+                if has[e] - has[s] < least(n):
+                    continue
+                part = text[lo + s : lo + e].tolist()
+                # No common subsequence is longer than what the two have in common as bags of words.
+                if sum(min(n, k.counts[i][w]) for w, n in Counter(x for x in part if x in k.counts[i]).items()) < least(n):
+                    continue
+                got, hit = lcs(item, part) / n, lcs(said, part) / len(said) if said else 0.0
                 if (got >= LCS or got >= LCS_ANSWER and hit >= ANSWER) and (best is None or got > best[3]):
-                    best = (ids[took[d][0]], k.ids[i], c, got, hit, s, e)
-            if best:
-                yield best
-
-
-def _spans(v, owner, begin, lengths, k) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """(document, item) -> stretches that hold enough of the item's words, by word numbers of documents that stand one after the other."""
-    at = np.flatnonzero(k.many[v])
-    many = k.many[v[at]]
-    pos = np.repeat(at, many)
-    item = k.rare[np.repeat(k.start[v[at]], many) + np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many)]
-    order = np.lexsort((pos, item))
-    pos, item = pos[order], item[order]
-    doc, first = owner[pos], np.arange(len(pos))
-    last = first + k.need[item] - 1
-    first, last = first[last < len(pos)], last[last < len(pos)]
-    fits = (item[first] == item[last]) & (doc[first] == doc[last]) & (pos[last] - pos[first] < k.reach[item[first]])
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    runs: list[list[int]] = []
-    for a, b in zip(first[fits], last[fits], strict=True):
-        i, d = int(item[a]), int(doc[a])
-        lo, hi = max(int(begin[d]), int(pos[b] - k.reach[i] + 1)), min(int(begin[d] + lengths[d]), int(pos[a] + k.reach[i]))
-        if runs and runs[-1][:2] == [d, i] and lo <= runs[-1][3]:
-            runs[-1][3] = max(hi, runs[-1][3])
-        else:
-            runs.append([d, i, lo, hi])
-    for d, i, lo, hi in runs:
-        has = np.concatenate(([0], np.cumsum(np.isin(v[lo:hi], k.inside[i]))))
-        step = max(STRIDE, k.reach[i] // 4)
-        # Pieces overlap by the reach, so every stretch of that length is whole in one.
-        for s in range(0, max(1, hi - lo - int(k.reach[i])), int(step)):
-            e = min(s + int(k.reach[i] + step), hi - lo)
-            if has[e] - has[s] >= k.least[i]:
-                out.setdefault((d, i), []).append((lo + s - int(begin[d]), lo + e - int(begin[d])))
-    return out
+                    best = (ids[d], k.ids[i], c, got, hit, lo + s, lo + e)
+        k.flag[mine] = False
+        if best:
+            yield best
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

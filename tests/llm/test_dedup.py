@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tradeloom.llm import near_dedup, suffix_dedup
 from tradeloom.llm.graph import components
@@ -85,15 +86,36 @@ def test_near_brute_force(docs, texts):
     assert got == linked(texts)
 
 
-def test_near_small_blocks(docs, texts, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_near_small_blocks(docs, texts, pivots):
+    """Blocks so small that lists and groups are split: pivots, and what they don't reach, give the same components."""
     groups = near_dedup.near_duplicates(docs).select("doc_id", "component_id").collect()
-    sketches = near_dedup.sketch(docs).where("digest is not null").withColumnRenamed("doc_id", "id").select("id", "sig")
-    found = components(near_dedup.candidates(sketches, block=3))
-    links = components(near_dedup.confirm(docs, found, block=3))
+    sketches = near_dedup.sketch(docs).where("digest is not null").withColumnRenamed("doc_id", "id").select("id", "sig", "digest")
+    found = components(near_dedup.candidates(sketches.select("id", "sig"), block=3, pivots=pivots))
+    links = components(near_dedup.confirm(docs, found.join(sketches.select("id", "digest"), "id"), block=300, pivots=pivots))
     name = {r["id"]: r["component"] for r in links.collect()}
     assert {r["doc_id"]: r["component_id"] for r in groups} == {r["doc_id"]: name.get(r["doc_id"], r["doc_id"]) for r in groups}
 
 
+def test_forest_of_a_chain(spark):
+    """One hot key whose members are linked in chains: no pivot reaches all of them."""
+    r = random.Random(8)
+    ids = r.sample(range(1000), 60)
+    place = {x: i for i, x in enumerate(ids)}
+    links = lambda what, a, b: abs(np.array(what)[a][:, None] - np.array(what)[b][None, :]) == 1
+    rows = spark.createDataFrame([(5, x, 1, i + i // 20) for x, i in place.items()], "key long, id long, weight int, at int")
+    got = {x["id"]: x["component"] for x in components(near_dedup.forest(rows, "at", links, block=7, pivots=2)).collect()}
+    assert got == {x: min(y for y in ids if place[y] // 20 == place[x] // 20) for x in ids}
+
+
+def test_near_same_id_and_null_id(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (None, a), (None, c), (9, c)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(rows).collect()), key=str)
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (0, None, True), (0, None, True), (9, 9, True)], key=str)
+    assert sorted(str(r["doc_id"]) for r in near_dedup.stage(spark, rows, "").collect()) == ["1", "9", "None", "None"]
+
+
 def test_near_empty_and_repeated(spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d E f")], "doc_id long, text string")

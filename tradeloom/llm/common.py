@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) is a temporary folder made.
+    Only where that is unset and all runs in one process (tests) is a temporary
+    folder made; a cluster without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tradeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -51,3 +55,69 @@ def words(text: Column | str) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), where value is computed once per row and not once per use."""
     return F.transform(F.array(value), body)[0]
+
+
+class WordHashes:
+    """64-bit hashes of the words of texts, by whole arrays of bytes: no step is taken word by word and nothing is remembered.
+
+    A word is a run of bytes other than `space`, without the bytes of `edge` at
+    its ends; one of these alone is no word.
+    """
+
+    #: Bytes that are hashed at a time.
+    PART = 1 << 16
+
+    def __init__(self, space: bytes = b" \t\n\x0b\x0c\r", edge: bytes = b""):
+        self.space = space
+        self.kind = bytes(0 if c in space else 1 if c in edge else 2 for c in range(256))
+        self.value = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self._grow(self.PART + 1)
+
+    def _grow(self, n: int) -> None:
+        base = 0x9E3779B97F4A7C15
+        self.power, self.inverse = (np.array([1] + [x] * n, np.uint64).cumprod() for x in (base, pow(base, -1, 1 << 64)))
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """One array for each text."""
+        out, held, size = [], [], 0
+        for x in texts:
+            if held and size + len(x) + len(held) > self.PART:
+                out += self._block(held)
+                held, size = [], 0
+            if len(x) >= self.PART:
+                # A very long text goes by parts that end at white space.
+                out.append(np.concatenate([self._block([p])[0] for p in self._cut(x)]))
+                continue
+            held.append(x)
+            size += len(x)
+        return out + (self._block(held) if held else [])
+
+    def _cut(self, text: bytes):
+        at = 0
+        while len(text) - at >= self.PART:
+            to = max(text.rfind(c, at, at + self.PART) for c in (b" ", b"\n"))
+            if to < at:
+                to = min((x for c in self.space if (x := text.find(c, at + self.PART)) >= 0), default=len(text) - 1)
+            yield text[at : to + 1]
+            at = to + 1
+        yield text[at:]
+
+    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b" ".join(texts)
+        if len(data) > len(self.power):
+            self._grow(len(data))
+        kind, data = np.frombuffer(data.translate(self.kind), np.uint8), np.frombuffer(data, np.uint8)
+        core = np.flatnonzero(kind == 2)
+        if not len(core):
+            return [np.empty(0, np.uint64)] * len(texts)
+        word = np.cumsum(kind == 0, dtype=np.int32)[core]
+        new = np.flatnonzero(word[1:] != word[:-1])
+        first, end = core[np.concatenate(([0], new + 1))], core[np.append(new, len(core) - 1)] + 1
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
+        h = (total[end] - total[first]) * self.inverse[first]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        return np.split(h, np.searchsorted(first, ends[:-1]))

@@ -39,15 +39,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import WordHashes, materialize, table
 
 BUCKETS, BLOCK, PASS, OVER = 1 << 16, 512, 8, 16
 #: Longest passage, size and stride of the windows it is searched in.
 SCALES = ((8, 12, 4), (16, 24, 8), (32, 40, 8))
 COSINE, ENERGY = 0.3, 0.5
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.6
-#: Bytes that are hashed and words that are searched at a time; passages that share a bound; windows that are compared at a time.
-PART_BYTES, PART, GROUP, WINDOWS = 1 << 16, 50_000, 48, 512
+#: Words that are searched at a time; passages that share a bound; windows that are compared at a time.
+PART, GROUP, WINDOWS = 50_000, 48, 512
 _WIDE = "“”‘’«»¿¡…–—"
 #: Stand for those in the bytes that are hashed; control characters are cut from the ends of words as punctuation is.
 _CONTROL = "".join(map(chr, [*range(1, 9), *range(14, 17)]))
@@ -61,22 +61,11 @@ def normal(text: str | None) -> list[str]:
     return [w for x in (text or "").lower().split() if (w := x.strip(_EDGE))]
 
 
-def _tables() -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """Of each byte: a random number, and 0 for white space, 1 for what is cut from the ends of words, 2 for the rest; powers of a number and of its inverse."""
-    kind = np.full(256, 2, np.uint8)
-    kind[:32] = kind[127] = 1
-    kind[[ord(c) for c in _EDGE if c < "\x7f"]] = 1
-    kind[[*range(9, 14), *range(28, 33)]] = 0
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    powers = [np.array([1] + [x] * PART_BYTES, np.uint64).cumprod() for x in (base, inverse)]
-    return np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), kind.tobytes(), *powers
-
-
-class Hasher:
-    """32-bit hashes of the normal words of texts, by whole arrays of bytes: no step is taken word by word."""
+class Hasher(WordHashes):
+    """32-bit hashes of the normal words of texts."""
 
     def __init__(self):
-        self.value, self.kind, self.power, self.inverse = _tables()
+        super().__init__(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "".join(c for c in _EDGE if c < "\x80").encode())
 
     def bytes(self, text: str | None) -> bytes:
         t = (text or "").lower()
@@ -95,47 +84,7 @@ class Hasher:
 
     def many(self, texts) -> list[np.ndarray]:
         """One array for each text."""
-        out, held, size = [], [], 0
-        for x in map(self.bytes, texts):
-            if held and size + len(x) + len(held) > PART_BYTES:
-                out += self._block(held)
-                held, size = [], 0
-            if len(x) >= PART_BYTES:
-                # A very long text goes by parts that end at white space.
-                out.append(np.concatenate([self._block([p])[0] for p in _cut(x)]))
-                continue
-            held.append(x)
-            size += len(x)
-        return out + (self._block(held) if held else [])
-
-    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
-        data = b" ".join(texts)
-        kind, data = np.frombuffer(data.translate(self.kind), np.uint8), np.frombuffer(data, np.uint8)
-        core = np.flatnonzero(kind == 2)
-        if not len(core):
-            return [np.empty(0, np.uint32)] * len(texts)
-        word = np.cumsum(kind == 0, dtype=np.int32)[core]
-        new = np.flatnonzero(word[1:] != word[:-1])
-        first, end = core[np.concatenate(([0], new + 1))], core[np.append(new, len(core) - 1)] + 1
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
-        h = (total[end] - total[first]) * self.inverse[first]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        code = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)
-        ends = np.cumsum([len(x) + 1 for x in texts])
-        return np.split(code, np.searchsorted(first, ends[:-1]))
-
-
-def _cut(text: bytes):
-    at = 0
-    while len(text) - at >= PART_BYTES:
-        m = max(text.rfind(c, at, at + PART_BYTES - 1) for c in (b" ", b"\n"))
-        if m < at:
-            raise ValueError(f"a word of more than {PART_BYTES} bytes")
-        yield text[at : m + 1]
-        at = m + 1
-    yield text[at:]
+        return [np.maximum((h >> np.uint64(32)).astype(np.uint32), 1) for h in super().many([self.bytes(t) for t in texts])]
 
 
 def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:

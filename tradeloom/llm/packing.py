@@ -28,6 +28,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from .common import materialize, table
 
 SIZE, END_ID = 2048, 1
 #: Units whose ids a Python worker remembers, and their longest length.
-MEMORY, MEMORY_CHARS = 500_000, 40
+MEMORY, MEMORY_CHARS = 200_000, 24
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -60,7 +61,7 @@ class Units(dict):
         self.encode = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.encode(unit), dtype="<u4").tobytes()
+        ids = array("I", self.encode(unit)).tobytes()
         if len(unit) <= MEMORY_CHARS and len(self) < MEMORY:
             self[unit] = ids
         return ids

@@ -12,7 +12,8 @@ than `alpha` of the good documents of any stratum.
 
 Edge cases: a null text has no words and fails the base rule; a null or unseen
 stratum, or an empty label table, leaves all rules off; labels that repeat count
-once per row, null labels are ignored; extra columns are ignored.
+once per row, null labels are ignored; a null doc_id has no label, and in the
+pipeline such rows are judged each by its own text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,45 +113,60 @@ def certify(levels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Da
     What is windowed are counts, at most STEPS + 1 rows a stratum and rule.
     """
     g = levels.where(F.col("good").isNotNull() & F.col("stratum").isNotNull())
-    g = g.groupBy("stratum", "rule", "level").agg(F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("g"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("b"))
+    g = materialize(g.groupBy("stratum", "rule", "level").agg(F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("g"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("b")))
     every = g.select("stratum", "rule").distinct().select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(STEPS).cast("long"))).alias("level"))
-    tests = g.select("stratum").distinct().agg((F.count("*") * len(RULES)).alias("m"))
+    # One number: of strata and rules.
+    tests = g.select("stratum").distinct().count() * len(RULES)
     totals = g.groupBy("stratum", "rule").agg(F.sum("g").alias("good"), F.sum("b").alias("bad"))
     grid = every.join(g, ["stratum", "rule", "level"], "left").join(totals, ["stratum", "rule"])
     above = W.partitionBy("stratum", "rule").orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, 0)
     grid = grid.select("*", F.sum(F.coalesce("g", F.lit(0))).over(above).alias("k"), F.sum(F.coalesce("b", F.lit(0))).over(above).alias("hit"))
-    # One row: the number of strata.
-    grid = grid.join(F.broadcast(tests))
-    ok = (F.col("k") < F.col("good") * alpha) & (_binomial_tail(F.col("good"), F.col("k"), alpha) <= F.lit(delta) / F.col("m"))
+    ok = (F.col("k") < F.col("good") * alpha) & (_binomial_tail(F.col("good"), F.col("k"), alpha) <= delta / max(tests, 1))
     grid = grid.select("*", F.min(F.when(ok, 1).otherwise(0)).over(above).alias("ok"))
     gain = F.col("hit") * F.greatest(F.col("good"), F.lit(1)) - F.lit(4) * F.col("k") * F.greatest(F.col("bad"), F.lit(1))
     best = grid.where((F.col("ok") == 1) & (F.col("hit") > 0) & (gain > 0)).select("stratum", "rule", F.struct(gain.alias("gain"), F.col("level").alias("level")).alias("v"))
     return best.groupBy("stratum", "rule").agg(F.max("v").alias("v")).select("stratum", "rule", F.col("v.level").alias("cutoff"))
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, the counts, base_failed, kept: one row per row of docs."""
+def _measured(docs: DataFrame, stratum: str, *keep) -> DataFrame:
     levels = [_level(r).alias(r) for r in RULES]
-    s = materialize(text_stats(docs, "doc_id", F.col(stratum).cast("string").alias("stratum")).select("*", base_failed().alias("base_failed"), *levels))
+    return text_stats(docs, *keep, F.col(stratum).cast("string").alias("stratum")).select("*", base_failed().alias("base_failed"), *levels)
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum and the certified cutoff of each rule (null: off), from texts as _measured gives them."""
     lab = labels.where(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 1).alias("good"))
-    seen = s.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(lab, "doc_id")
+    seen = measured.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(lab, "doc_id")
     seen = seen.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x")).select("stratum", "good", "x.rule", "x.level")
-    cut = certify(seen, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    out = s.join(materialize(cut), "stratum", "left")
+    return certify(seen, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+
+
+def _kept() -> Column:
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~hit).alias("kept"))
+    return ~F.col("base_failed") & ~hit
+
+
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """doc_id, the counts, base_failed, kept: one row per row of docs."""
+    s = materialize(_measured(docs, stratum, "doc_id"))
+    out = s.join(materialize(cutoffs(s, labels, alpha, delta)), "stratum", "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept().alias("kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the kept documents, whole."""
-    kept = apply_quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, stratum: str = "lang") -> DataFrame:
+    """Pipeline stage: the kept documents, whole. Rows of a null doc_id are judged each by its own text."""
+    s = materialize(_measured(docs, stratum, "doc_id"))
+    cut = materialize(cutoffs(s, table(spark, sf_dir, "labels")))
+    kept = s.join(cut, "stratum", "left").where(_kept()).select("doc_id")
+    bare = docs.where("doc_id IS NULL").select(F.struct(*docs.columns).alias("__row"), F.col("text"), F.col(stratum).alias("__stratum"))
+    bare = _measured(bare, "__stratum", "__row").join(cut, "stratum", "left").where(_kept()).select("__row.*")
+    return docs.join(kept, "doc_id", "left_semi").unionByName(bare)
 
 
 def sql(docs: str = "documents") -> str:

@@ -2,8 +2,9 @@
 
 A line is a newline-separated part; it is compared after trimming ASCII white
 space, and blank lines are never boilerplate. Per site: the number of pages that
-contain a line over the number of pages of the site. Lines above `ratio`, on
-`min_pages` pages at least, are dropped wherever they stand on that site.
+contain a line over the number of pages of the site. Lines above `ratio` are
+dropped wherever they stand on that site, if they stand on `min_pages` pages at
+least - two, as a line of one page repeats nothing.
 
 Lines are counted under two 64-bit hashes, first within each task; no text is
 shuffled. A site has fewer than (mean lines a page / ratio) such lines, however
@@ -12,7 +13,8 @@ only if its size is under the session's threshold.
 
 Edge cases: a null text stays null and counts as a page without lines; a null
 site is a site of its own; a text whose lines all go becomes empty; repeated
-rows are pages of their own; an empty table gives no rows; other columns stay.
+rows are pages of their own; an empty table gives no rows; other columns stay,
+whatever their names; a line at the ratio stays.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-RATIO, MIN_PAGES = 0.05, 10
+RATIO, MIN_PAGES = 0.05, 2
 EDGE = " \t\n\x0b\x0c\r"
 
 
@@ -43,29 +45,29 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", rati
 
 
 def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with boilerplate lines cut from the text, and __lines, __dropped (long) added."""
-    b = materialize(boilerplate(pages, site, text, ratio, min_pages)).select(F.col("site").alias("__site"), F.col("drop").alias("__drop"))
-    out = pages.join(b, F.col(site).eqNullSafe(F.col("__site")), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), _key(x)))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(kept)
-    out = out.withColumn("__kept", kept)
+    """page: the row, with boilerplate lines cut from its text; n_lines and n_dropped (long)."""
+    b = materialize(boilerplate(pages, site, text, ratio, min_pages))
+    # Apart from the columns of pages, whose names may be any.
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(f"`{site}`").alias("of"), F.split(F.col(f"`{text}`"), "\n").alias("lines"))
+    out = rows.join(b, F.col("of").eqNullSafe(F.col("site")), "left")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), _key(x))))
+    out = out.select("page", "lines", kept.alias("kept"))
     return out.select(
-        *[F.array_join("__kept", "\n").alias(text) if c == text else F.col(c) for c in pages.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("__dropped"),
+        F.struct(*[F.array_join("kept", "\n").alias(c) if c == text else F.col(f"page.`{c}`").alias(c) for c in pages.columns]).alias("page"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+    return out.select("page.doc_id", "page.text", "n_lines", "n_dropped")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without boilerplate lines, n_chars of the new text."""
     out = drop_boilerplate(docs)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[F.length("page.text").cast("long").alias(c) if c == "n_chars" else F.col(f"page.`{c}`") for c in docs.columns])
 
 
 def sql(docs: str = "documents") -> str:

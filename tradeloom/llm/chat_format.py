@@ -124,7 +124,8 @@ def parse_chats(formatted: Column, template: dict = TEMPLATE) -> Column:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one planted one, formatted and read back."""
     both = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(both).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     out = format_chats(turns)
     back = parse_chats(F.col("formatted"))

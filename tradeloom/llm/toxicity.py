@@ -14,7 +14,8 @@ segments into a probability.
 Edge cases: a null or empty text has no words and gets the probability of no
 evidence; very long texts are taken whole; repeated rows are scored each; with
 no labels of both kinds the score is the share of toxic labels (0 without any);
-null labels are ignored; an empty table gives no rows; extra columns are ignored.
+null labels are ignored, labels that repeat count once and the toxic one of two,
+and of the texts of one doc_id the least is learned from; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-FIT_ROWS, LEXICON = 20_000, 20_000
+FIT_ROWS = 20_000
 PRIOR, LEAST, DEVIATIONS, ODDS, DRIFT = 200.0, 0.5, 3.0, 3.5, 0.25
 PREFIXES = range(4, 9)
 SIGNIFICANT = 3.0  # natural logarithm of the inverse chance
-MEMORY = 500_000
+MEMORY = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -139,9 +140,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """labels (doc_id, toxic): the rows that may be learned from."""
     some = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") == 1).alias("y"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    # At most `rows` rows, a parameter.
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # At most `rows` rows, a parameter: labels that repeat count once, the toxic one of two; of texts of one doc_id the least counts.
+    some = materialize(some.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = materialize(sample)
 
     def count(batches):
         for b in batches:
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pd.DataFrame([(f, c[1], c[0]) for f, c in out.items()], columns=["f", "y1", "y0"])
 
     counts = sample.mapInPandas(count, "f string, y1 long, y0 long").groupBy("f").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    counts = counts.where("y1 > 0 OR f = ''").checkpoint()
+    counts = materialize(counts.where("y1 > 0 OR f = ''"))
     total = counts.where("f = ''").collect()
     n1, n0 = (total[0]["y1"], total[0]["y0"]) if total else (0, 0)
     if not n1 or not n0:
@@ -168,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     delta = odds(F.col("y1"), float(n1)) - odds(F.col("y0"), float(n0))
     z = delta / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     strong = counts.where("f <> ''").select("f", "y1", "y0", delta.alias("d"), z.alias("z")).where((F.col("z") >= DEVIATIONS) & (F.col("d") >= ODDS))
-    # At most LEXICON rows, a parameter.
-    lex = strong.orderBy(F.desc("z"), "f").limit(LEXICON).collect()
+    # Words of the sample's toxic texts, so bounded by its rows.
+    lex = strong.orderBy(F.desc("z"), "f").collect()
     p0 = [(r["y0"] + LEAST + PRIOR * (r["y1"] + r["y0"]) / (n1 + n0)) / (n0 + PRIOR) for r in lex if not r["f"].endswith("-")]
     scorer = Scorer({r["f"]: r["d"] for r in lex}, -DRIFT, 1.0)
     scorer.scale = _scale(p0, [r["d"] for r in lex if not r["f"].endswith("-")], -DRIFT)

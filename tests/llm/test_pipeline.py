@@ -57,7 +57,7 @@ def test_pipeline(spark):
     for d in kept:
         for x in docs[d][0].split("\n"):
             having[docs[d][2], x.strip(" \t\n\x0b\x0c\r")].add(d)
-    drop = {k for k, v in having.items() if k[1] and len(v) >= 10 and len(v) > 0.05 * pages[k[0]]}
+    drop = {k for k, v in having.items() if k[1] and len(v) >= 2 and len(v) > 0.05 * pages[k[0]]}
     lined = {d: "\n".join(x for x in docs[d][0].split("\n") if (docs[d][2], x.strip(" \t\n\x0b\x0c\r")) not in drop) for d in kept}
     alone = {d: lined[d] for d, (_, _, k) in linked(list(lined.items())).items() if k}
     items = [decontaminate.normal(r["text"]) for r in read("benchmark").collect()]
@@ -75,6 +75,23 @@ def test_pipeline(spark):
     assert np.all([r["offset"] + r["length"] <= 2048 for r in got])
 
 
+def test_stages_on_edge_rows(spark, monkeypatch):
+    """Nulls in any column, empty texts, repeated rows, an empty table and columns with clashing names."""
+    long_ = " ".join(f"word{i}" for i in range(60))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, component string, __id long, drop string"
+    rows = [(1, long_, "en", "a", 1, "x", 5, "d"), (1, long_, "en", "a", 1, "x", 5, "d"), (None, long_ + " more", None, None, None, None, None, None), (None, "few", "en", "a", 1, None, None, None), (2, None, "en", "a", 1, None, None, None), (3, "", None, None, 0, None, None, None)]
+    docs = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for part in (docs, docs.limit(0)):
+            out = stage(spark, part, SF)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            got = out.collect()
+            if part is docs:
+                want = {"quality": 3, "lines": 6, "near_duplicates": 6, "decontamination": 6}[name]
+                assert len(got) == want, name
+    assert sorted({(r["doc_id"], r["doc_tokens"] > 1) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}, key=str) == sorted([(1, True), (None, True), (2, False), (3, False)], key=str)
+
+
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontamination", "packing"]

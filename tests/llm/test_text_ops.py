@@ -49,20 +49,56 @@ def test_quality_verdict(spark, no_docs):
     assert quality_rules.apply_quality_rules(no_docs, lab).count() == 0
 
 
+def test_quality_oracle_where_rules_fire(spark):
+    """Every stratum has enough labels, so that rules are certified; repeated and null labels, ties in the gain; against the SQL."""
+    import duckdb
+
+    rows, labels = [], []
+    for k, lang in enumerate(("en", "de", None, "es")):
+        for i in range(1300):
+            doc, bad = 10_000 * k + i, i % 12 == 0
+            w = [f"w{i}x{j}" + ("%" if bad and k % 2 == 0 else "") for j in range(20)]
+            w = [x.upper() + " AB" if bad and k % 2 else x for x in w]
+            rows.append((doc, " ".join(w) + ("\nsame line here\nsame line here" if i % 50 == 0 else ""), lang))
+            labels += [(doc, int(not bad), 0)] * (1 + (i % 7 == 0)) + [(doc, None, 1)] * (i % 5 == 0)
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality_rules.apply_quality_rules(docs, lab).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", lab.toPandas())
+    want = con.sql(f"WITH {quality_rules.sql()} SELECT * FROM op2").df()
+    assert got.sort_values("doc_id")[want.columns].reset_index(drop=True).equals(want.sort_values("doc_id").reset_index(drop=True).astype(got.dtypes[want.columns].to_dict()))
+    gone = set(got.loc[~got["kept"], "doc_id"] // 10_000)
+    assert gone == {0, 1, 3}
+
+
 def test_line_dedup(spark, no_docs):
     rows = [(i, f"Menu \nline {i}\n\nline {i}", "a") for i in range(20)] + [(30, "Menu\nx", "b"), (31, None, "a"), (32, "", None), (33, "Menu", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: (r["text"], r["__lines"], r["__dropped"]) for r in line_dedup.drop_boilerplate(df).collect()}
+    got = {r["page"]["doc_id"]: (r["page"]["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_boilerplate(df).collect()}
     assert got[0] == ("line 0\n\nline 0", 4, 1) and got[30] == ("Menu\nx", 2, 0) and got[31] == (None, 0, 0) and got[32] == ("", 1, 0) and got[33] == ("", 1, 1)
     assert line_dedup.drop_boilerplate(no_docs).count() == 0
 
 
+def test_line_dedup_small_sites_ties_and_names(spark):
+    """Sites of two and forty pages, a line at the ratio, repeated rows, a very long text, columns named as the operator's own."""
+    long_ = "\n".join(f"l{i}" for i in range(50_000))
+    rows = [("a", "Home\none", 1, "x"), ("a", "Home\ntwo", 2, "x"), ("b", long_, 3, "x"), ("b", long_, 3, "x")]
+    rows += [("c", f"own {i}" + "\ntwice" * (i < 2) + "\nthrice" * (i < 3), 10 + i, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "site string, text string, n_lines long, drop string")
+    got = line_dedup.drop_boilerplate(df, site="site").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["page"]["n_lines"], []).append((r["page"]["text"], r["n_dropped"], r["page"]["drop"]))
+    assert by[1] == [("one", 1, "x")] and by[2] == [("two", 1, "x")] and by[3] == [("", 50_000, "x")] * 2
+    assert by[10] == [("own 0\ntwice", 1, "x")] and by[13] == [("own 3", 0, "x")]
+
+
 def test_packing(docs, texts, no_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, size=256, with_ids=True).collect()
     for i, text in texts:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -97,10 +133,36 @@ def test_units_are_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     assert np.frombuffer(packing.units().ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_batches_and_memory(monkeypatch):
+    """The same ids whatever is remembered, and after the memory is full."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [f"w{i} and {'y' * i} <|endoftext|>"[: 30 + i] for i in range(60)] + [""]
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    u = packing.Units(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for _ in range(2):
+        assert [np.frombuffer(u.ids(x), "<u4").tolist() for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(u) <= 20
+
+
+def test_packing_whole_sequences(spark):
+    """Documents of 2,047, 2,048 and 2,049 tokens with the end id, and repeated rows."""
+    one = " a" * 5000
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(one, add_special_tokens=False).ids
+    assert len(ids) == 5000
+    rows = spark.createDataFrame([(i, " a" * n) for i, n in ((1, 2046), (2, 2047), (3, 2048), (3, 2048))], "doc_id long, text string")
+    got = packing.pack_documents(rows).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in got) == [(1, 0, 2047), (2, 0, 2048), (3, 0, 2048), (3, 0, 2048), (3, 2048, 1), (3, 2048, 1)]
+    assert len({r["sequence_id"] for r in got}) == 5
+
+
 ADDED = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|>x", "<|endoftext", "<<|endoftext|>|>", "<|ENDOFTEXT|>"]
 
 

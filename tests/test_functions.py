@@ -41,9 +41,10 @@ def test_comparators(spark, f, a, b, want):
 
 @pytest.fixture(scope="session")
 def fixtures():
-    from conftest import ROOT
+    import pathlib
 
-    return {m[1]: m[2] for m in re.finditer(r"\*\*(\w+ [A-Z ]+\.pdf)\*\*[^\n]*\n\n```text\n(.*?)\n```", open(f"{ROOT}/FIXTURES.md").read(), re.S)}
+    root = pathlib.Path(__file__).parents[1]
+    return {m[1]: m[2] for m in re.finditer(r"\*\*(\w+ [A-Z ]+\.pdf)\*\*[^\n]*\n\n```text\n(.*?)\n```", (root / "FIXTURES.md").read_text(), re.S)}
 
 
 def extract(spark, text, flow, kind):

@@ -2,44 +2,49 @@
 
 Documents are (run_id, doc_id, doc_kind, original_file); fields are in long form
 (run_id, doc_id, field, value_str, value_num, value_list), blank ones left out.
-All joins are equi-joins on run_id and document, so they stay hash joins on
-small keys whatever the number of runs; the check specifications are a literal
-table of a few dozen rows.
+Documents and fields are dealt by run_id once, and the fields of a document are
+put into one map; all that follows - pairs, groups, rules - joins and groups by
+run_id and needs no further exchange, whatever the number of runs. The check
+specifications are a literal table of a few dozen rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
 from ..functions.numbers import to_float_export, to_float_import
+from ..functions.text import digits_only, norm_str_export, norm_str_import
 
 #: The checks of each family of document pairs: name, kind, keys of a, keys of b, tolerances.
 _G = ["gross_weight_kg_total_calc", "gross_weight_kg", "gross_weight_total_kg"]
 _N = ["net_weight_kg_total_calc", "net_weight_kg", "net_weight_total_kg"]
 _NAME, _CNPJ = ["consignee_name", "importer_name"], ["consignee_cnpj", "importer_cnpj"]
+_IMPORTER, _IMPORTER_CNPJ = ["importer_name", "consignee_name"], ["importer_cnpj", "consignee_cnpj"]
 IMPORT_SPECS = {
     "invoice_vs_packing": [
         ("Invoice vs Packing reference number", "docref", ["invoice_number"], ["invoice_number", "packing_list_number"]),
-        ("Consignee name", "string", _NAME[::-1], _NAME),
-        ("Consignee CNPJ", "cnpj", _CNPJ[::-1], _CNPJ),
+        ("Consignee name", "string", _IMPORTER, _NAME),
+        ("Consignee CNPJ", "cnpj", _IMPORTER_CNPJ, _CNPJ),
         ("Gross weight (kg)", "number", ["gross_weight_kg"], _G),
         ("Net weight (kg)", "number", ["net_weight_kg"], _N),
     ],
     "packing_vs_bl": [("Consignee name", "string", _NAME, _NAME), ("Consignee CNPJ", "cnpj", _CNPJ, _CNPJ), ("Gross weight (kg)", "number", _G, ["gross_weight_kg"])],
-    "invoice_vs_bl": [("Consignee name", "string", _NAME[::-1], _NAME), ("Consignee CNPJ", "cnpj", _CNPJ[::-1], _CNPJ), ("Gross weight (kg)", "number", ["gross_weight_kg"], ["gross_weight_kg"])],
+    "invoice_vs_bl": [("Consignee name", "string", _IMPORTER, _NAME), ("Consignee CNPJ", "cnpj", _IMPORTER_CNPJ, _CNPJ), ("Gross weight (kg)", "number", ["gross_weight_kg"], ["gross_weight_kg"])],
     "di_vs_invoice": [("Invoice number", "docref_set", ["invoice_numbers", "invoice_number"], ["invoice_number", "packing_list_number"])],
     "di_vs_packing": [("Invoice number", "docref_set", ["invoice_numbers", "invoice_number"], ["invoice_number", "packing_list_number"])],
     "di_vs_base": [
-        ("Consignee name", "string", _NAME[::-1], _NAME[::-1]),
-        ("Consignee CNPJ", "cnpj", _CNPJ[::-1], _CNPJ[::-1]),
+        ("Consignee name", "string", _IMPORTER, _IMPORTER),
+        ("Consignee CNPJ", "cnpj", _IMPORTER_CNPJ, _IMPORTER_CNPJ),
         ("Gross weight (kg)", "number", ["gross_weight_kg", "gross_weight_total_kg"], ["gross_weight_kg", "gross_weight_kg_total_calc", "gross_weight_total_kg"]),
         ("Net weight (kg)", "number", ["net_weight_kg", "net_weight_total_kg"], ["net_weight_kg", "net_weight_kg_total_calc", "net_weight_total_kg"]),
     ],
     "di_vs_bl": [("NCM/HS", "ncm_hs", ["ncm", "ncm_or_hs"], ["ncm", "ncm_or_hs"])],
 }
+#: A licence is checked as a declaration is, under a family of its own.
+IMPORT_SPECS |= {f"li_{name[3:]}": specs for name, specs in IMPORT_SPECS.items() if name.startswith("di_")}
 _GT, _NT = ["gross_weight_kg_total"], ["net_weight_kg_total"]
 EXPORT_SPECS = {
     "invoice_vs_packing": [
@@ -67,6 +72,10 @@ EXPORT_SPECS = {
         ("Gross weight (kg)", "number", ["gross_weight_kg"], ["gross_weight_kg"]),
         ("Net weight (kg)", "number", ["net_weight_kg"], ["net_weight_kg"]),
     ],
+    "container_data_vs_draft_bl": [
+        ("Booking number", "docref", ["booking_number"], ["booking_number"]),
+        ("Container numbers", "container_set", ["containers"], ["containers"]),
+    ],
 }
 #: Kinds of a role and their rank; families as pairs of roles.
 ROLES = {
@@ -74,8 +83,8 @@ ROLES = {
     "exportation": {"invoice": ["commercial_invoice"], "packing": ["packing_list"], "bl": ["draft_bl"], "coo": ["certificate_of_origin"], "container": ["container_data"]},
 }
 FAMILIES = {
-    "importation": [("packing_vs_bl", "packing", "bl"), ("invoice_vs_bl", "invoice", "bl"), *[(f"di_vs_{n}", x, y) for x in ("di", "li") for n, y in (("invoice", "invoice"), ("packing", "packing"), ("base", "invoice"), ("base", "packing"), ("base", "bl"), ("bl", "bl"))]],
-    "exportation": [("invoice_vs_draft_bl", "invoice", "bl"), ("packing_vs_draft_bl", "packing", "bl"), ("coo_vs_invoice", "coo", "invoice")],
+    "importation": [("packing_vs_bl", "packing", "bl"), ("invoice_vs_bl", "invoice", "bl"), *[(f"{x}_vs_{n}", x, y) for x in ("di", "li") for n, y in (("invoice", "invoice"), ("packing", "packing"), ("base", "invoice"), ("base", "packing"), ("base", "bl"), ("bl", "bl"))]],
+    "exportation": [("invoice_vs_draft_bl", "invoice", "bl"), ("packing_vs_draft_bl", "packing", "bl"), ("coo_vs_invoice", "coo", "invoice"), ("container_data_vs_draft_bl", "container", "bl")],
 }
 
 
@@ -125,20 +134,49 @@ def all_pairs(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
     return out.unionByName(a.join(b, ["run_id", "b_role"]).select("run_id", "family", "a_doc", "b_doc"))
 
 
-def _resolve(pairs: DataFrame, fields: DataFrame, side: str) -> DataFrame:
-    """First key of the list whose value is not blank, with the value."""
-    want = pairs.select("run_id", "family", "a_doc", "b_doc", "check_ord", F.col(f"{side}_doc").alias("doc_id"), F.posexplode(f"{side}_keys").alias("pos", "field"))
-    got = want.join(fields.select("run_id", "doc_id", "field", "value_str", "value_num", "value_list"), ["run_id", "doc_id", "field"])
-    v = F.struct("field", "value_str", "value_num", "value_list")
-    return got.groupBy("run_id", "family", "a_doc", "b_doc", "check_ord").agg(F.min_by(v, "pos").alias(side))
+def with_fields(docs: DataFrame, fields: DataFrame) -> DataFrame:
+    """docs with `m`, the map of a document's fields, dealt by run_id. A field stands once in a document."""
+    # Both sides are dealt together, so that documents without fields stay and one exchange is enough.
+    d = docs.select("run_id", "doc_id", F.struct(*docs.columns).alias("d"), F.lit(None).alias("f"))
+    f = F.struct("field", F.struct("value_str", "value_num", "value_list").alias("v"))
+    f = fields.select("run_id", "doc_id", F.lit(None).alias("d"), f.alias("f"))
+    both = d.unionByName(f).repartition("run_id").groupBy("run_id", "doc_id").agg(F.max("d").alias("d"), F.map_from_entries(F.collect_list("f")).alias("m"))
+    return both.where("d IS NOT NULL").select("d.*", "m")
+
+
+def resolve(m: Column, keys: Column) -> Column:
+    """Of a map of fields the first key that is there, with its value: struct(field, value_str, value_num, value_list), or null."""
+    found = F.transform(keys, lambda k: F.struct(k.alias("field"), F.try_element_at(m, k).alias("v")))
+    x = F.get(F.filter(found, lambda f: f["v"].isNotNull()), F.lit(0))
+    return F.when(x.isNotNull(), F.struct(x["field"].alias("field"), x["v"]["value_str"].alias("value_str"), x["v"]["value_num"].alias("value_num"), x["v"]["value_list"].alias("value_list")))
+
+
+def label_of(name: Column, kind: Column) -> Column:
+    """How a document is named in pairs and groups: by its original file, else by its kind."""
+    blank = lambda x: F.when(F.btrim(x) != "", x)
+    return F.coalesce(blank(name), blank(kind), F.lit("doc"))
+
+
+def container_numbers(x: Column) -> Column:
+    """Sorted distinct container numbers of a list of texts."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(F.array_join(x, " ")), F.lit(r"\b([A-Z]{4}[0-9]{7})\b"), F.lit(1))))
 
 
 def pair_checks(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
     """One row per pair and check: status (match, divergent, skipped), reason, keys used and values."""
     spark = docs.sparkSession
-    pairs = all_pairs(with_roles(docs, flow), fields, flow).join(F.broadcast(check_specs(spark, flow)), "family")
-    on = ["run_id", "family", "a_doc", "b_doc", "check_ord"]
-    full = pairs.drop("a_keys", "b_keys").join(_resolve(pairs, fields, "a"), on, "left").join(_resolve(pairs, fields, "b"), on, "left")
+    d = with_fields(with_roles(docs, flow), fields)
+    side = lambda s: d.select("run_id", F.col("doc_id").alias(f"{s}_doc"), F.col("role").alias(f"{s}_role"), F.col("m").alias(f"{s}_m"), label_of(F.col("original_file"), F.col("doc_kind")).alias(f"{s}_label"))
+    fam = spark.createDataFrame([("invoice_vs_packing", "invoice", "packing"), *FAMILIES[flow]], "family string, a_role string, b_role string")
+    pairs = side("a").join(F.broadcast(fam.withColumnRenamed("b_role", "want")), "a_role").join(side("b"), "run_id").where("want = b_role")
+    key = C.docref_key_import if flow == "importation" else C.docref_key_export
+    ref = lambda s, keys: key(resolve(F.col(f"{s}_m"), F.array(*[F.lit(k) for k in keys]))["value_str"])
+    same = (F.col("family") == "invoice_vs_packing") & F.coalesce(ref("a", ["invoice_number"]) == ref("b", ["packing_list_number", "invoice_number"]), F.lit(False))
+    # Invoices and packing lists pair by their references; in a run where none agrees, all do.
+    pairs = pairs.withColumn("same", same).withColumn("any", F.max("same").over(W.partitionBy("run_id")))
+    pairs = pairs.where((F.col("family") != "invoice_vs_packing") | F.col("same") | ~F.col("any"))
+    full = pairs.join(F.broadcast(check_specs(spark, flow)), "family")
+    full = full.select("*", resolve(F.col("a_m"), F.col("a_keys")).alias("a"), resolve(F.col("b_m"), F.col("b_keys")).alias("b"))
     to_float = to_float_import if flow == "importation" else to_float_export
     text = lambda s: F.coalesce(F.col(f"{s}.value_str"), F.col(f"{s}.value_num").cast("string"), F.array_join(F.col(f"{s}.value_list"), ","))
     number = lambda s: F.coalesce(F.col(f"{s}.value_num"), to_float(F.col(f"{s}.value_str")))
@@ -147,18 +185,22 @@ def pair_checks(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
     for kind, f in (C.IMPORT if flow == "importation" else C.EXPORT).items():
         close = (F if close is None else close).when(F.col("kind") == kind, f(text("a"), text("b")))
     close = close.when(F.col("kind") == "docref_set", C.docref_set_close(items("a"), items("b")))
-    a, b = F.col("a").isNull(), F.col("b").isNull()
+    boxes = F.col("kind") == "container_set"
+    close = close.when(boxes, container_numbers(items("a")) == container_numbers(items("b")))
+    lacks = lambda s: F.col(s).isNull() | (boxes & (F.size(container_numbers(items(s))) == 0))
+    a, b = lacks("a"), lacks("b")
     numeric = F.col("kind") == "number"
     x, y = number("a"), number("b")
     reason = F.when(a & b, "missing_on_both").when(a, "missing_on_a").when(b, "missing_on_b").when(numeric & (x.isNull() | y.isNull()), "not_numeric")
     ok = F.when(numeric, C.number_close(x, y, F.col("abs_tol"), F.col("rel_tol"))).otherwise(F.coalesce(close, F.lit(False)))
+    note = F.when(F.col("kind") == "ncm_hs", C.ncm_note(text("a"), text("b"))).when(boxes & ~a & ~b, F.when(ok, "set_equal").otherwise("set_differ"))
     return full.select(
-        "run_id", "family", "a_doc", "b_doc", "check_ord", "check",
+        "run_id", "family", F.concat("family", F.lit(" | "), "a_label", F.lit(" <> "), "b_label").alias("pair"), "a_doc", "b_doc", "check_ord", "check",
         F.when(reason.isNotNull(), "skipped").when(ok, "match").otherwise("divergent").alias("status"),
         reason.alias("reason"), F.col("a.field").alias("a_key_used"), F.col("b.field").alias("b_key_used"),
         F.when(numeric & x.isNotNull(), x.cast("string")).otherwise(text("a")).alias("a_value"),
         F.when(numeric & y.isNotNull(), y.cast("string")).otherwise(text("b")).alias("b_value"),
-        F.when(F.col("kind") == "ncm_hs", C.ncm_note(text("a"), text("b"))).alias("note"),
+        note.alias("note"), F.coalesce(note.startswith("partial_hs_"), F.lit(False)).alias("warning"),
     )
 
 
@@ -168,31 +210,64 @@ def first_docs(docs: DataFrame, flow: str) -> DataFrame:
     return with_roles(docs, flow).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def group_check(docs: DataFrame, fields: DataFrame, flow: str, roles: list[str], keys: list[str], mode: str) -> DataFrame:
-    """Equality of a value over the first document of each role; missing if any lacks it."""
-    d = first_docs(docs, flow).where(F.col("role").isin(roles))
-    pos = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("field"))
-    v = fields.select("run_id", "doc_id", "value_str", pos.alias("pos")).where("pos > 0").groupBy("run_id", "doc_id").agg(F.min_by("value_str", "pos").alias("v"))
+def group_check(docs: DataFrame, fields: DataFrame, flow: str, roles: list[str], keys: list[str] | dict[str, list[str]], mode: str) -> DataFrame:
+    """Equality of a value over the first document of each role; missing if any lacks it.
+
+    keys: the aliases, the same for all roles or by role. Every document with a
+    value to compare is held against the first such; tax numbers without a digit
+    are none. Items carry document, key and value.
+    """
+    by = keys if isinstance(keys, dict) else {r: keys for r in roles}
+    d = with_fields(first_docs(docs, flow).where(F.col("role").isin(roles)), fields)
+    used = None
+    for r in roles:
+        used = (F if used is None else used).when(F.col("role") == r, F.array(*[F.lit(k) for k in by[r]]))
+    v = resolve(F.col("m"), used)
+    text = F.coalesce(v["value_str"], v["value_num"].cast("string"), F.array_join(v["value_list"], ","))
     rank = F.array_position(F.array(*[F.lit(r) for r in roles]), F.col("role"))
-    g = d.join(v, ["run_id", "doc_id"], "left").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("v").alias("v"), "doc_kind"))).alias("items"))
-    close = {"shipper": C.shipper_close, "cnpj": C.cnpj_close, "string": C.string_close_import if flow == "importation" else C.string_close_export}[mode]
+    item = F.struct(rank.alias("r"), label_of(F.col("original_file"), F.col("doc_kind")).alias("doc"), "doc_kind", v["field"].alias("key_used"), text.alias("v"))
+    g = d.select("run_id", item.alias("item")).groupBy("run_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    close, plain = {
+        "shipper": (C.shipper_close, lambda x: x),
+        "cnpj": (C.cnpj_close, digits_only),
+        "string": (C.string_close_import if flow == "importation" else C.string_close_export, norm_str_import if flow == "importation" else norm_str_export),
+    }[mode]
     lacking = F.filter("items", lambda x: x["v"].isNull())
-    status = F.when(F.size(lacking) > 0, "missing").when(F.forall("items", lambda x: close(x["v"], F.get("items", F.lit(0))["v"])), "match").otherwise("divergent")
-    return g.select("run_id", status.alias("status"), F.array_join(F.transform(lacking, lambda x: x["doc_kind"]), ",").alias("missing"), F.size("items").alias("n_docs"))
+    said = F.filter("items", lambda x: F.coalesce(plain(x["v"]), F.lit("")) != "")
+    g = g.select("run_id", "items", lacking.alias("lacking"), said.alias("said"))
+    equal = F.forall("said", lambda x: close(x["v"], F.get("said", F.lit(0))["v"]))
+    status = F.when((F.size("lacking") > 0) | (F.size("said") == 0), "missing").when(equal, "match").otherwise("divergent")
+    names = F.array_join(F.transform("lacking", lambda x: x["doc"]), ", ")
+    same, other = ("all_equal", "digits_differ") if mode == "cnpj" else ("all_equal_soft", "values_differ")
+    reason = F.when(F.size("lacking") > 0, F.concat(F.lit("missing_in: "), names)).when(F.size("said") == 0, "no_values_found").when(equal, same).otherwise(other)
+    return g.select("run_id", status.alias("status"), reason.alias("reason"), F.array_join(F.transform("lacking", lambda x: x["doc_kind"]), ",").alias("missing"), F.size("items").alias("n_docs"), "items")
 
 
 def freight_rule(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
-    """Delivery term of the invoice against the freight mode of the bill of lading."""
-    d = with_roles(docs, flow)
-    pick = lambda role, names: d.where(F.col("role") == role).join(fields.where(F.col("field").isin(names)), ["run_id", "doc_id"], "left").groupBy("run_id", "doc_id").agg(F.min("value_str").alias("v"))
-    a = pick("invoice", ["incoterm"]).select("run_id", F.col("v").alias("term"))
-    b = pick("bl", ["freight_terms", "freight_mode"]).select("run_id", F.col("v").alias("mode"))
+    """Delivery term of every invoice of a run against the freight mode of every bill of lading."""
+    d = with_fields(with_roles(docs, flow), fields)
     export = flow != "importation"
-    mode = F.upper(F.btrim("mode")) if export else C.freight_mode(F.col("mode"))
+    pick = lambda role, s, names: d.where(F.col("role") == role).select("run_id", F.col("doc_id").alias(f"{s}_doc"), label_of(F.col("original_file"), F.col("doc_kind")).alias(f"{s}_label"), resolve(F.col("m"), F.array(*[F.lit(n) for n in names])).alias(s))
+    # Aliases of the two fields, the first that is there counts.
+    a = pick("invoice", "a", ["incoterm", "incoterms"])
+    b = pick("bl", "b", ["freight_terms", "freight_mode", "freight", "freight_term"])
+    j = a.join(b, "run_id").withColumn("term", F.col("a.value_str")).withColumn("said", F.col("b.value_str"))
+    mode = F.upper(F.btrim("said")) if export else C.freight_mode(F.col("said"))
     want = C.expected_freight(F.col("term"), export)
-    reason = F.when(F.col("term").isNull() & F.col("mode").isNull(), "missing_on_both").when(F.col("term").isNull(), "missing_on_a").when(F.col("mode").isNull(), "missing_on_b").when(want.isNull(), "incoterm_not_in_mapping")
+    lacks = F.col("term").isNull() | F.col("said").isNull()
+    reason = F.when(lacks, "missing_incoterm_or_freight_mode").when(want.isNull(), "incoterm_not_in_mapping")
     status = F.when(reason.isNotNull(), "skipped").when(want == mode, "match").otherwise("divergent")
-    return a.join(b, "run_id").select("run_id", "term", want.alias("expected"), mode.alias("freight"), status.alias("status"), reason.alias("reason"))
+    pair = F.concat("a_label", F.lit(" <> "), "b_label")
+    return j.select("run_id", "a_doc", "b_doc", pair.alias("pair"), "term", F.when(~lacks, want).alias("expected"), F.when(lacks, F.col("said")).otherwise(mode).alias("freight"), status.alias("status"), reason.alias("reason"))
+
+
+def stage_summary(pair_rows: DataFrame, group_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """Per run the counts of the three buckets, a row for each run of any."""
+    n = lambda s, name: F.count_if(F.col("status") == s).alias(name)
+    p = pair_rows.groupBy("run_id").agg(F.count("*").alias("pair_total"), n("match", "pair_matches"), n("divergent", "pair_divergences"), n("skipped", "pair_skipped"))
+    g = group_rows.groupBy("run_id").agg(F.count("*").alias("group_total"), n("divergent", "group_divergences"), n("missing", "group_missing"))
+    r = rule_rows.groupBy("run_id").agg(F.count("*").alias("rule_total"), n("divergent", "rule_divergences"), n("skipped", "rule_skipped"))
+    return p.join(g, "run_id", "full").join(r, "run_id", "full").na.fill(0)
 
 
 def summary(checks: DataFrame, *by: str) -> DataFrame:

@@ -37,8 +37,8 @@ LEGAL_IMPORT = r"(?i)\b(LTDA|LTD|S\.?\s*P\.?\s*A\.?|S\.?\s*R\.?\s*L\.?|S\.?\s*A\
 
 def clean_token(x: Column) -> Column:
     """A value without blanks, colons and dashes at its ends; null if it says nothing."""
-    s = F.btrim(collapse_spaces(x), F.lit(" \t\r\n:-"))
-    return F.when((s == "") | s.rlike(r"^[.\-_/\\:]+$") | F.upper(s).isin("N/A", "NA", "NONE", "NULL", "NIL"), None).otherwise(s)
+    said = lambda s: F.when((s == "") | s.rlike(r"^[.\-_/\\:]+$") | F.upper(s).isin("N/A", "NA", "NONE", "NULL", "NIL"), None).otherwise(s)
+    return let(F.btrim(collapse_spaces(x), F.lit(" \t\r\n:-")), said)
 
 
 def _indexes(ls: Column, pattern: str) -> Column:
@@ -59,9 +59,8 @@ def label(labels: str, value: str = ".", reject: str | None = None, ahead: int =
 
     def rule(t: Column, ls: Column) -> Column:
         def at(i: Column) -> Column:
-            inline = clean_token(F.regexp_replace(F.get(ls, i), f"^.*?(?:{mark})", ""))
-            below = F.filter(F.transform(F.slice(ls, i + 2, F.lit(ahead)), clean_token), fit)
-            return F.when(fit(inline), inline).otherwise(_first(below))
+            below = _first(F.filter(F.transform(F.slice(ls, i + 2, F.lit(ahead)), clean_token), fit))
+            return let(clean_token(F.regexp_replace(F.get(ls, i), f"^.*?(?:{mark})", "")), lambda inline: F.when(fit(inline), inline).otherwise(below))
 
         return _first(F.filter(F.transform(_indexes(ls, mark), at), lambda v: v.isNotNull()))
 
@@ -94,15 +93,16 @@ def weight(labels: str, ahead: int = 16) -> Rule:
     return rule
 
 
-def stacked_weight(which: int, labels: str) -> Rule:
-    """Two bare numbers below the later of both weight labels are gross and net; else the label's own."""
+def bare_numbers(t: Column, ls: Column) -> Column:
+    """The first two bare numbers below the later of both weight labels."""
+    start = F.greatest(_first(_indexes(ls, r"(?i)\bPESO\s+BRUTO\b|\bGROSS\s+WEIGHT\b")), _first(_indexes(ls, r"(?i)\bPESO\s+NETO\b|\bNET\s+WEIGHT\b")))
+    bare = F.filter(F.slice(ls, start + 2, F.lit(29)), lambda x: x.rlike(r"^[0-9.,]+$"))
+    return F.slice(F.filter(F.transform(bare, parse_number_export), lambda v: v.isNotNull()), 1, 2)
 
-    def rule(t: Column, ls: Column) -> Column:
-        start = F.greatest(_first(_indexes(ls, r"(?i)\bPESO\s+BRUTO\b|\bGROSS\s+WEIGHT\b")), _first(_indexes(ls, r"(?i)\bPESO\s+NETO\b|\bNET\s+WEIGHT\b")))
-        bare = F.filter(F.slice(ls, start + 2, F.lit(29)), lambda x: x.rlike(r"^[0-9.,]+$") & parse_number_export(x).isNotNull())
-        return F.coalesce(F.when(F.size(bare) >= 2, parse_number_export(F.get(bare, F.lit(which)))), weight(labels)(t, ls))
 
-    return rule
+def stacked_weight(which: int, labels: str) -> Rule:
+    """Two bare numbers below the later of both weight labels are gross and net; else the label's own."""
+    return lambda t, ls: F.coalesce(F.when(F.size("shared_numbers") >= 2, F.get("shared_numbers", F.lit(which))), weight(labels)(t, ls))
 
 
 def incoterm_export(t: Column, ls: Column) -> Column:
@@ -345,18 +345,28 @@ _NO = r"(?:NR\.?|NO\.?|N[Oº°.]?)"
 _MODE, _LOAD, _DEST = r"\b(?:VIA\s+DE\s+TRANSPORTE|MEANS\s+OF\s+TRANSPORT)\b", r"\b(?:PUERTO\s+DE\s+EMBARQUE|PORT\s+OF\s+LOADING)\b", r"\b(?:PUERTO\s+DE\s+DESTINO|PORT\s+OF\s+(?:DESTINATION|DISCHARGE))\b"
 
 
-def stacked(which: int, own: str, ahead: int) -> Rule:
-    """Three transport labels in order are followed by their three values; else each label has its own."""
+def transport_values(t: Column, ls: Column) -> Column:
+    """The values below three transport labels that stand in order; null where they don't."""
+    marks = F.array(*[_indexes(ls, f"(?i){x}") for x in (_MODE, _LOAD, _DEST)])
 
-    def rule(t: Column, ls: Column) -> Column:
-        a = _first(_indexes(ls, f"(?i){_MODE}"))
-        b = _first(F.filter(_indexes(ls, f"(?i){_LOAD}"), lambda i: i > a))
-        c = _first(F.filter(_indexes(ls, f"(?i){_DEST}"), lambda i: i > b))
+    def values(m: Column) -> Column:
+        a = _first(m[0])
+        b = _first(F.filter(m[1], lambda i: i > a))
+        c = _first(F.filter(m[2], lambda i: i > b))
         skip = f"(?i){_MODE}|{_LOAD}|{_DEST}|\\bPESO\\b|\\bWEIGHT\\b"
         vals = F.filter(F.transform(F.slice(ls, c + 2, F.lit(11)), clean_token), lambda v: v.isNotNull() & ~v.rlike(skip))
-        return F.coalesce(F.when((b > a) & (c > b) & (F.size(vals) >= 3), F.get(vals, F.lit(which))), label(own, ahead=ahead)(t, ls))
+        return F.when((b > a) & (c > b), vals)
+
+    return let(marks, values)
 
-    return rule
+
+def stacked(which: int, own: str, ahead: int) -> Rule:
+    """Three transport labels in order are followed by their three values; else each label has its own."""
+    return lambda t, ls: F.coalesce(F.when(F.size("shared_transport") >= 3, F.get("shared_transport", F.lit(which))), label(own, ahead=ahead)(t, ls))
+
+
+#: Columns that several rules of a kind use, computed once.
+SHARED = {"shared_numbers": (bare_numbers, ("commercial_invoice", "packing_list")), "shared_transport": (transport_values, ("commercial_invoice",))}
 
 
 _BRUTO, _NETO = r"(?:\bPESO\s+BRUTO\b|\bGROSS\s+WEIGHT\b)", r"(?:\bPESO\s+NETO\b|\bNET\s+WEIGHT\b)"
@@ -542,15 +552,34 @@ def _front(t: Column) -> Column:
     return F.get(F.split(t, r"(?i)\bCONDITIONS OF CARRIAGE\b"), F.lit(0))
 
 
+def deal(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs dealt by key over all cores: work on texts must not inherit the partitions of a small table.
+
+    The number is given, as adaptive execution would join partitions that are
+    small in bytes although each row costs much. Where tables are large,
+    spark.sql.shuffle.partitions sets it.
+    """
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return docs.repartition(n, *keys)
+
+
+def docs_columns(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c != "text"]
+
+
 def extract_kind(docs: DataFrame, flow: str, kind: str) -> DataFrame:
     """(…, text) of one kind -> its columns and one column per field."""
     export = flow != "importation"
     text = _front(F.col("text")) if kind == "draft_bl" else F.col("text")
     text = text if export else normalize_spaces(text)
     d = docs.withColumn("text", text)
-    d = d.withColumn("lines", lines_collapsed("text") if export else lines("text"))
+    # The windows of an import invoice count its empty lines.
+    d = d.withColumn("lines", lines_collapsed("text") if export else lines("text", keep_empty=kind == "invoice"))
     t, ls = F.col("text"), F.col("lines")
-    return d.select(*[c for c in d.columns if c not in ("text", "lines")], *[rule(t, ls).alias(f) for f, _, rule in (EXPORT if export else IMPORT)[kind]])
+    if export:
+        d = d.withColumns({name: rule(t, ls) for name, (rule, kinds) in SHARED.items() if kind in kinds})
+    return d.select(*docs_columns(docs), *[rule(t, ls).alias(f) for f, _, rule in (EXPORT if export else IMPORT)[kind]])
 
 
 def missing_required(fields: DataFrame, flow: str, kind: str) -> Column:

@@ -99,10 +99,13 @@ IMPORT_DOCS = {
     "bl": {"consignee_name": ("imp_b", None), "consignee_cnpj": ("cnpj_b", None), "gross_weight_kg": (None, _GB), "ncm": ("ncm_b", None)},
     "di": {"importer_name": ("imp_a", None), "importer_cnpj": ("cnpj_a", None), "invoice_numbers": ("inv_a", None), "ncm": ("ncm_a", None), "net_weight_kg": (None, "net_a")},
 }
+LICENCE = {"li": {"importer_name": ("imp_b", None), "importer_cnpj": ("cnpj_b", None), "invoice_number": ("inv_b", None), "ncm": ("ncm_b", None), "gross_weight_kg": (None, _GB)}}
+_NO = "lpad(CAST(k % 10000000 AS VARCHAR), 7, '0')"
 EXPORT_DOCS = {
     "invoice": {"invoice_number": ("inv_a", None), "importer_name": ("imp_a", None), "exporter_cnpj": ("cnpj_a", None), "exporter_name": ("exp_a", None), "incoterm": ("term", None), "gross_weight_kg": (None, _GA), "net_weight_kg": (None, "net_a"), "ncm": ("ncm_a", None), "container_count": (None, "containers::DOUBLE")},
     "packing": {"packing_list_number": ("inv_b", None), "incoterm": ("term", None), "gross_weight_kg": (None, _GB), "net_weight_kg": (None, "net_b"), "ncm": ("ncm_b", None), "container_count": (None, "(containers + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END)::DOUBLE")},
-    "bl": {"importer_name": ("imp_b", None), "exporter_cnpj": ("cnpj_b", None), "exporter_name": ("exp_b", None), "incoterm": ("term", None), "gross_weight_kg_total": (None, _GB), "net_weight_kg_total": (None, "net_b"), "ncm": ("ncm_b", None)},
+    "bl": {"importer_name": ("imp_b", None), "exporter_cnpj": ("cnpj_b", None), "exporter_name": ("exp_b", None), "incoterm": ("term", None), "gross_weight_kg_total": (None, _GB), "net_weight_kg_total": (None, "net_b"), "ncm": ("ncm_b", None), "booking_number": (f"CASE WHEN k % 9 = 0 THEN 'SSY' ELSE 'SSZ' END || {_NO}", None), "containers": (f"CASE WHEN k % 14 = 0 THEN NULL WHEN k % 10 = 0 THEN 'TEMU' || {_NO} ELSE 'MSKU0000001,TEMU' || {_NO} END", None)},
+    "container": {"invoice_number": ("inv_a", None), "booking_number": (f"'SSZ' || {_NO}", None), "containers": (f"'MSKU0000001,TEMU' || {_NO}", None)},
     "coo": {"invoice_number": ("inv_b", None), "importer_name": ("imp_b", None), "exporter_name": ("exp_b", None), "gross_weight_kg": (None, _GB), "net_weight_kg": (None, "net_b")},
 }
 
@@ -115,10 +118,10 @@ def _side(doc: dict, keys: list[str]) -> tuple[str, str]:
     return f"coalesce({', '.join(text)}, NULL)" if text else "CAST(NULL AS VARCHAR)", f"coalesce({', '.join(num)}, NULL)" if num else "CAST(NULL AS DOUBLE)"
 
 
-def checks(flow: str) -> str:
+def checks(flow: str, licence: bool = False) -> str:
     """Common table expressions ending in `checks` (k, family, a_role, b_role, check_ord, check, status, reason)."""
     export = flow != "importation"
-    docs, specs = (EXPORT_DOCS, EXPORT_SPECS) if export else (IMPORT_DOCS, IMPORT_SPECS)
+    docs, specs = (EXPORT_DOCS, EXPORT_SPECS) if export else (IMPORT_DOCS | (LICENCE if licence else {}), IMPORT_SPECS)
     rows = []
     for family, a, b in [("invoice_vs_packing", "invoice", "packing"), *FAMILIES[flow]]:
         if a not in docs or b not in docs:
@@ -136,6 +139,8 @@ def checks(flow: str) -> str:
                 ok = string_close(ta, tb, export)
             elif kind == "cnpj":
                 ok = cnpj_close(ta, tb)
+            elif kind == "container_set":
+                ok = f"({ta} = {tb})"
             elif kind in ("docref", "docref_set"):
                 ok = docref_close(ta, tb, export)
             else:

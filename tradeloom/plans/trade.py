@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compare import FREIGHT_EXPORT, INCOTERMS
+from ..operators.extract import deal
 from ..sources.tables import table
 
 
@@ -50,7 +51,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 13 == 0, F.when(paid == "COLLECT", "PREPAID").otherwise("COLLECT")).otherwise(F.coalesce(paid, F.lit("PREPAID"))).alias("freight"),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"),
         F.coalesce("n", F.lit(0)).alias("containers"),
-    )
+    ).transform(deal, "k")
 
 
 _TERMS = "[" + ", ".join(f"'{x}'" for x in INCOTERMS) + "]"
@@ -87,8 +88,8 @@ def _field(name: str, text=None, num=None, items=None):
     )
 
 
-def documents(spark: SparkSession, sf_dir: str, flow: str = "importation") -> tuple[DataFrame, DataFrame]:
-    """The documents (run_id, doc_id, doc_kind, original_file) and their fields in long form."""
+def documents(spark: SparkSession, sf_dir: str, flow: str = "importation", licence: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The documents (run_id, doc_id, doc_kind, original_file) and their fields in long form; licence: with an import licence in every run."""
     s = shipments(spark, sf_dir)
     c = F.col
     gross = lambda x: F.round(x * 1.1, 3)
@@ -99,11 +100,18 @@ def documents(spark: SparkSession, sf_dir: str, flow: str = "importation") -> tu
             "bl": [_field("consignee_name", c("imp_b")), _field("consignee_cnpj", c("cnpj_b")), _field("shipper_name", c("exp_b")), _field("gross_weight_kg", num=gross(c("net_b"))), _field("ncm", c("ncm_b")), _field("freight_terms", c("freight"))],
             "di": [_field("importer_name", c("imp_a")), _field("importer_cnpj", c("cnpj_a")), _field("invoice_numbers", items=F.array(c("inv_a"))), _field("ncm", c("ncm_a")), _field("net_weight_kg", num=c("net_a"))],
         }
+        if licence:
+            kinds["li"] = [_field("importer_name", c("imp_b")), _field("importer_cnpj", c("cnpj_b")), _field("invoice_number", c("inv_b")), _field("ncm", c("ncm_b")), _field("gross_weight_kg", num=gross(c("net_b")))]
     else:
+        number = F.lpad((c("k") % 10000000).cast("string"), 7, "0")
+        booking, box = F.concat(F.lit("SSZ"), number), F.concat(F.lit("TEMU"), number)
+        other = F.when(c("k") % 9 == 0, F.concat(F.lit("SSY"), number)).otherwise(booking)
+        boxes = F.when(c("k") % 14 != 0, F.when(c("k") % 10 == 0, F.array(F.lit("no number"), box)).otherwise(F.array(F.concat(box, F.lit(" M1024218 2100,000")), F.lit("MSKU0000001"))))
         kinds = {
             "commercial_invoice": [_field("invoice_number", c("inv_a")), _field("importer_name", c("imp_a")), _field("exporter_cnpj", c("cnpj_a")), _field("exporter_name", c("exp_a")), _field("incoterm", c("term")), _field("gross_weight_kg", num=gross(c("net_a"))), _field("net_weight_kg", num=c("net_a")), _field("ncm", c("ncm_a")), _field("container_count", num=c("containers").cast("double"))],
             "packing_list": [_field("packing_list_number", c("inv_b")), _field("incoterm", c("term")), _field("gross_weight_kg", num=gross(c("net_b"))), _field("net_weight_kg", num=c("net_b")), _field("ncm", c("ncm_b")), _field("container_count", num=(c("containers") + F.when(c("k") % 10 == 0, 1).otherwise(0)).cast("double"))],
-            "draft_bl": [_field("importer_name", c("imp_b")), _field("exporter_cnpj", c("cnpj_b")), _field("exporter_name", c("exp_b")), _field("incoterm", c("term")), _field("freight_mode", c("freight")), _field("gross_weight_kg_total", num=gross(c("net_b"))), _field("net_weight_kg_total", num=c("net_b")), _field("ncm", c("ncm_b"))],
+            "draft_bl": [_field("importer_name", c("imp_b")), _field("exporter_cnpj", c("cnpj_b")), _field("exporter_name", c("exp_b")), _field("incoterm", c("term")), _field("freight_mode", c("freight")), _field("gross_weight_kg_total", num=gross(c("net_b"))), _field("net_weight_kg_total", num=c("net_b")), _field("ncm", c("ncm_b")), _field("booking_number", other), _field("containers", items=boxes)],
+            "container_data": [_field("invoice_number", c("inv_a")), _field("booking_number", booking), _field("containers", items=F.array(F.lit("MSKU0000001"), box))],
             "certificate_of_origin": [_field("invoice_number", c("inv_b")), _field("importer_name", c("imp_b")), _field("exporter_name", c("exp_b")), _field("gross_weight_kg", num=gross(c("net_b"))), _field("net_weight_kg", num=c("net_b"))],
         }
     docs = F.explode(F.array(*[F.struct(F.lit(kind).alias("doc_kind"), F.array(*fields).alias("fields")) for kind, fields in kinds.items()]))

@@ -134,8 +134,13 @@ def all_pairs(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
     return out.unionByName(a.join(b, ["run_id", "b_role"]).select("run_id", "family", "a_doc", "b_doc"))
 
 
-def with_fields(docs: DataFrame, fields: DataFrame) -> DataFrame:
-    """docs with `m`, the map of a document's fields, dealt by run_id. A field stands once in a document."""
+def with_fields(docs: DataFrame, fields: DataFrame | None) -> DataFrame:
+    """docs with `m`, the map of a document's fields, dealt by run_id. A field stands once in a document.
+
+    Documents that have their map already (fields is None) are only dealt.
+    """
+    if fields is None:
+        return docs.repartition("run_id")
     # Both sides are dealt together, so that documents without fields stay and one exchange is enough.
     d = docs.select("run_id", "doc_id", F.struct(*docs.columns).alias("d"), F.lit(None).alias("f"))
     f = F.struct("field", F.struct("value_str", "value_num", "value_list").alias("v"))
@@ -162,7 +167,7 @@ def container_numbers(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(F.array_join(x, " ")), F.lit(r"\b([A-Z]{4}[0-9]{7})\b"), F.lit(1))))
 
 
-def pair_checks(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
+def pair_checks(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFrame:
     """One row per pair and check: status (match, divergent, skipped), reason, keys used and values."""
     spark = docs.sparkSession
     d = with_fields(with_roles(docs, flow), fields)
@@ -210,7 +215,7 @@ def first_docs(docs: DataFrame, flow: str) -> DataFrame:
     return with_roles(docs, flow).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def group_check(docs: DataFrame, fields: DataFrame, flow: str, roles: list[str], keys: list[str] | dict[str, list[str]], mode: str) -> DataFrame:
+def group_check(docs: DataFrame, fields: DataFrame | None, flow: str, roles: list[str], keys: list[str] | dict[str, list[str]], mode: str) -> DataFrame:
     """Equality of a value over the first document of each role; missing if any lacks it.
 
     keys: the aliases, the same for all roles or by role. Every document with a
@@ -243,7 +248,7 @@ def group_check(docs: DataFrame, fields: DataFrame, flow: str, roles: list[str],
     return g.select("run_id", status.alias("status"), reason.alias("reason"), F.array_join(F.transform("lacking", lambda x: x["doc_kind"]), ",").alias("missing"), F.size("items").alias("n_docs"), "items")
 
 
-def freight_rule(docs: DataFrame, fields: DataFrame, flow: str) -> DataFrame:
+def freight_rule(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFrame:
     """Delivery term of every invoice of a run against the freight mode of every bill of lading."""
     d = with_fields(with_roles(docs, flow), fields)
     export = flow != "importation"

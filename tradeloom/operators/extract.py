@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compare import INCOTERMS
+from ..functions.compare import INCOTERMS, expected_freight
 from ..functions.numbers import parse_cnpj, parse_int_digits, parse_number_export, parse_number_import
 from ..functions.text import collapse_spaces, digits_only, find, find_all, find_any, let, lines, lines_collapsed, normalize_spaces, section, strip, strip_accents
 
@@ -153,13 +153,6 @@ def line_before_cnpj(t: Column, ls: Column) -> Column:
     return F.when(i > 0, F.get(ls, i - 1))
 
 
-def company_before_tax_id(t: Column, ls: Column) -> Column:
-    """Up to nine lines above the first tax number, the nearest company first."""
-    i = _first(_indexes(ls, TAX_ID))
-    start = F.greatest(i - 9, F.lit(0))
-    return _first(_companies_import(F.reverse(F.slice(ls, start + 1, i - start))))
-
-
 def shipper_invoice(t: Column, ls: Column) -> Column:
     """Up to nine lines above SHIP TO, the nearest first; else the first of twelve that looks like a company."""
     i = _first(_indexes(ls, r"(?i)\bSHIP\s*TO\b"))
@@ -209,6 +202,106 @@ def company_after_cnpj(t: Column, ls: Column) -> Column:
     return _first(F.filter(_companies(F.slice(ls, i + 2, F.lit(23))), lambda x: ~F.lower(x).eqNullSafe(other)))
 
 
+def clean_company(x: Column, packing: bool = False) -> Column:
+    """A company's name without what runs into its line: clauses, contacts, all behind a legal suffix."""
+    s = F.regexp_replace(collapse_spaces(x), r"(?i)\bVEICU\s+LOS\b", "VEICULOS")
+    s = strip(F.regexp_replace(s, r"(?i)^(.+?) (?:RECEIVED|PARTY TO CONTACT|TEL|PHONE|PH:).*$", "$1"))
+    if packing:
+        s = strip(F.regexp_replace(s, r"(?i)\b(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\.?\s+[0-9]{1,2},\s*[0-9]{4}\b", ""))
+    # Legal suffixes; a packing list knows two fewer.
+    more = "" if packing else r"|SRL|S\.?R\.?L\.?|S\.?P\.?A\.?|SPA"
+    s = F.regexp_replace(s, rf"(?i)^(.*?\b(?:LTDA\.?|LTD\.?|S\.?A\.?|S/A|SA{more}|INC\.?|LLC|CORPORATION|CORP\.?)\b).*$", "$1")
+    s = strip(F.regexp_replace(s, r"[\s,;\-]+$", ""))
+    return F.when(s != "", s)
+
+
+def consignee_block(t: Column, ls: Column) -> Column:
+    """name and cnpj of the consignee of a bill: the tax number within 25 lines of the block, the nearest fit line above it; else the first tax number alone."""
+    tax = r"(?i)CNPJ\s*[:#]?\s*([0-9][0-9.\-/]{11,})"
+    head = _first(_indexes(ls, r"(?i)\bCONSIGNEE\b|CONSIGNED\s+TO\s+THE\s+ORDER\s+OF"))
+    marks = _indexes(ls, tax)
+
+    def found(i: Column) -> Column:
+        j = _first(F.filter(marks, lambda k: (k > i) & (k <= i + 25)))
+        start = F.greatest(i + 1, j - 9)
+        above = F.filter(F.reverse(F.slice(ls, start + 1, F.greatest(j - start, F.lit(0)))), lambda x: ~x.rlike(r"(?i)\b(CON...|CONSIGNED|NOTIFY|CNPJ|TEL|PHONE)\b"))
+        number_ = F.coalesce(F.get(ls, j), F.get(ls, _first(marks)))
+        return F.struct(clean_company(_first(above)).alias("name"), F.nullif(digits_only(find(number_, tax)), F.lit("")).alias("cnpj"))
+
+    return let(head, found)
+
+
+# Words of lines that are no port.
+NOT_A_PORT = r"EMAIL|E-MAIL|TEL|FAX|CNPJ|IVA|CAP\.SOC|CAP SOC|TRIB|C\.C\.|PORT OF|PLACE OF|DELIVERY"
+
+
+def port_like(x: Column) -> Column:
+    return ~F.upper(x).rlike(NOT_A_PORT) & (F.length(F.regexp_replace(x, r"\P{L}", "")) >= 3)
+
+
+def port(which: str, vessel: bool = False) -> Rule:
+    """The last fit value on a label's line; else the first fit line of three below the first label; else a word below a vessel line."""
+    mark = rf"(?i)\bPORT\s+OF\s+{which}\b"
+
+    def rule(t: Column, ls: Column) -> Column:
+        said = F.transform(ls, lambda x: collapse_spaces(find(x, mark + r"\s*[:\-]?\s*(.+)$")))
+        inline = F.try_element_at(F.filter(said, lambda v: v.isNotNull() & (v != "") & port_like(v) & ~v.contains("@")), F.lit(-1))
+        i = _first(_indexes(ls, mark))
+        below = _first(F.filter(F.slice(ls, i + 2, F.lit(3)), lambda x: ~x.rlike(r"(?i)\b(PORT\s+OF|PLACE\s+OF|E-MAIL|EMAIL)\b") & port_like(x)))
+        out = F.coalesce(inline, collapse_spaces(below))
+        if vessel:
+            admin = r"(?i)\b(C\.C\.|IVA|P\.?\s*IVA|CAP\.?SOC|TRIB)\b.*$"
+            rows = F.filter(_indexes(ls, mark), lambda k: F.get(ls, k).rlike(r"(?i)\b(?:OCEAN\s+VESSEL|VESSEL)\b"))
+            words = lambda k: F.transform(F.slice(ls, k + 2, F.lit(2)), lambda x: F.try_element_at(F.regexp_extract_all(F.upper(F.regexp_replace(x, admin, "")), F.lit(r"\b([A-Z]{4,})\b"), F.lit(1)), F.lit(-1)))
+            out = F.coalesce(out, _first(F.filter(F.flatten(F.transform(rows, words)), lambda v: v.isNotNull())))
+        return out
+
+    return rule
+
+
+def invoice_number_import(t: Column, ls: Column) -> Column:
+    """Of four patterns in order the first match that is a reference: trimmed, with a digit, of two characters at least."""
+    texts = [
+        r"(?is)\bINVOICE\s*(?:NO|N[Oº°.]?)\s*[:\-]?\s*([A-Z0-9\-/]+)\b",
+        r"(?is)\b(?:FATTURA(?:\s+ACCOMPAGNATORIA)?|INVOICE(?:_EXT)?)\b[\s\S]{0,240}?\bN\.?\s*[:\-]?\s*([A-Z0-9\-/]{1,30})\b",
+        r"(?is)\bN\.?\s*[:\-]?\s*([A-Z0-9\-/]{1,30})\s*(?:\r?\n|\s){0,20}\b(?:DATA|DATE|DATA/DATE)\b",
+        r"(?is)\b([A-Z]{1,6}-[0-9]{3,10})\b",
+    ]
+    trimmed = F.transform(F.concat(*[find_all(t, p, 1) for p in texts]), lambda x: F.regexp_replace(x, r"^[.\-:/\s]+|[.\-:/\s]+$", ""))
+    return _first(F.filter(trimmed, lambda x: (F.length(x) >= 2) & ~F.upper(x).isin("N", "NO", "O", "INVOICE") & x.rlike("[0-9]")))
+
+
+def invoice_weights(t: Column, ls: Column) -> Column:
+    """net and gross by their labels, and one weight for both where neither is there."""
+    net, gross = (parse_number_import(find(t, rf"(?is)\b{w}\s*WEIGHT\b\s*[:\-]?\s*([0-9.,]+)\s*KGS?\b")) for w in ("NET", "GROSS"))
+    one = parse_number_import(find(t, r"(?is)\b(?:PESO|WEIGHT)\b[\s\S]{0,80}\bKGS?\b[\s:]*([0-9][0-9.,]{0,20})"))
+    return let(F.struct(net.alias("net"), gross.alias("gross")), lambda w: F.struct(w["net"].alias("net"), w["gross"].alias("gross"), F.when(w["net"].isNull() & w["gross"].isNull(), one).alias("one")))
+
+
+def or_sum(item: str, total: Rule) -> Rule:
+    """The total; where it is missing the sum over the items that have the value."""
+
+    def rule(t: Column, ls: Column) -> Column:
+        values = F.filter(F.transform("shared_items", lambda i: i[item]), lambda v: v.isNotNull())
+        kind = "long" if item == "packages" else "double"
+        return F.coalesce(total(t, ls), F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda a, v: a + v)))
+
+    return rule
+
+
+def draft_parties(t: Column, ls: Column) -> Column:
+    return F.struct(company_before_cnpj(t, ls).alias("exporter"), first_of(company_after_cnpj, consignee)(t, ls).alias("importer"))
+
+
+def notify_by_mail(t: Column, ls: Column) -> Column:
+    """The company line two above or directly above a line with an address of mail, that is neither party."""
+    norm = lambda x: F.lower(collapse_spaces(x))
+    other = lambda x: F.coalesce(norm(x) != norm(F.col("shared_parties.exporter")), F.lit(True)) & F.coalesce(norm(x) != norm(F.col("shared_parties.importer")), F.lit(True))
+    mails = F.filter(_indexes(ls, "@"), lambda i: i >= 1)
+    near = F.flatten(F.transform(mails, lambda i: F.array(F.when(i >= 2, F.get(ls, i - 2)), F.get(ls, i - 1))))
+    return _first(F.filter(F.transform(F.filter(near, lambda x: x.isNotNull()), company_line), lambda x: looks_company(x) & other(x)))
+
+
 def consignee(t: Column, ls: Column) -> Column:
     return company_line(label(r"\bCONSIGNEE\b", reject=r"\b(not negotiable|consigned to order|phone|road)\b", ahead=10)(t, ls))
 
@@ -366,7 +459,10 @@ def stacked(which: int, own: str, ahead: int) -> Rule:
 
 
 #: Columns that several rules of a kind use, computed once.
-SHARED = {"shared_numbers": (bare_numbers, ("commercial_invoice", "packing_list")), "shared_transport": (transport_values, ("commercial_invoice",))}
+SHARED = {
+    "exportation": {"shared_numbers": (bare_numbers, ("commercial_invoice", "packing_list")), "shared_transport": (transport_values, ("commercial_invoice",)), "shared_parties": (draft_parties, ("draft_bl",))},
+    "importation": {"shared_weights": (invoice_weights, ("invoice",)), "shared_items": (packing_items, ("packing_list",)), "shared_consignee": (consignee_block, ("bl", "hbl"))},
+}
 
 
 _BRUTO, _NETO = r"(?:\bPESO\s+BRUTO\b|\bGROSS\s+WEIGHT\b)", r"(?:\bPESO\s+NETO\b|\bNET\s+WEIGHT\b)"
@@ -414,9 +510,9 @@ EXPORT: dict[str, list[tuple[str, bool, Rule]]] = {
         ("gross_weight_kg_total", True, weight(r"\bGROSS\s+WEIGHT\b", 6)),
         ("cubic_meters_total", True, number(pattern(r"(?i)\b([0-9.,]+)\s*(?:M3|CBM|M³)"))),
         ("exporter_cnpj", True, cnpj_export),
-        ("exporter_name", True, company_before_cnpj),
-        ("importer_name", True, first_of(company_after_cnpj, consignee)),
-        ("notify_party_name", True, label(r"(?:\bNOTIFY\s+PARTY\b|\bALSO\s+NOTIFY\b|^NOTIFY\b)", reject=r"\b(?:PHONE|PORT|VESSEL)\b", ahead=12)),
+        ("exporter_name", True, lambda t, ls: F.col("shared_parties.exporter")),
+        ("importer_name", True, lambda t, ls: F.col("shared_parties.importer")),
+        ("notify_party_name", True, first_of(notify_by_mail, label(r"(?:\bNOTIFY\s+PARTY\b|\bALSO\s+NOTIFY\b|^NOTIFY\b)", reject=r"\b(?:PHONE|PORT|VESSEL)\b", ahead=12))),
         ("phones_found", False, phones),
         ("containers", True, container_rows),
     ],
@@ -440,20 +536,20 @@ _NCM_IMPORT = pattern(r"(?i)\bNCM\b\s*(?:NO\.?|Nº)?\s*:?\s*([0-9]{4,8})")
 _COUNTRY = lambda what: pattern(rf"(?im)^\s*COUNTRY\s+OF\s+{what}\s*[:\-]?\s*([A-Z][A-Z ]{{2,40}})\s*$")
 _BL = [
     ("shipper_name", True, shipper_bl),
-    *[(f, True, company_before_tax_id) for f in ("importer_name", "consignee_name")],
-    *[(f, True, cnpj_import) for f in ("importer_cnpj", "consignee_cnpj")],
+    *[(f, True, lambda t, ls: F.col("shared_consignee.name")) for f in ("importer_name", "consignee_name")],
+    *[(f, True, lambda t, ls: F.col("shared_consignee.cnpj")) for f in ("importer_cnpj", "consignee_cnpj")],
     *[(f, True, _NCM_IMPORT) for f in ("ncm", "ncm_or_hs")],
     ("gross_weight_kg", True, bl_gross),
-    ("freight_terms", False, freight_terms),
+    *[(f, False, freight_terms) for f in ("freight_terms", "freight_term")],
     ("measurement_m3", False, number(pattern(r"(?i)([0-9][0-9.,]+)\s*(?:M3|CBM)\b"), _P1)),
     ("notify_party", False, lambda t, ls: company_line(label(r"\bNOTIFY(?:\s+PARTY)?\b", reject=r"\b(?:SHIPPER|BOOKING|B/L|PORT)\b", ahead=5)(t, ls))),
-    ("port_of_loading", False, label(r"\bPORT\s+OF\s+LOADING\b", value="[A-Za-z]{3}", ahead=3)),
-    ("port_of_discharge", False, label(r"\bPORT\s+OF\s+DISCHARGE\b", value="[A-Za-z]{3}", ahead=3)),
+    ("port_of_loading", False, port("LOADING", vessel=True)),
+    ("port_of_discharge", False, port("DISCHARGE")),
 ]
 _IMPORTER, _EXPORTER = "INFORMACOES - IMPORTADOR", "EXPORTADOR / FABRICANTE / PRODUTOR"
 IMPORT: dict[str, list[tuple[str, bool, Rule]]] = {
     "invoice": [
-        ("invoice_number", True, lambda t, ls: _first(F.filter(F.concat(find_all(t, r"(?i)\bINVOICE\s*(?:NO|N[Oº°.]?)\s*[:\-]?\s*([A-Z0-9\-/]+)\b", 1), find_all(t, r"(?is)\b(?:FATTURA|INVOICE(?:_EXT)?)\b.{0,240}?\bN\.?\s*[:\-]?\s*([A-Z0-9\-/]{1,30})\b", 1), find_all(t, r"(?i)\b([A-Z]{1,6}-[0-9]{3,10})\b", 1)), lambda x: (F.length(x) >= 2) & x.rlike("[0-9]")))),
+        ("invoice_number", True, invoice_number_import),
         ("invoice_date", True, pattern(r"(?i)\b(?:DATA|DATE)\b\s*[:\-]?\s*([0-3]?[0-9]/[01]?[0-9]/(?:19|20)[0-9]{2})\b", r"(?i)\b((?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\.?\s+[0-9]{1,2},\s*[0-9]{4})\b", r"\b([0-3]?[0-9]/[01]?[0-9]/(?:19|20)[0-9]{2})\b")),
         ("payment_terms", True, pattern(r"(?i)\b(?:PAYMENT\s+TERMS|CONDIZIONI\s+DI\s+PAGAMENTO)\b[^\n\r]*[\r\n]+([^\n\r]{3,120})", r"(?i)\b(ADVANCE\s+PAYMENT)\b")),
         ("importer_name", True, first_of(lambda t, ls: _first(_companies_import(F.slice(ls, _first(_indexes(ls, r"(?i)\bBILL\s+TO\b")) + 2, F.lit(15)))), line_before_cnpj)),
@@ -464,22 +560,22 @@ IMPORT: dict[str, list[tuple[str, bool, Rule]]] = {
         ("country_of_origin", False, _COUNTRY("ORIGIN")),
         ("country_of_acquisition", False, _COUNTRY("ACQUISITION")),
         ("country_of_provenance", False, _COUNTRY("PROVENANCE")),
-        ("net_weight_kg", True, number(pattern(r"(?i)\bNET\s*WEIGHT\b\s*[:\-]?\s*([0-9.,]+)\s*KGS?\b", r"(?i)\bGROSS\s*WEIGHT\b\s*[:\-]?\s*([0-9.,]+)\s*KGS?\b"), _P1)),
-        ("gross_weight_kg", True, number(pattern(r"(?i)\bGROSS\s*WEIGHT\b\s*[:\-]?\s*([0-9.,]+)\s*KGS?\b", r"(?i)\bNET\s*WEIGHT\b\s*[:\-]?\s*([0-9.,]+)\s*KGS?\b"), _P1)),
+        ("net_weight_kg", True, lambda t, ls: F.coalesce("shared_weights.net", "shared_weights.gross", "shared_weights.one")),
+        ("gross_weight_kg", True, lambda t, ls: F.coalesce("shared_weights.gross", "shared_weights.net", "shared_weights.one")),
         ("total_quantity", False, number(pattern(r"(?i)\bTOTAL\s+(?:QTY|QUANTITY|UNITS)\b\s*[:\-]?\s*([0-9.,]+)\b"), _P1)),
         ("freight_and_expenses", False, lambda t, ls: t.rlike(r"(?i)\b(FREIGHT|INSURANCE|CHARGES?|EXPENSES?)\b")),
         ("line_items", False, items_import),
     ],
     "packing_list": [
         ("invoice_number", True, first_of(pattern(r"(?i)\bINVOICE\b[^\n]*?\b(?:NR\.?|NO\.?|NUMBER|N[Oº°.]?)\b[^0-9\n]*(?:INVOICE[_\-\s]*EXT\s*)?([0-9]{1,10})\b", r"(?i)\bINVOICE[_\-\s]*EXT\s*([0-9]{1,10})\b"), lambda t, ls: find(_first(F.filter(ls, lambda x: x.rlike("(?i)PACKING") & x.rlike(r"\b[A-Z]{1,4}-[0-9]{3,10}"))), r"\b([A-Z]{1,4}-[0-9]{3,10}(?:-[A-Z])?)\b"), pattern(r"\b([A-Z]{1,4}-[0-9]{3,10}(?:-[A-Z])?)\b"))),
-        ("importer_name", True, first_of(company_before_cnpj, lambda t, ls: company_line(label(r"\bACCOUNT\s+OF\b", ahead=5)(t, ls)))),
+        ("importer_name", True, lambda t, ls: clean_company(first_of(company_before_cnpj, lambda t, ls: company_line(label(r"\bACCOUNT\s+OF\b", ahead=5)(t, ls)))(t, ls), packing=True)),
         ("importer_cnpj", True, cnpj_import),
         ("shipper_name", False, lambda t, ls: company_line(label(r"\b(?:SHIPPER|EXPORTER)\b", ahead=5)(t, ls))),
-        ("packages_total", True, lambda t, ls: parse_int_digits(total_packing(1, r"(?i)\bTOTAL\s+(?:BOXES|BOX|CARTONS?)\b.*?\b(?:NR\.?|N[Oº°.]?)\s*[:\-]?\s*([0-9]+)\b")(t, ls))),
-        ("net_weight_kg", True, number(total_packing(2, r"(?i)\bNET(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1)),
-        ("gross_weight_kg", True, number(total_packing(3, r"(?i)\bGROSS(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1)),
-        ("measurement_total_m3", True, number(total_packing(4, r"(?i)\bTOTAL\s+VOLUME\b.*?\b(?:MC|M3)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1)),
-        ("items", True, packing_items),
+        ("packages_total", True, or_sum("packages", lambda t, ls: parse_int_digits(total_packing(1, r"(?i)\bTOTAL\s+(?:BOXES|BOX|CARTONS?)\b.*?\b(?:NR\.?|N[Oº°.]?)\s*[:\-]?\s*([0-9]+)\b")(t, ls)))),
+        ("net_weight_kg", True, or_sum("net_weight_kg", number(total_packing(2, r"(?i)\bNET(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1))),
+        ("gross_weight_kg", True, or_sum("gross_weight_kg", number(total_packing(3, r"(?i)\bGROSS(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1))),
+        ("measurement_total_m3", True, or_sum("m3_total", number(total_packing(4, r"(?i)\bTOTAL\s+VOLUME\b.*?\b(?:MC|M3)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1))),
+        ("items", True, lambda t, ls: F.col("shared_items")),
     ],
     "bl": _BL,
     "hbl": _BL,
@@ -568,8 +664,8 @@ def docs_columns(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c != "text"]
 
 
-def extract_kind(docs: DataFrame, flow: str, kind: str) -> DataFrame:
-    """(…, text) of one kind -> its columns and one column per field."""
+def extract_kind(docs: DataFrame, flow: str, kind: str, with_lines: bool = False) -> DataFrame:
+    """(…, text) of one kind -> its columns and one column per field; with_lines: and warnings and the lines."""
     export = flow != "importation"
     text = _front(F.col("text")) if kind == "draft_bl" else F.col("text")
     text = text if export else normalize_spaces(text)
@@ -577,9 +673,38 @@ def extract_kind(docs: DataFrame, flow: str, kind: str) -> DataFrame:
     # The windows of an import invoice count its empty lines.
     d = d.withColumn("lines", lines_collapsed("text") if export else lines("text", keep_empty=kind == "invoice"))
     t, ls = F.col("text"), F.col("lines")
-    if export:
-        d = d.withColumns({name: rule(t, ls) for name, (rule, kinds) in SHARED.items() if kind in kinds})
-    return d.select(*docs_columns(docs), *[rule(t, ls).alias(f) for f, _, rule in (EXPORT if export else IMPORT)[kind]])
+    d = d.withColumns({name: rule(t, ls) for name, (rule, kinds) in SHARED["exportation" if export else "importation"].items() if kind in kinds})
+    more = [warnings(flow, kind).alias("warnings"), F.col("lines")] if with_lines else []
+    out = d.select(*docs_columns(docs), *[rule(t, ls).alias(f) for f, _, rule in (EXPORT if export else IMPORT)[kind]], *more)
+    if with_lines:
+        # A generator between: what follows uses a field several times, and the optimizer would put its rule in for each use.
+        out = out.select(F.explode(F.array(F.struct(*[F.col(c) for c in out.columns]))).alias("row")).select("row.*")
+    return out
+
+
+def warnings(flow: str, kind: str) -> Column:
+    """What a kind's rules have to say of their own inferences, over its shared columns."""
+    no = F.lit(None).cast("string")
+    said = [no]
+    if (flow, kind) == ("importation", "invoice"):
+        w = F.col("shared_weights")
+        said = [F.when(w["one"].isNotNull(), "invoice_single_weight_used_for_net_and_gross"), F.when(w["net"].isNull() & w["gross"].isNotNull(), "invoice_net_weight_inferred_from_gross"), F.when(w["gross"].isNull() & w["net"].isNotNull(), "invoice_gross_weight_inferred_from_net")]
+    return F.array_compact(F.array(*said))
+
+
+def row_warnings(flow: str, kind: str) -> Column:
+    """Warnings that compare the fields of an extracted row."""
+    said = [F.lit(None).cast("string")]
+    if (flow, kind) == ("importation", "packing_list"):
+        for field, name in (("net_weight_kg", "Net Weight"), ("gross_weight_kg", "Gross Weight")):
+            total = F.aggregate(F.filter(F.col(f"items.{field}"), lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
+            text = F.format_string(f"Soma {name} da tabela (%.2f) difere do TOTAL (%.2f). Usando TOTAL.", total, F.col(field))
+            said.append(F.when((F.size("items") > 0) & (F.abs(total - F.col(field)) > 0.5), text))
+    if (flow, kind) == ("exportation", "draft_bl"):
+        want = expected_freight(F.col("incoterm"), True)
+        text = F.concat(F.lit("possible_incoterm_freight_mismatch: incoterm="), "incoterm", F.lit(" expected="), want, F.lit(" freight_mode="), "freight_mode")
+        said.append(F.when(F.upper("freight_mode") != want, text))
+    return F.array_compact(F.array(*said))
 
 
 def missing_required(fields: DataFrame, flow: str, kind: str) -> Column:

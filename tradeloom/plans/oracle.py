@@ -118,10 +118,11 @@ def _side(doc: dict, keys: list[str]) -> tuple[str, str]:
     return f"coalesce({', '.join(text)}, NULL)" if text else "CAST(NULL AS VARCHAR)", f"coalesce({', '.join(num)}, NULL)" if num else "CAST(NULL AS DOUBLE)"
 
 
-def checks(flow: str, licence: bool = False) -> str:
+def checks(flow: str, licence: bool = False, of: dict | None = None) -> str:
     """Common table expressions ending in `checks` (k, family, a_role, b_role, check_ord, check, status, reason)."""
     export = flow != "importation"
     docs, specs = (EXPORT_DOCS, EXPORT_SPECS) if export else (IMPORT_DOCS | (LICENCE if licence else {}), IMPORT_SPECS)
+    docs = of or docs
     rows = []
     for family, a, b in [("invoice_vs_packing", "invoice", "packing"), *FAMILIES[flow]]:
         if a not in docs or b not in docs:

@@ -118,8 +118,8 @@ _extract("extract_invoice_import", "importation", "invoice", lambda: _lines(_l("
 _extract("extract_packing_import", "importation", "packing_list", lambda: _lines(("PACKING LIST ", F.regexp_replace("inv_a", "^INV", "DN")), _l("* MOD1: OUTBOARD"), _l("1 - 3 3 CARTONS @199 @264 1,2 3,6"), _l("597 792"), ("TOTAL : 3 CARTONS ", _fixed(_c("net_a"), 2), " ", _fixed(_c("net_a") * 2, 2), " 3.772"), ("CNPJ ", _shape())),
          {"invoice_number": "'DN-' || substr(inv_a, 5)", "importer_cnpj": "cnpj_a", "packages_total": "3::BIGINT", "net_weight_kg": "net_a", "gross_weight_kg": "net_a * 2", "measurement_total_m3": "3.772::DOUBLE", "model": "'MOD1'", "item_net": "597.0::DOUBLE", "sum_packages": "3::BIGINT"},
          lambda x: x.withColumn("model", F.col("items")[0]["model"]).withColumn("item_net", F.col("items")[0]["net_weight_kg"]).withColumn("sum_packages", F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["packages"])))
-_extract("extract_bl_import", "importation", "bl", lambda: _lines(_l("BILL OF LADING"), _l("SHIPPER"), ("", _c("exp_a"), " 258255821A"), _l("CONSIGNEE"), ("", _c("imp_a")), ("CNPJ ", _shape()), _l("NOTIFY PARTY\nSAME AS CONSIGNEE"), ("NCM ", F.left("ncm_a", _l(6))), _l("PORT OF LOADING: SANTOS"), _l("PORT OF DISCHARGE\nNAVEGANTES"), ("GROSS WEIGHT\n", _fixed(_c("net_a"), 2), " KG ", _fixed(_c("net_a"), 2), " KG"), _l("53,772 CBM"), ("FREIGHT ", _c("freight"))),
-         {"shipper_name": "exp_a", "importer_name": "imp_a", "importer_cnpj": "cnpj_a", "ncm": "left(ncm_a, 6)", "gross_weight_kg": "net_a * 2", "freight_terms": "freight", "measurement_m3": "53772.0::DOUBLE", "notify_party": "'SAME AS CONSIGNEE'", "port_of_loading": "'SANTOS'", "port_of_discharge": "'NAVEGANTES'"})
+_extract("extract_bl_import", "importation", "bl", lambda: _lines(_l("BILL OF LADING"), _l("SHIPPER"), ("", _c("exp_a"), " 258255821A"), _l("SHIPPER SA\nCNPJ 11.222.333/0001-44"), _l("CONSIGNEE"), ("", _c("imp_a"), " Received by the Carrier"), _l("RUA 1, TEL 99"), ("CNPJ ", _shape()), _l("NOTIFY PARTY\nSAME AS CONSIGNEE\nOTHER SA\nCNPJ 99.888.777/0001-66"), ("NCM ", F.left("ncm_a", _l(6))), _l("PORT OF LOADING: TEL 5"), _l("PORT OF LOADING: GENOVA"), _l("PORT OF LOADING: SANTOS"), _l("PORT OF DISCHARGE\nEMAIL a\nNAVEGANTES"), ("GROSS WEIGHT\n", _fixed(_c("net_a"), 2), " KG ", _fixed(_c("net_a"), 2), " KG"), _l("53,772 CBM"), ("FREIGHT ", _c("freight"))),
+         {"shipper_name": "exp_a", "importer_name": "imp_a", "importer_cnpj": "cnpj_a", "ncm": "left(ncm_a, 6)", "gross_weight_kg": "net_a * 2", "freight_terms": "freight", "freight_term": "freight", "measurement_m3": "53772.0::DOUBLE", "notify_party": "'SAME AS CONSIGNEE'", "port_of_loading": "'SANTOS'", "port_of_discharge": "'NAVEGANTES'"})
 _extract("extract_di", "importation", "di", lambda: _lines(_l("CONFERENCIA DI"), ("IMPORTADOR\n", _c("imp_a")), ("CNPJ ", _shape()), ("FATURA COMERCIAL ", _c("inv_a"), " 12 77 ", _c("inv_a")), _l("NOSSA REFERÊNCIA: A-1"), _l("TIPO DE DECLARAÇÃO\nCONSUMO"), _l("URF DESPACHO\nsem\n0817800"), _l("INFORMAÇÕES - IMPORTADOR"), _l("CIDADE/UF: ITAJAI"), _l("INFORMAÇÕES - CARGA"), ("NCM ", _c("ncm_a")), ("PESO BRUTO: ", _fixed(_c("net_a"), 2), " KG")),
          {"importer_name": "imp_a", "importer_cnpj": "cnpj_a", "invoice_number": "inv_a", "n_invoices": "1::BIGINT", "reference_internal": "'A-1'", "declaration_type": "'CONSUMO'", "dispatch_urf": "'0817800'", "importer_city_uf": "'ITAJAI'", "ncm": "ncm_a", "gross_weight_kg": "net_a"},
          lambda x: x.withColumn("n_invoices", F.size("invoice_numbers").cast("long")))
@@ -130,8 +130,8 @@ _extract("extract_invoice_export", "exportation", "commercial_invoice", lambda:
 _extract("extract_packing_export", "exportation", "packing_list", lambda: _lines(("PACKING NR ", _c("inv_b")), _c("day"), ("GROSS WEIGHT ", _fixed(_c("net_a") + 5), " KG"), ("NET WEIGHT\n", _fixed(_c("net_a"))), ("NCM ", _c("ncm_a")), ("CNTR ", _c("containers").cast("string")), ("TEMU", F.lpad((_c("k") % 10000000).cast("string"), 7, "0"), " M1024218 76,98"), ("TEMU", F.lpad((_c("k") % 10000000).cast("string"), 7, "0"), " X9999999 1,0")),
          {"packing_list_number": "inv_b", "packing_date": "day", "gross_weight_kg": "net_a + 5", "net_weight_kg": "net_a", "ncm": "ncm_a", "container_count": "containers", "n_containers": "1::BIGINT", "seal": "'M1024218'", "value_1": "76.98::DOUBLE"},
          lambda x: x.withColumn("n_containers", F.size("containers").cast("long")).withColumn("seal", F.col("containers")[0]["seal"]).withColumn("value_1", F.col("containers")[0]["value_1"]))
-_extract("extract_draft_bl", "exportation", "draft_bl", lambda: _lines(_l("BILL OF LADING"), ("FREIGHT ", _c("freight")), ("NCM ", _c("ncm_a")), _l("DUE: ."), ("RUC BR", _c("k").cast("string")), _l("WOODEN PACKAGE: NO"), _l("12 CARTONS"), ("Net Weight: ", _fixed(_c("net_a")), " kg"), ("Gross Weight: ", _fixed(_c("net_a") + 5), " kg"), _l("53,772 CBM"), ("", _c("exp_a")), ("CNPJ ", _shape()), ("", _c("imp_a")), _l("NOTIFY PARTY SOME ONE SA"), _l("CONDITIONS OF CARRIAGE"), _l("NET WEIGHT 9 KG")),
-         {"freight_mode": "freight", "ncm": "ncm_a", "due": "CAST(NULL AS VARCHAR)", "ruc": "'BR' || k", "wooden_packing": "'NO'", "total_cartons": "12::BIGINT", "net_weight_kg_total": "net_a", "gross_weight_kg_total": "net_a + 5", "cubic_meters_total": "53.772::DOUBLE", "exporter_cnpj": "cnpj_a", "exporter_name": "exp_a", "importer_name": "imp_a", "notify_party_name": "'SOME ONE SA'"})
+_extract("extract_draft_bl", "exportation", "draft_bl", lambda: _lines(_l("BILL OF LADING"), ("FREIGHT ", _c("freight")), ("NCM ", _c("ncm_a")), _l("DUE: ."), ("RUC BR", _c("k").cast("string")), _l("WOODEN PACKAGE: NO"), _l("12 CARTONS"), ("Net Weight: ", _fixed(_c("net_a")), " kg"), ("Gross Weight: ", _fixed(_c("net_a") + 5), " kg"), _l("53,772 CBM"), ("", _c("exp_a")), ("CNPJ ", _shape()), ("", _c("imp_a")), _l("NOTIFY PARTY SOME ONE SA"), _l("PAGE 1\nCLIENTE FINAL SA\nsales@cliente.example"), _l("CONDITIONS OF CARRIAGE"), _l("NET WEIGHT 9 KG")),
+         {"freight_mode": "freight", "ncm": "ncm_a", "due": "CAST(NULL AS VARCHAR)", "ruc": "'BR' || k", "wooden_packing": "'NO'", "total_cartons": "12::BIGINT", "net_weight_kg_total": "net_a", "gross_weight_kg_total": "net_a + 5", "cubic_meters_total": "53.772::DOUBLE", "exporter_cnpj": "cnpj_a", "exporter_name": "exp_a", "importer_name": "imp_a", "notify_party_name": "'CLIENTE FINAL SA'"})
 _extract("extract_coo", "exportation", "certificate_of_origin", lambda: _lines(_l("CERTIFICATE OF ORIGIN"), ("", _c("exp_a")), ("CONSIGNEE ", _c("imp_a")), ("INVOICE NR ", _c("inv_a")), _c("day"), _l("BY SEA"), ("", _fixed(_c("net_a") + 5), " KGS"), ("", _fixed(_c("net_a")), " KGS"), _l("120,5 M2")),
          {"invoice_number": "inv_a", "certificate_date": "day", "transport_mode": "'BY SEA'", "exporter_name": "exp_a", "importer_name": "imp_a", "net_weight_kg": "net_a", "gross_weight_kg": "net_a + 5", "total_m2": "120.5::DOUBLE"})
 _extract("extract_container_data", "exportation", "container_data", lambda: _lines(("FATURA ", _c("inv_a")), ("BOOKING SSZ", F.lpad(_c("k").cast("string"), 7, "0")), _l("TEMU1680211"), _l("M1024218"), _l("2100,000"), _l("30480")),

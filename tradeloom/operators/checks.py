@@ -181,7 +181,10 @@ def pair_checks(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFra
     pairs = pairs.withColumn("same", same).withColumn("any", F.max("same").over(W.partitionBy("run_id")))
     pairs = pairs.where((F.col("family") != "invoice_vs_packing") | F.col("same") | ~F.col("any"))
     full = pairs.join(F.broadcast(check_specs(spark, flow)), "family")
-    full = full.select("*", resolve(F.col("a_m"), F.col("a_keys")).alias("a"), resolve(F.col("b_m"), F.col("b_keys")).alias("b"))
+    keep = ["run_id", "family", "a_label", "b_label", "a_doc", "b_doc", "check_ord", "check", "kind", "abs_tol", "rel_tol"]
+    # A generator between: the values are used many times below, and the optimizer would resolve them anew for each use.
+    found = F.struct(*keep, resolve(F.col("a_m"), F.col("a_keys")).alias("a"), resolve(F.col("b_m"), F.col("b_keys")).alias("b"))
+    full = full.select(F.explode(F.array(found)).alias("row")).select("row.*")
     to_float = to_float_import if flow == "importation" else to_float_export
     text = lambda s: F.coalesce(F.col(f"{s}.value_str"), F.col(f"{s}.value_num").cast("string"), F.array_join(F.col(f"{s}.value_list"), ","))
     number = lambda s: F.coalesce(F.col(f"{s}.value_num"), to_float(F.col(f"{s}.value_str")))

@@ -200,7 +200,7 @@ def test_token_files_query(spark):
 
 def test_token_files_parts(spark, docs, tmp_path):
     path = str(tmp_path / "t")
-    T.write_tokens(docs, path, row_group=64 << 10, page=4096, page_rows=5, files=3)
+    T.write_tokens(docs, path, row_group=4 << 10, page=1024, page_rows=5, files=3)
     every = T.read_tokens(spark, path).orderBy("start").collect()
     want = library_rows([tuple(r) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()])
     assert [tuple(r)[:4] for r in every] == want

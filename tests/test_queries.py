@@ -3,9 +3,9 @@
 import pytest
 from oracle import DATA, expected, rows
 
-from tradeloom.plans import compare_queries, flow_queries, report_queries, text_queries
+from tradeloom.plans import compare_queries, flow_queries, report_queries, result_queries, text_queries
 
-ALL = {n: (q, m.ORACLES[n]) for m in (compare_queries, text_queries, report_queries, flow_queries) for n, q in m.QUERIES.items()}
+ALL = {n: (q, m.ORACLES[n]) for m in (compare_queries, text_queries, report_queries, flow_queries, result_queries) for n, q in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", ALL)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits_only, norm_str_export, norm_str_import
+from .text import digits_only, let, norm_str_export, norm_str_import
 
 JACCARD = 0.55
 #: Words that do not identify a shipper; codes of delivery terms; the side that pays the freight.
@@ -21,6 +21,11 @@ def _sure(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
+def _both(a: Column, b: Column, norm: Callable[[Column], Column], body: Callable[[Column, Column], Column]) -> Column:
+    """body of the two normalised values, each normalised once and not once per use; never null."""
+    return _sure(let(F.struct(norm(a).alias("x"), norm(b).alias("y")), lambda v: body(v["x"], v["y"])))
+
+
 def number_close(a: Column, b: Column, abs_tol: Column | float = 1.0, rel_tol: Column | float = 0.01) -> Column:
     d = F.abs(a - b)
     return _sure((d <= abs_tol) | (d / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= rel_tol))
@@ -37,30 +42,24 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 def string_close_import(a: Column, b: Column) -> Column:
     """Equal when normalised, words alike, or the shorter within the longer."""
-    x, y = norm_str_import(a), norm_str_import(b)
-    short, long_ = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    return _sure((x != "") & (y != "") & ((x == y) | _jaccard(x, y) | F.contains(long_, short)))
+    return _both(a, b, norm_str_import, lambda x, y: (x != "") & (y != "") & ((x == y) | F.contains(x, y) | F.contains(y, x) | _jaccard(x, y)))
 
 
 def string_close_export(a: Column, b: Column) -> Column:
-    x, y = norm_str_export(a), norm_str_export(b)
-    return _sure((x != "") & (y != "") & ((x == y) | _jaccard(x, y)))
+    return _both(a, b, norm_str_export, lambda x, y: (x != "") & (y != "") & ((x == y) | _jaccard(x, y)))
 
 
 def cnpj_close(a: Column, b: Column) -> Column:
-    x, y = digits_only(a), digits_only(b)
-    return _sure((x != "") & (x == y))
+    return _both(a, b, digits_only, lambda x, y: (x != "") & (x == y))
 
 
 def docref_key_import(x: Column) -> Column:
     """Equal keys are equal references: one trailing P is a copy mark. Null where nothing is left to compare."""
-    s = F.regexp_replace(norm_str_import(x), "[^A-Z0-9]", "")
-    return F.when(s != "", F.regexp_replace(s, "P$", ""))
+    return let(F.regexp_replace(norm_str_import(x), "[^A-Z0-9]", ""), lambda s: F.when(s != "", F.regexp_replace(s, "P$", "")))
 
 
 def docref_key_export(x: Column) -> Column:
-    s = F.regexp_replace(norm_str_export(x), "[^A-Z0-9]", "")
-    return F.when(s != "", F.regexp_replace(s, "P+$", ""))
+    return let(F.regexp_replace(norm_str_export(x), "[^A-Z0-9]", ""), lambda s: F.when(s != "", F.regexp_replace(s, "P+$", "")))
 
 
 def docref_close_import(a: Column, b: Column) -> Column:
@@ -77,23 +76,20 @@ def docref_set_close(a: Column, b: Column) -> Column:
     return _sure(F.arrays_overlap(keys(a), keys(b)))
 
 
-def _prefix(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    x, y = digits_only(a), digits_only(b)
-    swap = F.length(x) > F.length(y)
-    short, long_ = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
-    some = (x != "") & (y != "")
-    return some & (x == y), some & (x != y) & F.length(short).isin(4, 6) & F.startswith(long_, short), F.length(short)
+def _part(x: Column, y: Column) -> Column:
+    """Of two codes the shorter has 4 or 6 digits and begins the longer."""
+    begins = lambda s, t: F.length(s).isin(4, 6) & (F.length(s) < F.length(t)) & F.startswith(t, s)
+    return begins(x, y) | begins(y, x)
 
 
 def ncm_close(a: Column, b: Column) -> Column:
     """Tariff codes: equal, or the shorter has 4 or 6 digits and begins the longer."""
-    same, part, _ = _prefix(a, b)
-    return _sure(same | part)
+    return _both(a, b, digits_only, lambda x, y: ((x != "") & (x == y)) | _part(x, y))
 
 
 def ncm_note(a: Column, b: Column) -> Column:
-    _, part, n = _prefix(a, b)
-    return F.when(part, F.concat(F.lit("partial_hs_"), n.cast("string")))
+    said = lambda x, y: F.when(_part(x, y), F.concat(F.lit("partial_hs_"), F.least(F.length(x), F.length(y)).cast("string")))
+    return let(F.struct(digits_only(a).alias("x"), digits_only(b).alias("y")), lambda v: said(v["x"], v["y"]))
 
 
 def set_close(a: Column, b: Column) -> Column:
@@ -108,17 +104,14 @@ def shipper_close(a: Column, b: Column) -> Column:
 
 
 def freight_mode(x: Column) -> Column:
-    s = norm_str_import(x)
-    return F.when(s.contains("COLLECT"), "COLLECT").when(s.contains("PREPAID"), "PREPAID").otherwise(s)
+    return let(norm_str_import(x), lambda s: F.when(s.contains("COLLECT"), "COLLECT").when(s.contains("PREPAID"), "PREPAID").otherwise(s))
 
 
 def expected_freight(incoterm: Column, export: bool = False) -> Column:
     """The side that pays by the term, null where the term has none."""
     it = F.upper(F.btrim(incoterm)) if export else F.btrim(F.replace(norm_str_import(incoterm), F.lit("INCOTERMS"), F.lit("")))
-    out = None
-    for code, mode in (FREIGHT_EXPORT if export else FREIGHT).items():
-        out = (F if out is None else out).when(it == code, mode)
-    return out
+    modes = F.create_map(*[F.lit(x) for kv in (FREIGHT_EXPORT if export else FREIGHT).items() for x in kv])
+    return F.try_element_at(modes, it)
 
 
 IMPORT: dict[str, Callable] = {"string": string_close_import, "cnpj": cnpj_close, "docref": docref_close_import, "ncm_hs": ncm_close, "code_prefix": ncm_close}

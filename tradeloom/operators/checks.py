@@ -138,22 +138,29 @@ def with_fields(docs: DataFrame, fields: DataFrame | None) -> DataFrame:
     """docs with `m`, the map of a document's fields, dealt by run_id. A field stands once in a document.
 
     Documents that have their map already (fields is None) are only dealt.
+    Evidence goes with the values where the fields have some.
     """
     if fields is None:
         return docs.repartition("run_id")
+    evidence = F.col("evidence") if "evidence" in fields.columns else F.lit(None).cast("array<string>")
     # Both sides are dealt together, so that documents without fields stay and one exchange is enough.
     d = docs.select("run_id", "doc_id", F.struct(*docs.columns).alias("d"), F.lit(None).alias("f"))
-    f = F.struct("field", F.struct("value_str", "value_num", "value_list").alias("v"))
+    f = F.struct("field", F.struct("value_str", "value_num", "value_list", evidence.alias("evidence")).alias("v"))
     f = fields.select("run_id", "doc_id", F.lit(None).alias("d"), f.alias("f"))
     both = d.unionByName(f).repartition("run_id").groupBy("run_id", "doc_id").agg(F.max("d").alias("d"), F.map_from_entries(F.collect_list("f")).alias("m"))
     return both.where("d IS NOT NULL").select("d.*", "m")
 
 
+def first_lines(evidence: Column) -> Column:
+    """The lines of evidence that a check carries: two, or none."""
+    return F.coalesce(F.slice(evidence, 1, 2), F.array().cast("array<string>"))
+
+
 def resolve(m: Column, keys: Column) -> Column:
-    """Of a map of fields the first key that is there, with its value: struct(field, value_str, value_num, value_list), or null."""
+    """Of a map of fields the first key that is there, with its value: struct(field, value_str, value_num, value_list, evidence), or null."""
     found = F.transform(keys, lambda k: F.struct(k.alias("field"), F.try_element_at(m, k).alias("v")))
     x = F.get(F.filter(found, lambda f: f["v"].isNotNull()), F.lit(0))
-    return F.when(x.isNotNull(), F.struct(x["field"].alias("field"), x["v"]["value_str"].alias("value_str"), x["v"]["value_num"].alias("value_num"), x["v"]["value_list"].alias("value_list")))
+    return F.when(x.isNotNull(), F.struct(x["field"].alias("field"), x["v"]["value_str"].alias("value_str"), x["v"]["value_num"].alias("value_num"), x["v"]["value_list"].alias("value_list"), first_lines(x["v"]["evidence"]).alias("evidence")))
 
 
 def label_of(name: Column, kind: Column) -> Column:
@@ -209,6 +216,7 @@ def pair_checks(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFra
         F.when(numeric & x.isNotNull(), x.cast("string")).otherwise(text("a")).alias("a_value"),
         F.when(numeric & y.isNotNull(), y.cast("string")).otherwise(text("b")).alias("b_value"),
         note.alias("note"), F.coalesce(note.startswith("partial_hs_"), F.lit(False)).alias("warning"),
+        F.coalesce("a.evidence", F.array().cast("array<string>")).alias("evidence_a"), F.coalesce("b.evidence", F.array().cast("array<string>")).alias("evidence_b"),
     )
 
 
@@ -233,7 +241,7 @@ def group_check(docs: DataFrame, fields: DataFrame | None, flow: str, roles: lis
     v = resolve(F.col("m"), used)
     text = F.coalesce(v["value_str"], v["value_num"].cast("string"), F.array_join(v["value_list"], ","))
     rank = F.array_position(F.array(*[F.lit(r) for r in roles]), F.col("role"))
-    item = F.struct(rank.alias("r"), label_of(F.col("original_file"), F.col("doc_kind")).alias("doc"), "doc_kind", v["field"].alias("key_used"), text.alias("v"))
+    item = F.struct(rank.alias("r"), label_of(F.col("original_file"), F.col("doc_kind")).alias("doc"), "doc_kind", v["field"].alias("key_used"), text.alias("v"), F.coalesce(v["evidence"], F.array().cast("array<string>")).alias("evidence"))
     g = d.select("run_id", item.alias("item")).groupBy("run_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     close, plain = {
         "shipper": (C.shipper_close, lambda x: x),
@@ -259,14 +267,17 @@ def freight_rule(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFr
     # Aliases of the two fields, the first that is there counts.
     a = pick("invoice", "a", ["incoterm", "incoterms"])
     b = pick("bl", "b", ["freight_terms", "freight_mode", "freight", "freight_term"])
-    j = a.join(b, "run_id").withColumn("term", F.col("a.value_str")).withColumn("said", F.col("b.value_str"))
+    # A generator between, as for pairs: the two values are used many times below.
+    none = F.array().cast("array<string>")
+    held = F.struct("run_id", "a_doc", "b_doc", "a_label", "b_label", F.col("a.value_str").alias("term"), F.col("b.value_str").alias("said"), F.coalesce("a.evidence", none).alias("evidence_a"), F.coalesce("b.evidence", none).alias("evidence_b"))
+    j = a.join(b, "run_id").select(F.explode(F.array(held)).alias("row")).select("row.*")
     mode = F.upper(F.btrim("said")) if export else C.freight_mode(F.col("said"))
     want = C.expected_freight(F.col("term"), export)
     lacks = F.col("term").isNull() | F.col("said").isNull()
     reason = F.when(lacks, "missing_incoterm_or_freight_mode").when(want.isNull(), "incoterm_not_in_mapping")
     status = F.when(reason.isNotNull(), "skipped").when(want == mode, "match").otherwise("divergent")
     pair = F.concat("a_label", F.lit(" <> "), "b_label")
-    return j.select("run_id", "a_doc", "b_doc", pair.alias("pair"), "term", F.when(~lacks, want).alias("expected"), F.when(lacks, F.col("said")).otherwise(mode).alias("freight"), status.alias("status"), reason.alias("reason"))
+    return j.select("run_id", "a_doc", "b_doc", pair.alias("pair"), "term", F.when(~lacks, want).alias("expected"), F.when(lacks, F.col("said")).otherwise(mode).alias("freight"), status.alias("status"), reason.alias("reason"), "evidence_a", "evidence_b")
 
 
 def stage_summary(pair_rows: DataFrame, group_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:

@@ -106,13 +106,13 @@ def extract_documents(docs: DataFrame, flow: str, kinds: list[str] | None = None
 
 
 def present_fields(fields: DataFrame) -> DataFrame:
-    return fields.where("present").select("run_id", "doc_id", "field", "value_str", "value_num", "value_list")
+    return fields.where("present").select("run_id", "doc_id", "field", "value_str", "value_num", "value_list", "evidence")
 
 
 def with_map(wide: DataFrame) -> DataFrame:
     """Documents of extract_wide with the map of their present fields, as checks take it: no exchange."""
     there = F.filter(F.coalesce("fields", F.array().cast(wide.schema["fields"].dataType)), lambda f: f["present"])
-    entries = F.transform(there, lambda f: F.struct(f["field"].alias("k"), F.struct(f["value_str"].alias("value_str"), f["value_num"].alias("value_num"), f["value_list"].alias("value_list")).alias("v")))
+    entries = F.transform(there, lambda f: F.struct(f["field"].alias("k"), F.struct(f["value_str"].alias("value_str"), f["value_num"].alias("value_num"), f["value_list"].alias("value_list"), f["evidence"].alias("evidence")).alias("v")))
     return wide.select("run_id", "doc_id", "doc_kind", "original_file", F.map_from_entries(entries).alias("m"))
 
 

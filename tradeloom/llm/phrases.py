@@ -19,7 +19,7 @@ A candidate carries the slots of its first and its last k - 1 words, so that the
 counts of all its cuts are read along two chains of slots.
 
 Bounds: a block has BLOCK candidates and is broadcast; more candidates are more
-rounds over the windows, not a larger broadcast. Buckets are 2^24 at most (past
+rounds over the windows, not a larger broadcast. Buckets are 2^22 at most (past
 that they pass more candidates), the marks of frequent slots one bit a slot, of
 2^32 slots at most. Words are told apart by a 64-bit hash of language and word
 that is checked to have no two words in common; another seed is taken if it has.
@@ -46,9 +46,10 @@ from .common import materialize, table
 
 MIN_COUNT, LONGEST, TOP, NO_LANG = 100, 5, 2000, "und"
 #: Candidates of a perfect hash; the most buckets; slots of a range that one task sums; arrays that are summed at a time.
-BLOCK, BUCKETS, RANGE, FAN = 1 << 22, 1 << 24, 1 << 16, 64
-#: Words of a row of windows, at least, and windows whose slots are counted at a time.
-ROW_WORDS, COUNT_AT = 2048, 1 << 21
+BLOCK, BUCKETS, RANGE, FAN = 1 << 22, 1 << 22, 1 << 16, 64
+#: Words of a row of windows, at least (a batch of Spark's has 10,000 rows), rows that are worked on at a time, numbers that are
+#: counted at a time, and words of a language that a task remembers.
+ROW_WORDS, ROWS, COUNT_AT, REMEMBERED = 512, 128, 1 << 20, 1 << 17
 NONE = np.uint32(0xFFFFFFFF)
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if c in _BREAKS else 32 if c == 9 else c for c in range(256))
@@ -140,14 +141,15 @@ def _read(seed: int):
                         held.append(t.encode())
                         size += len(held[-1])
                     if held and (size >= 6 * ROW_WORDS or i == len(every) - 1):
-                        codes.append(v.codes(b".".join(held)))
+                        # A row ends with the end of a piece, so that rows can be joined.
+                        codes.append(v.codes(b".".join([*held, b""])))
                         rows.append(np.frombuffer(v.hashes, np.uint64)[codes[-1]].tobytes())
                         held, size = [], 0
                 n = np.bincount(np.concatenate(codes), minlength=len(v))
                 if lang in counts:
                     n[: len(counts[lang])] += counts[lang]
                 counts[lang] = n
-                if len(v) > 1 << 19:
+                if len(v) > REMEMBERED:
                     yield words(lang, known.pop(lang), counts.pop(lang))
             yield pd.DataFrame({"windows": rows, "lang": None, "word": None, "hash": 0, "n": 0})
         for lang, v in known.items():
@@ -169,7 +171,7 @@ class _Counts:
     def add(self, numbers: np.ndarray) -> None:
         self.held.append(numbers)
         self.waiting += len(numbers)
-        if self.waiting >= max(COUNT_AT, self.size):
+        if self.waiting >= COUNT_AT:
             self._flush()
 
     def _flush(self) -> None:
@@ -236,6 +238,13 @@ def _windows(words: bytes, phrases: bytes, marks: np.ndarray | None, k: int) ->
     return both, keys, p[both + 1], len(p)
 
 
+def _joined(*columns):
+    """Groups of rows: the rows, and each column's bytes in one; rows end with the end of a piece, so no window crosses them."""
+    for a in range(0, len(columns[0]), ROWS):
+        part = [c[a : a + ROWS] for c in columns]
+        yield part, [b"".join(x) for x in part]
+
+
 def _distinct(size: int, heavy, marks, k: int):
     def run(batches):
         held, suffix, waiting = [], [], 0
@@ -247,15 +256,15 @@ def _distinct(size: int, heavy, marks, k: int):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 17)].view(np.int64)), pa.array(last[a : a + (1 << 17)])], ["key", "suffix"])
 
         for b in batches:
-            for w, p in zip(b["w"], b["p"], strict=True):
-                _, keys, last, _ = _windows(w.as_py(), p.as_py(), marks.value, k)
+            for _, (w, p) in _joined(b["w"].to_pylist(), b["p"].to_pylist()):
+                _, keys, last, _ = _windows(w, p, marks.value, k)
                 good = _bit(heavy.value, (_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
                 held.append(keys[good])
                 suffix.append(last[good])
                 waiting += len(held[-1])
-            if waiting > 1 << 21:
-                yield from out()
-                held, suffix, waiting = [], [], 0
+                if waiting > COUNT_AT:
+                    yield from out()
+                    held, suffix, waiting = [], [], 0
         if waiting:
             yield from out()
 
@@ -266,7 +275,7 @@ def _buckets(size: int, marks, k: int):
     def run(batches):
         counts = _Counts(size)
         for b in batches:
-            for w, p in zip(b["w"], b["p"], strict=True):
+            for _, (w, p) in _joined(b["w"].tolist(), b["p"].tolist()):
                 _, keys, _, _ = _windows(w, p, marks.value, k)
                 counts.add((_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
         yield pd.DataFrame(list(counts.rows()), columns=["part", "mapper", "place", "n"])
@@ -284,17 +293,20 @@ def _count(block, first: int, marks, k: int):
         table_, counts = block.value, _Counts(len(block.value), first)
         for b in batches:
             done = []
-            for w, p, q in zip(b["w"], b["p"], b["q"], strict=True):
+            for (ws, _, qs), (w, p, _) in _joined(b["w"].tolist(), b["p"].tolist(), [q or b"" for q in b["q"]]):
                 at, keys, _, n = _windows(w, p, marks.value, k)
                 slot = table_.slots(keys)
                 here = np.flatnonzero(slot >= 0)
                 counts.add(slot[here])
-                if len(here):
-                    own = np.frombuffer(q, np.uint32).copy() if q else np.full(n, NONE)
-                    own[at[here]] = slot[here] + first
-                    q = own.tobytes()
-                # Empty: no phrase as yet, and without one there is none to come.
-                done.append(q or b"")
+                own = np.full(n, NONE)
+                own[at[here]] = slot[here] + first
+                own, some, a = own.tobytes(), own != NONE, 0
+                some = np.add.reduceat(some, np.cumsum([0, *[len(x) // 4 for x in ws[:-1]]]))
+                for x, q, any_ in zip(ws, qs, some.tolist(), strict=True):
+                    mine = own[a : a + len(x)] if any_ else b""
+                    a += len(x)
+                    # Empty: no phrase as yet, and without one there is none to come.
+                    done.append(np.minimum(np.frombuffer(mine, np.uint32), np.frombuffer(q, np.uint32)).tobytes() if mine and q else mine or q)
             yield pd.DataFrame({"w": b["w"], "p": b["p"], "q": done, "part": 0, "mapper": 0, "place": None, "n": None})
         rows = pd.DataFrame(list(counts.rows()), columns=["part", "mapper", "place", "n"])
         yield rows.assign(w=None, p=None, q=None)[["w", "p", "q", "part", "mapper", "place", "n"]]
@@ -308,12 +320,13 @@ def _number(block, first: int):
     def run(batches):
         for b in batches:
             out = []
-            for h, w in zip(b["windows"], b["w"], strict=True):
+            for (hs, ws), (h, _) in _joined(b["windows"].tolist(), [w or b"" for w in b["w"]]):
                 slot = block.value.slots(np.frombuffer(h, np.uint64))
-                own = np.full(len(slot), NONE) if w is None else np.frombuffer(w, np.uint32).copy()
-                here = slot >= 0
-                own[here] = slot[here] + first
-                out.append(own.tobytes())
+                own, a = np.where(slot >= 0, slot + first, int(NONE)).astype(np.uint32).tobytes(), 0
+                for x, w in zip(hs, ws, strict=True):
+                    mine = own[a : a + len(x) // 2]
+                    a += len(x) // 2
+                    out.append(np.minimum(np.frombuffer(mine, np.uint32), np.frombuffer(w, np.uint32)).tobytes() if w else mine)
             yield pd.DataFrame({"windows": b["windows"], "w": out})
 
     return run

@@ -47,9 +47,9 @@ from .common import materialize, table
 MIN_COUNT, LONGEST, TOP, NO_LANG = 100, 5, 2000, "und"
 #: Candidates of a perfect hash; the most buckets; slots of a range that one task sums; arrays that are summed at a time.
 BLOCK, BUCKETS, RANGE, FAN = 1 << 22, 1 << 22, 1 << 16, 64
-#: Words of a row of windows, at least (a batch of Spark's has 10,000 rows), rows that are worked on at a time, numbers that are
-#: counted at a time, and words of a language that a task remembers.
-ROW_WORDS, ROWS, COUNT_AT, REMEMBERED = 512, 128, 1 << 20, 1 << 17
+#: Words of a row of windows, at least (a batch of Spark's has 10,000 rows), texts and rows that are worked on at a time, numbers
+#: that are counted at a time, and words of a language that a task remembers.
+ROW_WORDS, DOCS, ROWS, COUNT_AT, REMEMBERED = 512, 500, 128, 1 << 20, 1 << 16
 NONE = np.uint32(0xFFFFFFFF)
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if c in _BREAKS else 32 if c == 9 else c for c in range(256))
@@ -120,27 +120,55 @@ class _Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, said), np.int64, len(said))
 
 
+def _batch(kind: str, **columns) -> pa.RecordBatch:
+    """A batch of the columns of `kind` (as Spark writes schemas); those that are not given are null."""
+    types = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+    n = max(len(c) for c in columns.values())
+    fields = [x.split() for x in kind.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, types[t]) if f not in columns else c if isinstance(c := columns[f], pa.Array) else pa.array(c, types[t]) for f, t in fields], [f for f, _ in fields])
+
+
+def _pieces(batches, rows: int):
+    """Some rows of a batch at a time: what is made of all of a batch's at once would be several times as large."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all rows of a binary column, one after the other as they lie, and where each begins and ends."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(data or b"")[ends[0] : ends[-1]], ends - ends[0]
+
+
+_READ = "windows binary, lang string, word string, hash long, n long"
+
+
 def _read(seed: int):
     """Rows of windows (word hashes, 0 between pieces) and rows of words (lang, word, hash, count) of this task."""
-    kind = "windows binary, lang string, word string, hash long, n long"
 
-    def words(lang: str, v: _Vocabulary, counts: np.ndarray) -> pd.DataFrame:
-        said = list(v)[1:]
-        return pd.DataFrame({"windows": None, "lang": lang, "word": [w.decode() for w in said], "hash": np.array(v.hashes).view(np.int64)[1:], "n": counts[1:]})
+    def words(lang: str, v: _Vocabulary, counts: np.ndarray):
+        said, hashes = list(v)[1:], np.array(v.hashes).view(np.int64)[1:]
+        for a in range(0, len(said), 1 << 14):
+            part = [w.decode() for w in said[a : a + (1 << 14)]]
+            yield _batch(_READ, lang=[lang] * len(part), word=part, hash=hashes[a : a + (1 << 14)], n=counts[1 + a : 1 + a + len(part)])
 
     def run(batches):
         known: dict[str, _Vocabulary] = {}
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
-            rows = []
-            for lang, texts in b.groupby(b["lang"].fillna(NO_LANG))["text"]:
+        for b in _pieces(batches, DOCS):
+            rows, by = [], {}
+            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if text:
+                    by.setdefault(NO_LANG if lang is None else lang, []).append(text.encode())
+            for lang, texts in by.items():
                 v = known.setdefault(lang, _Vocabulary(lang, seed))
-                held, size, every, codes = [], 0, texts.tolist(), [np.zeros(0, np.int64)]
-                for i, t in enumerate(every):
-                    if t:
-                        held.append(t.encode())
-                        size += len(held[-1])
-                    if held and (size >= 6 * ROW_WORDS or i == len(every) - 1):
+                held, size, codes = [], 0, []
+                for i, t in enumerate(texts):
+                    held.append(t)
+                    size += len(t)
+                    if size >= 6 * ROW_WORDS or i == len(texts) - 1:
                         # A row ends with the end of a piece, so that rows can be joined.
                         codes.append(v.codes(b".".join([*held, b""])))
                         rows.append(np.frombuffer(v.hashes, np.uint64)[codes[-1]].tobytes())
@@ -150,12 +178,13 @@ def _read(seed: int):
                     n[: len(counts[lang])] += counts[lang]
                 counts[lang] = n
                 if len(v) > REMEMBERED:
-                    yield words(lang, known.pop(lang), counts.pop(lang))
-            yield pd.DataFrame({"windows": rows, "lang": None, "word": None, "hash": 0, "n": 0})
+                    yield from words(lang, known.pop(lang), counts.pop(lang))
+            if rows:
+                yield _batch(_READ, windows=rows)
         for lang, v in known.items():
-            yield words(lang, v, counts[lang])
+            yield from words(lang, v, counts[lang])
 
-    return run, kind
+    return run
 
 
 _SPARSE = "part long, mapper long, place binary, n binary"
@@ -179,13 +208,17 @@ class _Counts:
             self.total += np.bincount(np.concatenate(self.held), minlength=self.size)
         self.held, self.waiting = [], 0
 
-    def rows(self):
+    def batches(self, kind: str):
+        for row in self._rows():
+            yield _batch(kind, **{k: [v] for k, v in row.items()})
+
+    def _rows(self):
         self._flush()
         mapper = TaskContext.get().partitionId()
         for at in range(0, self.size, RANGE):
             part = self.total[at : at + RANGE]
             if len(some := np.flatnonzero(part)):
-                yield (self.first + at) // RANGE, mapper, some.astype(np.uint16).tobytes(), part[some].tobytes()
+                yield {"part": (self.first + at) // RANGE, "mapper": mapper, "place": some.astype(np.uint16).tobytes(), "n": part[some].tobytes()}
 
 
 def _tree_sum(sparse: DataFrame, mappers: int) -> DataFrame:
@@ -222,7 +255,7 @@ def _bit(marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (marks[numbers >> 3] >> (7 - (numbers & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _windows(words: bytes, phrases: bytes, marks: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _windows(words, phrases, marks: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Places of windows of k words whose two parts are frequent, their keys, the slots of their last parts, and the number of places.
 
     words: slot of each word; phrases: slot of the phrase of k - 1 words that
@@ -238,47 +271,43 @@ def _windows(words: bytes, phrases: bytes, marks: np.ndarray | None, k: int) ->
     return both, keys, p[both + 1], len(p)
 
 
-def _joined(*columns):
-    """Groups of rows: the rows, and each column's bytes in one; rows end with the end of a piece, so no window crosses them."""
-    for a in range(0, len(columns[0]), ROWS):
-        part = [c[a : a + ROWS] for c in columns]
-        yield part, [b"".join(x) for x in part]
-
-
 def _distinct(size: int, heavy, marks, k: int):
+    """Distinct keys, with the slot of their last part, of windows that may be frequent; of this task."""
+    kind = "key long, suffix long"
+
     def run(batches):
         held, suffix, waiting = [], [], 0
 
         def out():
             keys, first = np.unique(np.concatenate(held), return_index=True)
             last = np.concatenate(suffix)[first].astype(np.int64)
-            for a in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 17)].view(np.int64)), pa.array(last[a : a + (1 << 17)])], ["key", "suffix"])
-
-        for b in batches:
-            for _, (w, p) in _joined(b["w"].to_pylist(), b["p"].to_pylist()):
-                _, keys, last, _ = _windows(w, p, marks.value, k)
-                good = _bit(heavy.value, (_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
-                held.append(keys[good])
-                suffix.append(last[good])
-                waiting += len(held[-1])
-                if waiting > COUNT_AT:
-                    yield from out()
-                    held, suffix, waiting = [], [], 0
+            for a in range(0, len(keys), 1 << 16):
+                yield _batch(kind, key=keys[a : a + (1 << 16)].view(np.int64), suffix=last[a : a + (1 << 16)])
+
+        for b in _pieces(batches, ROWS):
+            _, keys, last, _ = _windows(_bytes(b["w"])[0], _bytes(b["p"])[0], marks.value, k)
+            good = _bit(heavy.value, (_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
+            held.append(keys[good])
+            suffix.append(last[good])
+            waiting += len(held[-1])
+            if waiting > COUNT_AT:
+                yield from out()
+                held, suffix, waiting = [], [], 0
         if waiting:
             yield from out()
 
-    return run
+    return run, kind
 
 
 def _buckets(size: int, marks, k: int):
+    """This task's counts of the hashed keys of windows whose parts are frequent."""
+
     def run(batches):
         counts = _Counts(size)
-        for b in batches:
-            for _, (w, p) in _joined(b["w"].tolist(), b["p"].tolist()):
-                _, keys, _, _ = _windows(w, p, marks.value, k)
-                counts.add((_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
-        yield pd.DataFrame(list(counts.rows()), columns=["part", "mapper", "place", "n"])
+        for b in _pieces(batches, ROWS):
+            _, keys, _, _ = _windows(_bytes(b["w"])[0], _bytes(b["p"])[0], marks.value, k)
+            counts.add((_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
+        yield from counts.batches(_SPARSE)
 
     return run
 
@@ -290,46 +319,42 @@ def _count(block, first: int, marks, k: int):
     """Rows of windows with the slots of this block's phrases, and this task's counts of them."""
 
     def run(batches):
-        table_, counts = block.value, _Counts(len(block.value), first)
-        for b in batches:
+        counts = _Counts(len(block.value), first)
+        for b in _pieces(batches, ROWS):
+            w, ends = _bytes(b["w"])
+            at, keys, _, n = _windows(w, _bytes(b["p"])[0], marks.value, k)
+            slot = block.value.slots(keys)
+            here = np.flatnonzero(slot >= 0)
+            counts.add(slot[here])
+            own = np.full(n, NONE)
+            own[at[here]] = slot[here] + first
+            ends = (ends // 4).tolist()
             done = []
-            for (ws, _, qs), (w, p, _) in _joined(b["w"].tolist(), b["p"].tolist(), [q or b"" for q in b["q"]]):
-                at, keys, _, n = _windows(w, p, marks.value, k)
-                slot = table_.slots(keys)
-                here = np.flatnonzero(slot >= 0)
-                counts.add(slot[here])
-                own = np.full(n, NONE)
-                own[at[here]] = slot[here] + first
-                own, some, a = own.tobytes(), own != NONE, 0
-                some = np.add.reduceat(some, np.cumsum([0, *[len(x) // 4 for x in ws[:-1]]]))
-                for x, q, any_ in zip(ws, qs, some.tolist(), strict=True):
-                    mine = own[a : a + len(x)] if any_ else b""
-                    a += len(x)
-                    # Empty: no phrase as yet, and without one there is none to come.
-                    done.append(np.minimum(np.frombuffer(mine, np.uint32), np.frombuffer(q, np.uint32)).tobytes() if mine and q else mine or q)
-            yield pd.DataFrame({"w": b["w"], "p": b["p"], "q": done, "part": 0, "mapper": 0, "place": None, "n": None})
-        rows = pd.DataFrame(list(counts.rows()), columns=["part", "mapper", "place", "n"])
-        yield rows.assign(w=None, p=None, q=None)[["w", "p", "q", "part", "mapper", "place", "n"]]
+            for a, e, q in zip(ends[:-1], ends[1:], b["q"].to_pylist(), strict=True):
+                mine = own[a:e]
+                if q:
+                    mine = np.minimum(mine, np.frombuffer(q, np.uint32))
+                # Empty: no phrase as yet, and without one there is none to come.
+                done.append(mine.tobytes() if len(mine) and mine.min() != NONE else b"")
+            yield _batch(_COUNTED, w=b["w"], p=b["p"], q=done)
+        yield from counts.batches(_COUNTED)
 
     return run
 
 
 def _number(block, first: int):
     """Word hashes of windows -> slots of the words that this block has."""
+    kind = "windows binary, w binary"
 
     def run(batches):
-        for b in batches:
-            out = []
-            for (hs, ws), (h, _) in _joined(b["windows"].tolist(), [w or b"" for w in b["w"]]):
-                slot = block.value.slots(np.frombuffer(h, np.uint64))
-                own, a = np.where(slot >= 0, slot + first, int(NONE)).astype(np.uint32).tobytes(), 0
-                for x, w in zip(hs, ws, strict=True):
-                    mine = own[a : a + len(x) // 2]
-                    a += len(x) // 2
-                    out.append(np.minimum(np.frombuffer(mine, np.uint32), np.frombuffer(w, np.uint32)).tobytes() if w else mine)
-            yield pd.DataFrame({"windows": b["windows"], "w": out})
+        for b in _pieces(batches, ROWS):
+            h, ends = _bytes(b["windows"])
+            slot = block.value.slots(np.frombuffer(h, np.uint64))
+            own, ends = np.where(slot >= 0, slot + first, int(NONE)).astype(np.uint32), (ends // 8).tolist()
+            parts = [own[a:e] if w is None else np.minimum(own[a:e], np.frombuffer(w, np.uint32)) for a, e, w in zip(ends[:-1], ends[1:], b["w"].to_pylist(), strict=True)]
+            yield _batch(kind, windows=b["windows"], w=[x.tobytes() for x in parts])
 
-    return run
+    return run, kind
 
 
 def _slotted(block, first: int):
@@ -372,8 +397,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST
 def _words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows and words of the texts, by a hash that no two words share."""
     for seed in range(16):
-        run, kind = _read(seed)
-        read = materialize(docs.select("lang", "text").mapInPandas(run, kind))
+        read = materialize(docs.select("lang", "text").mapInArrow(_read(seed), _READ))
         words = materialize(read.where("windows is null").groupBy("hash").agg(F.min("lang").alias("lang"), F.max("lang").alias("_l"), F.min("word").alias("word"), F.max("word").alias("_w"), F.sum("n").alias("n")))
         if words.where("lang <> _l or word <> _w").isEmpty():
             return read, words.drop("_l", "_w")
@@ -398,7 +422,7 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
     word = None
     for first, hashed, _, _ in _blocks(often, [], block):
         shared = sc.broadcast(hashed)
-        rows = rows.mapInPandas(_number(shared, first), "windows binary, w binary")
+        rows = rows.mapInArrow(*_number(shared, first))
         mine = often.mapInPandas(_slotted(shared, first), "slot long, lang string, phrase string, n long")
         word = mine if word is None else word.unionByName(mine)
     word = materialize(word)
@@ -410,8 +434,8 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
     marks = sc.broadcast(None)
     for k in range(2, longest + 1):
         mappers = rows.rdd.getNumPartitions()
-        heavy = sc.broadcast(_marks(_tree_sum(rows.mapInPandas(_buckets(size, marks, k), _SPARSE), mappers), size, least))
-        found = rows.mapInArrow(_distinct(size, heavy, marks, k), "key long, suffix long")
+        heavy = sc.broadcast(_marks(_tree_sum(rows.mapInArrow(_buckets(size, marks, k), _SPARSE), mappers), size, least))
+        found = rows.mapInArrow(*_distinct(size, heavy, marks, k))
         candidates = materialize(found.groupBy("key").agg(F.min("suffix").alias("suffix")))
         counted, slots, tables = rows.withColumn("q", F.lit(None).cast("binary")), 0, []
         sums = []
@@ -421,7 +445,7 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
             suffix = np.empty(len(hashed), np.int64)
             suffix[slot] = got["suffix"].to_numpy()
             shared = sc.broadcast(hashed)
-            done = materialize(counted.mapInPandas(_count(shared, first, marks, k), _COUNTED))
+            done = materialize(counted.mapInArrow(_count(shared, first, marks, k), _COUNTED))
             counted = done.where("w is not null").select("w", "p", "q")
             total = materialize(_tree_sum(done.where("w is null").select("part", "mapper", "place", "n"), mappers))
             sums.append(total)

@@ -289,5 +289,15 @@ def stage_summary(pair_rows: DataFrame, group_rows: DataFrame, rule_rows: DataFr
     return p.join(g, "run_id", "full").join(r, "run_id", "full").na.fill(0)
 
 
+def bucket_summary(rows: DataFrame) -> DataFrame:
+    """The counts of stage_summary from rows in one form, a row for each run of any."""
+    n = lambda bucket, status, name: F.count_if((F.col("bucket") == bucket) & (F.col("status").isin(status) if status else F.lit(True))).alias(name)
+    return rows.groupBy("run_id").agg(
+        n("pair", [], "pair_total"), n("pair", ["match"], "pair_matches"), n("pair", ["divergent"], "pair_divergences"), n("pair", ["skipped"], "pair_skipped"),
+        n("group", [], "group_total"), n("group", ["divergent"], "group_divergences"), n("group", ["missing"], "group_missing"),
+        n("rule", [], "rule_total"), n("rule", ["divergent"], "rule_divergences"), n("rule", ["skipped"], "rule_skipped"),
+    )
+
+
 def summary(checks: DataFrame, *by: str) -> DataFrame:
     return checks.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "match").alias("matches"), F.count_if(F.col("status") == "divergent").alias("divergences"), F.count_if(F.col("status") == "skipped").alias("skipped"))

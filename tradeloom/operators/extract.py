@@ -9,13 +9,14 @@ Python runs per row, and a new field is a new table row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compare import INCOTERMS, expected_freight
 from ..functions.numbers import parse_cnpj, parse_int_digits, parse_number_export, parse_number_import
-from ..functions.text import collapse_spaces, digits_only, find, find_all, find_any, let, lines, lines_collapsed, normalize_spaces, section, strip, strip_accents
+from ..functions.text import collapse_spaces, digits_only, find, find_all, find_any, first_where, let, lines, lines_collapsed, normalize_spaces, strip, strip_accents
 
 Rule = Callable[[Column, Column], Column]
 
@@ -153,11 +154,22 @@ def line_before_cnpj(t: Column, ls: Column) -> Column:
     return F.when(i > 0, F.get(ls, i - 1))
 
 
+def beside_tax_label(t: Column, ls: Column) -> Column:
+    """The first company two lines or one above a tax label, or one or two below it, labels from the top."""
+    marks = _indexes(ls, r"(?i)\b(?:CNPJ|P\.?\s*IVA|COD\.?\s*FISCALE)\b")
+    near = F.flatten(F.transform(marks, lambda i: F.transform(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)]), lambda k: F.when(i + k >= 0, F.get(ls, i + k)))))
+    return _first(_companies_import(F.filter(near, lambda x: x.isNotNull())))
+
+
+# The beginnings of known shippers' names.
+KNOWN_SHIPPER = r"(?is)\b((?:SUZUKI|INJECTA)[^\n]{0,120})\b"
+
+
 def shipper_invoice(t: Column, ls: Column) -> Column:
-    """Up to nine lines above SHIP TO, the nearest first; else the first of twelve that looks like a company."""
+    """A known name; else up to nine lines above SHIP TO, the nearest first; else the first of twelve that looks like a company."""
     i = _first(_indexes(ls, r"(?i)\bSHIP\s*TO\b"))
     start = F.greatest(i - 9, F.lit(0))
-    return F.coalesce(_first(_companies_import(F.reverse(F.slice(ls, start + 1, i - start)))), _first(_companies_import(F.slice(ls, 1, 12))))
+    return F.coalesce(normalize_spaces(find(t, KNOWN_SHIPPER)), _first(_companies_import(F.reverse(F.slice(ls, start + 1, i - start)))), _first(_companies_import(F.slice(ls, 1, 12))))
 
 
 def shipper_bl(t: Column, ls: Column) -> Column:
@@ -278,13 +290,13 @@ def invoice_weights(t: Column, ls: Column) -> Column:
     return let(F.struct(net.alias("net"), gross.alias("gross")), lambda w: F.struct(w["net"].alias("net"), w["gross"].alias("gross"), F.when(w["net"].isNull() & w["gross"].isNull(), one).alias("one")))
 
 
-def or_sum(item: str, total: Rule) -> Rule:
-    """The total; where it is missing the sum over the items that have the value."""
+def or_sum(item: str, total: str) -> Rule:
+    """The stated total; where it is missing the sum over the items that have the value."""
 
     def rule(t: Column, ls: Column) -> Column:
-        values = F.filter(F.transform("shared_items", lambda i: i[item]), lambda v: v.isNotNull())
+        values = F.filter(F.transform("shared_items.items", lambda i: i[item]), lambda v: v.isNotNull())
         kind = "long" if item == "packages" else "double"
-        return F.coalesce(total(t, ls), F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda a, v: a + v)))
+        return F.coalesce(F.col(f"shared_totals.{total}"), F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda a, v: a + v)))
 
     return rule
 
@@ -384,17 +396,106 @@ def di_invoices(t: Column, ls: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda x: ~x.rlike("^[0-9]{1,3}$")))
 
 
-def said(labels: str, digit: bool = False) -> Rule:
-    """Accent-insensitive label: the value after its colon, else one of the next three lines."""
-    find_ = label(labels, value="[0-9]" if digit else ".", ahead=3)
-    return lambda t, ls: let(F.transform(ls, strip_accents), lambda plain: find_(t, plain))
+@dataclass(frozen=True)
+class Labelled:
+    """A label rule as data: which label gives which field, and what its value may be.
+
+    `colon` labels are found without accents or case anywhere on a line and
+    have their value behind its first colon; others are patterns with the value
+    behind them. Without one the next three lines are looked at.
+    """
+
+    field: str
+    label: str
+    digit: bool = False
+    colon: bool = True
+    #: Lines that are looked at: all, or those of a section of this heading.
+    section: str = "all"
+    #: What an inline value must have, and lines below that are none.
+    must: str = "."
+    skip: bool = False
+
+
+# Headings of sections.
+IMPORTER, EXPORTER_SECTION = "INFORMACOES - IMPORTADOR", "EXPORTADOR / FABRICANTE / PRODUTOR"
+# Labels of declarations and licences.
+_ALNUM = "[A-Za-z0-9]"
+DI_LABELS = [
+    *[Labelled(f, lab, digit, colon=False, must=_ALNUM) for f, lab, digit in (("reference_internal", r"NOSSA\s+REFER[ÊE]NCIA", False), ("reference_client", r"SUA\s+REFER[ÊE]NCIA", False), ("bl_number", "CONHECIMENTO", True), ("transport_mode", r"VIA\s+TRANSPORTE", False), ("port_of_loading", r"LOCAL\s+DE\s+EMBARQUE", False), ("shipment_date", r"DATA\s+DE\s+EMBARQUE", False), ("arrival_date", r"DATA\s+DE\s+CHEGADA", False))],
+    *[Labelled(f, lab, digit) for f, lab, digit in (("declaration_type", "TIPO DE DECLARACAO", False), ("operational_unit", "UNIDADE OPERACIONAL", False), ("dispatch_urf", "URF DESPACHO", True), ("dispatch_modality", "MODALIDADE DESP", False), ("transport_carrier", "TRANSPORTADOR", False), ("entry_urf", "URF DE ENTRADA", True), ("country_of_provenance", "PAIS DE PROCED", True))],
+    *[Labelled(f, lab, digit, section="importer") for f, lab, digit in (("importer_address", "ENDERECO IMPORTADOR", False), ("importer_number", "NUMERO", True), ("importer_complement", "COMPLEMENTO", False), ("importer_neighborhood", "BAIRRO", False), ("importer_cep", "CEP", True), ("importer_city_uf", "CIDADE/UF", False), ("importer_country", "PAIS", False))],
+]
+LI_LABELS = [
+    *[Labelled(f, lab, digit, colon=False, skip=True) for f, lab, digit in (("importer_named", r"NOME\s+DO\s+IMPORTADOR", False), ("li_number", r"NR\s+LI\b", True), ("li_reference", r"NREFERENCIA(?:\s+LI)?", True))],
+    *[Labelled(f, lab, digit) for f, lab, digit in (("country_of_origin", "PAIS DE ORIGEM", False), ("country_of_provenance", "PAIS DE PROCEDENCIA", False), ("country_of_acquisition", "PAIS DE AQUISICAO", True), ("country_proc", "PAIS PROC", True), ("dispatch_urf", "URF DESPACHO", True), ("entry_urf", "URF ENTRADA", True), ("currency", "MOEDA NEGOCIADA", False), ("purchase_condition", "CONDICAO DE VENDA", False), ("unit_commercial", "UNIDADE COMERC", False))],
+    *[Labelled(f, lab, digit, section="importer") for f, lab, digit in (("importer_address", "ENDERECO", False), ("importer_number", "NUMERO", True), ("importer_complement", "COMPLEMENTO", False), ("importer_city", "CIDADE", False), ("importer_country", "PAIS", False))],
+    *[Labelled(f, lab, section="exporter") for f, lab in (("exporter_address", "ENDERECO"), ("exporter_city", "CIDADE"), ("exporter_country", "PAIS"))],
+]
+
+
+def _sql(x) -> str:
+    return str(x).lower() if isinstance(x, bool) else "r'" + x + "'"
+
 
+def label_values(rules: list[Labelled], licence: bool) -> Rule:
+    """field -> value of all label rules of a kind, by one expression over the rules as data: the plan does not grow with them.
 
-def within(head: str, rule: Rule, whole: bool) -> Rule:
-    """The rule on the lines of a section; where it is missing on all lines, or on none."""
-    end = r"(?i)^INFORMA"
-    part = lambda ls: let(F.transform(ls, strip_accents), lambda plain: section(plain, f"(?i){head}", end))
-    return lambda t, ls: let(F.coalesce(part(ls), ls if whole else F.array().cast("array<string>")), lambda x: rule(t, x))
+    A licence's sections are at most 50 lines, end at a line with INFORMA and a
+    dash, and are empty without their heading; a declaration's are at most 40,
+    end at INFORMA, and are all lines then.
+    """
+    names = ("field", "label", "digit", "colon", "section", "must", "skip")
+    rows = ", ".join("struct(" + ", ".join(f"{_sql(getattr(x, n))} AS {n}" for n in names) + ")" for x in rules)
+    clean = lambda x: F.btrim(F.regexp_replace(strip(x), "^:+", ""))
+    def rule(t: Column, ls: Column) -> Column:
+        nothing = F.array().cast("array<string>")
+
+        def part(v: Column, heading: str) -> Column:
+            head = _first(F.filter(F.sequence(F.lit(0), F.size(v["plain"]) - 1), lambda k: F.get(v["plain"], k).contains(heading)))
+            near = F.slice(v["lines"], head + 2, F.lit(50 if licence else 40))
+            ends = lambda x: F.upper(strip_accents(x)).contains("INFORMA") & (x.contains("-") if licence else F.lit(True))
+            stop = _first(F.filter(F.sequence(F.lit(0), F.size(near) - 1), lambda k: ends(F.get(near, k))))
+            found = F.slice(near, F.lit(1), F.coalesce(stop, F.size(near)))
+            found = F.coalesce(F.when(head.isNotNull() & (F.size(near) > 0), found), nothing)
+            return found if licence else F.when(F.size(found) > 0, found).otherwise(v["lines"])
+
+        def values(p: Column) -> Column:
+            return F.transform(F.expr(f"array({rows})"), lambda r: F.struct(r["field"].alias("field"), value(r, F.when(r["section"] == "importer", p["importer"]).when(r["section"] == "exporter", p["exporter"]).otherwise(p["all"])).alias("value")))
+
+        def value(r: Column, src: Column) -> Column:
+            digit = lambda x: ~r["digit"] | x.rlike("[0-9]")
+            marked = lambda x: F.when(r["colon"], F.upper(strip_accents(x)).contains(r["label"])).otherwise(F.rlike(x, F.concat(F.lit("(?i)"), r["label"])))
+            blank = lambda x: x.isin("", ":", "-", "--")
+
+            def at(i: Column) -> Column:
+                line = F.get(src, i)
+                behind = clean(F.when(r["colon"], F.regexp_replace(line, "^[^:]*:?", "")).otherwise(F.call_function("regexp_extract", line, F.concat(F.lit("(?i)"), r["label"], F.lit(r"\s*[:\-]?\s*(.+)$")), F.lit(1))))
+                below = F.filter(F.transform(F.slice(src, i + 2, F.lit(3)), clean), lambda x: ~blank(x) & digit(x) & ~(r["skip"] & marked(x)))
+                fits = lambda x: (x != "") & (r["colon"] | ~blank(x)) & F.rlike(x, r["must"]) & digit(x)
+                return let(behind, lambda x: F.when(fits(x), x).otherwise(_first(below)))
+
+            places = F.filter(F.sequence(F.lit(0), F.size(src) - 1), lambda i: F.coalesce(marked(F.get(src, i)), F.lit(False)))
+            found = F.filter(F.transform(places, at), lambda x: x.isNotNull())
+            return F.when(F.size(src) > 0, _first(found))
+
+        def entries(v: Column) -> Column:
+            parts = F.struct(v["lines"].alias("all"), part(v, IMPORTER).alias("importer"), part(v, EXPORTER_SECTION).alias("exporter"))
+            return F.map_from_entries(F.filter(let(parts, values), lambda e: e["value"].isNotNull()))
+
+        plain = F.transform(ls, lambda x: F.upper(strip_accents(x)))
+        return F.when(F.size(ls) > 0, let(F.struct(ls.alias("lines"), plain.alias("plain")), entries))
+
+    return rule
+
+
+def labelled(name: str, *patterns: str, table: str = "shared_labels") -> Rule:
+    """The value that the label rules found for a field, else that of the first pattern."""
+    own = lambda: F.try_element_at(table, F.lit(name))
+    return lambda t, ls: F.coalesce(own(), find_any(t, patterns)) if patterns else own()
+
+
+def licensed(name: str, *patterns: str) -> Rule:
+    return labelled(name, *patterns, table="shared_licence")
 
 
 def freight_terms(t: Column, ls: Column) -> Column:
@@ -420,18 +521,64 @@ def items_import(t: Column, ls: Column) -> Column:
     )
 
 
+# A table row `no packages CARTONS @net @gross m3 m3-total`, the mark of a model, words of lines that are no product.
+ITEM_ROW = r"(?i)^([0-9]+(?:\s*-\s*[0-9]+)?)\s+([0-9]+)\s+CARTONS?\s+@[0-9.,]+\s+@[0-9.,]+\s+[0-9.,]+\s+([0-9.,]+)\s*$"
+ITEM_MODEL = r"(?i)\*\s*MODEL\s*:\s*([A-Z0-9\-]+)"
+NOT_A_PRODUCT = r"\b(PACKING|INVOICE|TOTAL|WEIGHT|VOLUME|BOX|CARTON|COMPANY|VAT|CNPJ)\b"
+ITEM = "struct<model:string,no:string,packages:int,net_weight_kg:double,gross_weight_kg:double,m3_total:double,raw_line:string,raw_weights_line:string>"
+
+
 def packing_items(t: Column, ls: Column) -> Column:
-    """Table rows `no packages CARTONS @net @gross m3 m3-total`; the weights proper stand on the next line, the model above."""
-    row = r"(?i)^([0-9]+(?:\s*-\s*[0-9]+)?)\s+([0-9]+)\s+CARTONS?\s+@[0-9.,]+\s+@[0-9.,]+\s+[0-9.,]+\s+([0-9.,]+)\s*$"
-    model = lambda i: F.try_element_at(F.filter(F.transform(F.slice(ls, F.lit(1), i), lambda x: find(x, r"^\*\s*([^:\s]+)\s*:")), lambda v: v.isNotNull()), F.lit(-1))
-    below = lambda i: F.regexp_extract_all(F.coalesce(F.get(ls, i + 1), F.lit("")), F.lit(r"[0-9][0-9.,]*"), F.lit(0))
-    return F.transform(
-        _indexes(ls, row),
-        lambda i: F.struct(
-            model(i).alias("model"), find(F.get(ls, i), row, 1).alias("no"), find(F.get(ls, i), row, 2).cast("int").alias("packages"),
-            parse_number_import(F.get(below(i), F.lit(0))).alias("net_weight_kg"), parse_number_import(F.get(below(i), F.lit(1))).alias("gross_weight_kg"), parse_number_import(find(F.get(ls, i), row, 3)).alias("m3_total"),
-        ),
-    )
+    """Rows of the table with the model above them and the weights on the line below, in one pass over the lines.
+
+    Every line has a sign: M for a model, R for a row, o for others. A row takes
+    the line below for its weights, whatever that is, so signs are read in
+    pairs from a row on. Lines are then cut at the models, and the rows of each
+    part get its model: no row looks back over the lines.
+    """
+    sign = lambda x: F.when(x.rlike(ITEM_MODEL), "M").when(x.rlike(ITEM_ROW), "R").otherwise("o")
+    signs = F.split(F.regexp_replace(F.array_join(F.transform(ls, sign), ""), "R[MRo]", "Ro"), "")
+
+    def item(i: Column, model: Column) -> Column:
+        line, below = F.get(ls, i), F.get(ls, i + 1)
+        numbers = F.regexp_extract_all(F.coalesce(below, F.lit("")), F.lit(r"[0-9][0-9.,]*"), F.lit(0))
+        two = lambda k: F.when(F.size(numbers) >= 2, parse_number_import(F.get(numbers, F.lit(k))))
+        return F.struct(
+            model.alias("model"), F.btrim(F.regexp_replace(find(line, ITEM_ROW, 1), r"\s+", " ")).alias("no"), find(line, ITEM_ROW, 2).try_cast("int").alias("packages"),
+            two(0).alias("net_weight_kg"), two(1).alias("gross_weight_kg"), parse_number_import(find(line, ITEM_ROW, 3)).alias("m3_total"), line.alias("raw_line"), below.alias("raw_weights_line"),
+        )
+
+    def parts(v: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(v["signs"]) - 1)
+        marks = F.concat(F.array(F.lit(-1)), F.filter(every, lambda k: F.get(v["signs"], k) == "M"))
+        return let(marks, lambda m: F.flatten(F.transform(m, lambda at, n: rows(v, at, F.coalesce(F.get(m, n + 1), F.size(v["signs"]))))))
+
+    def rows(v: Column, at: Column, end: Column) -> Column:
+        model = find(F.get(ls, at), ITEM_MODEL)
+        part = F.slice(v["signs"], at + 2, end - at - 1)
+        places = F.filter(F.transform(part, lambda x, k: F.when(x == "R", at + 1 + k)), lambda k: k.isNotNull())
+        return F.transform(places, lambda i: item(i, model))
+
+    found = let(F.struct(signs.alias("signs")), parts)
+    return F.when(F.size(ls) > 0, found).otherwise(F.array().cast(f"array<{ITEM}>"))
+
+
+def packing_totals(t: Column, ls: Column) -> Column:
+    """The four totals that the list states, each null where it does not."""
+    return F.struct(*[x.alias(n) for n, x in zip(("packages", "net", "gross", "m3"), (f(t, ls) for f in _PACKING_TOTALS), strict=True)])
+
+
+def items_or_compact(t: Column, ls: Column) -> Column:
+    """items, and whether they come from the totals: a first line of a product's code and text carries them, else a row named SUMMARY; nothing without totals."""
+    total = F.col("shared_totals")
+    some = F.coalesce(*[total[n].cast("string") for n in ("packages", "net", "gross", "m3")]).isNotNull()
+    product = r"^\s*([A-Z0-9]{6,16})\s+(.+)$"
+    fit = lambda x: x.rlike(product) & ~F.upper(x).rlike(NOT_A_PRODUCT) & (F.length(collapse_spaces(F.regexp_extract(x, product, 2))) >= 8)
+    none = F.lit(None).cast("string")
+    one = lambda model, line: F.struct(model.alias("model"), none.alias("no"), total["packages"].cast("int").alias("packages"), total["net"].alias("net_weight_kg"), total["gross"].alias("gross_weight_kg"), total["m3"].alias("m3_total"), line.alias("raw_line"), none.alias("raw_weights_line"))
+    line = first_where(ls, fit)
+    compact = let(line, lambda x: F.when(x.isNotNull(), F.array(one(F.regexp_extract(x, product, 1), x))).when(some, F.array(one(F.lit("SUMMARY"), F.lit("summary_from_totals")))))
+    return F.when(F.size("shared_rows") > 0, F.struct(F.col("shared_rows").alias("items"), F.lit(False).alias("compact"))).otherwise(F.struct(F.coalesce(compact, F.array().cast(f"array<{ITEM}>")).alias("items"), compact.isNotNull().alias("compact")))
 
 
 _NO = r"(?:NR\.?|NO\.?|N[Oº°.]?)"
@@ -458,10 +605,16 @@ def stacked(which: int, own: str, ahead: int) -> Rule:
     return lambda t, ls: F.coalesce(F.when(F.size("shared_transport") >= 3, F.get("shared_transport", F.lit(which))), label(own, ahead=ahead)(t, ls))
 
 
-#: Columns that several rules of a kind use, computed once.
+_PACKING_TOTALS = [
+    lambda t, ls: parse_int_digits(total_packing(1, r"(?i)\bTOTAL\s+(?:BOXES|BOX|CARTONS?)\b.*?\b(?:NR\.?|N[Oº°.]?)\s*[:\-]?\s*([0-9]+)\b")(t, ls)),
+    number(total_packing(2, r"(?i)\bNET(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), parse_number_import),
+    number(total_packing(3, r"(?i)\bGROSS(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), parse_number_import),
+    number(total_packing(4, r"(?i)\bTOTAL\s+VOLUME\b.*?\b(?:MC|M3)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), parse_number_import),
+]
+#: Columns that several rules of a kind use, computed once, in this order: a later one may use those before.
 SHARED = {
     "exportation": {"shared_numbers": (bare_numbers, ("commercial_invoice", "packing_list")), "shared_transport": (transport_values, ("commercial_invoice",)), "shared_parties": (draft_parties, ("draft_bl",))},
-    "importation": {"shared_weights": (invoice_weights, ("invoice",)), "shared_items": (packing_items, ("packing_list",)), "shared_consignee": (consignee_block, ("bl", "hbl"))},
+    "importation": {"shared_labels": (label_values(DI_LABELS, False), ("di",)), "shared_licence": (label_values(LI_LABELS, True), ("li",)), "shared_weights": (invoice_weights, ("invoice",)), "shared_rows": (packing_items, ("packing_list",)), "shared_totals": (packing_totals, ("packing_list",)), "shared_items": (items_or_compact, ("packing_list",)), "shared_consignee": (consignee_block, ("bl", "hbl"))},
 }
 
 
@@ -501,7 +654,8 @@ EXPORT: dict[str, list[tuple[str, bool, Rule]]] = {
         ("freight_mode", True, pattern(r"(?i)\bFREIGHT\b[^\n\r]{0,25}\b(COLLECT|PREPAID)\b")),
         ("incoterm", True, incoterm_export),
         ("ncm", True, pattern(r"(?i)\bNCM(?:/NALADI)?\b[:\s\-]*([0-9.]{4,})")),
-        ("due", True, lambda t, ls: clean_token(find(t, r"(?i)\bDUE\b[:\s\-]*([A-Z0-9.\-/]+)"))),
+        # Not required where the bill leaves it empty, see optional().
+        ("due", True, lambda t, ls: clean_token(find(t, DUE))),
         ("ruc", True, pattern(r"(?i)\bRUC\b[:\s\-]*([A-Z0-9]+)")),
         ("booking_number", False, pattern(r"(?i)\b([A-Z]{3}[0-9]{7,})\b")),
         ("wooden_packing", True, pattern(r"(?i)\bWOODEN\s+PACKAGE\b[:\s\-]*([A-Z \/\-]+)")),
@@ -546,13 +700,12 @@ _BL = [
     ("port_of_loading", False, port("LOADING", vessel=True)),
     ("port_of_discharge", False, port("DISCHARGE")),
 ]
-_IMPORTER, _EXPORTER = "INFORMACOES - IMPORTADOR", "EXPORTADOR / FABRICANTE / PRODUTOR"
 IMPORT: dict[str, list[tuple[str, bool, Rule]]] = {
     "invoice": [
         ("invoice_number", True, invoice_number_import),
         ("invoice_date", True, pattern(r"(?i)\b(?:DATA|DATE)\b\s*[:\-]?\s*([0-3]?[0-9]/[01]?[0-9]/(?:19|20)[0-9]{2})\b", r"(?i)\b((?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\.?\s+[0-9]{1,2},\s*[0-9]{4})\b", r"\b([0-3]?[0-9]/[01]?[0-9]/(?:19|20)[0-9]{2})\b")),
         ("payment_terms", True, pattern(r"(?i)\b(?:PAYMENT\s+TERMS|CONDIZIONI\s+DI\s+PAGAMENTO)\b[^\n\r]*[\r\n]+([^\n\r]{3,120})", r"(?i)\b(ADVANCE\s+PAYMENT)\b")),
-        ("importer_name", True, first_of(lambda t, ls: _first(_companies_import(F.slice(ls, _first(_indexes(ls, r"(?i)\bBILL\s+TO\b")) + 2, F.lit(15)))), line_before_cnpj)),
+        ("importer_name", True, first_of(lambda t, ls: _first(F.filter(_companies_import(F.slice(ls, _first(_indexes(ls, r"(?i)\bBILL\s*TO\b")) + 2, F.lit(15))), lambda x: ~x.rlike("^[A-Z]?[0-9]{2,}$"))), line_before_cnpj, beside_tax_label)),
         *[(f, True, cnpj_import) for f in ("importer_cnpj", "consignee_cnpj")],
         ("shipper_name", True, shipper_invoice),
         ("currency", True, lambda t, ls: F.coalesce(find(t, r"(?i)\bCURRENCY\b\s*[:\-]?\s*([A-Z]{3})\b"), find(t, r"(?i)\b(EUR|USD|BRL|JPY|CNY|GBP|CHF)\b"), F.when(t.contains("€"), "EUR"))),
@@ -571,11 +724,11 @@ IMPORT: dict[str, list[tuple[str, bool, Rule]]] = {
         ("importer_name", True, lambda t, ls: clean_company(first_of(company_before_cnpj, lambda t, ls: company_line(label(r"\bACCOUNT\s+OF\b", ahead=5)(t, ls)))(t, ls), packing=True)),
         ("importer_cnpj", True, cnpj_import),
         ("shipper_name", False, lambda t, ls: company_line(label(r"\b(?:SHIPPER|EXPORTER)\b", ahead=5)(t, ls))),
-        ("packages_total", True, or_sum("packages", lambda t, ls: parse_int_digits(total_packing(1, r"(?i)\bTOTAL\s+(?:BOXES|BOX|CARTONS?)\b.*?\b(?:NR\.?|N[Oº°.]?)\s*[:\-]?\s*([0-9]+)\b")(t, ls)))),
-        ("net_weight_kg", True, or_sum("net_weight_kg", number(total_packing(2, r"(?i)\bNET(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1))),
-        ("gross_weight_kg", True, or_sum("gross_weight_kg", number(total_packing(3, r"(?i)\bGROSS(?:\s+WEIGHT)?\b[^0-9]{0,30}(?:TOTAL\s+)?(?:KILO|KGS?)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1))),
-        ("measurement_total_m3", True, or_sum("m3_total", number(total_packing(4, r"(?i)\bTOTAL\s+VOLUME\b.*?\b(?:MC|M3)\b[^0-9]{0,10}([0-9][0-9.,]*)\b"), _P1))),
-        ("items", True, lambda t, ls: F.col("shared_items")),
+        ("packages_total", True, or_sum("packages", "packages")),
+        ("net_weight_kg", True, or_sum("net_weight_kg", "net")),
+        ("gross_weight_kg", True, or_sum("gross_weight_kg", "gross")),
+        ("measurement_total_m3", True, or_sum("m3_total", "m3")),
+        ("items", True, lambda t, ls: F.col("shared_items.items")),
     ],
     "bl": _BL,
     "hbl": _BL,
@@ -588,25 +741,27 @@ IMPORT: dict[str, list[tuple[str, bool, Rule]]] = {
         ("gross_weight_kg", False, number(pattern(r"(?i)\b(?:PESO\s+BRUTO|GROSS\s+WEIGHT)\b" + _KG), _P1)),
         *[(f, False, _NCM_IMPORT) for f in ("ncm", "ncm_or_hs")],
         ("di_number", False, pattern(r"(?i)\bDI\s*(?:NO|NR)?\.?\s*[:\-]?\s*([0-9]{2}/[0-9\-]+|[0-9]{6,})")),
-        *[(f, False, said(lab, digit)) for f, lab, digit in (("reference_internal", r"NOSSA\s+REFERENCIA", False), ("reference_client", r"SUA\s+REFERENCIA", False), ("bl_number", "CONHECIMENTO", True), ("transport_mode", r"VIA\s+TRANSPORTE", False), ("port_of_loading", r"LOCAL\s+DE\s+EMBARQUE", False), ("shipment_date", r"DATA\s+DE\s+EMBARQUE", False), ("arrival_date", r"DATA\s+DE\s+CHEGADA", False), ("declaration_type", "TIPO DE DECLARACAO", False), ("operational_unit", "UNIDADE OPERACIONAL", False), ("dispatch_urf", "URF DESPACHO", True), ("dispatch_modality", "MODALIDADE DESP", False), ("transport_carrier", "TRANSPORTADOR", False), ("entry_urf", "URF DE ENTRADA", True), ("country_of_provenance", "PAIS DE PROCED", True))],
-        *[(f, False, within(_IMPORTER, said(lab, digit), True)) for f, lab, digit in (("importer_address", "ENDERECO IMPORTADOR", False), ("importer_number", "NUMERO", True), ("importer_complement", "COMPLEMENTO", False), ("importer_neighborhood", "BAIRRO", False), ("importer_cep", "CEP", True), ("importer_city_uf", "CIDADE/UF", False), ("importer_country", "PAIS", False))],
+        *[(x.field, False, labelled(x.field)) for x in DI_LABELS],
     ],
     "li": [
-        ("importer_name", True, first_of(label(r"NOME\s+DO\s+IMPORTADOR", ahead=5), label(r"^IMPORTADOR\b", value="[A-Za-z]{3}", ahead=5), company_before_cnpj)),
+        ("importer_name", True, first_of(licensed("importer_named"), label(r"^IMPORTADOR\b", value="[A-Za-z]{3}", ahead=5), company_before_cnpj)),
         ("importer_cnpj", True, cnpj_import),
-        ("li_number", False, first_of(label(r"NR\s+LI\b", value="[0-9]", ahead=3), pattern(r"(?i)\bLI\s*(?:NO|NR)?\.?\s*[:\-]?\s*([0-9]{2}/[0-9\-]+|[0-9]{6,})"))),
-        ("li_reference", False, label(r"NREFERENCIA(?:\s+LI)?", value="[0-9]", ahead=3)),
+        ("li_number", False, licensed("li_number", r"(?is)\bLI\b\s*(?:NO\.?|Nº|NUMERO|NR)?\.?\s*[:\-]?\s*([0-9]{2}/[0-9\-]+|[0-9]{6,})")),
+        ("li_reference", False, licensed("li_reference")),
         ("invoice_number", False, pattern(r"(?i)\b(?:INVOICE|FATURA)\s*(?:NO|NR|N)?\.?\s*[:\-]?\s*([A-Z0-9\-/]*[0-9][A-Z0-9\-/]*)")),
         ("net_weight_kg", False, number(pattern(r"(?i)\b(?:PESO\s+L[IÍ]QUIDO|NET\s+WEIGHT)\b" + _KG), _P1)),
         ("gross_weight_kg", False, number(pattern(r"(?i)\b(?:PESO\s+BRUTO|GROSS\s+WEIGHT)\b" + _KG), _P1)),
-        ("quantity", False, number(pattern(r"(?i)\bQUANTIDADE\b[^0-9\n]{0,30}([0-9.,]+)"), _P1)),
+        ("quantity", False, number(pattern(r"(?is)\bQUANT\s+MEDIDA\s+ESTAT\b\s*[:\-]?\s*([0-9.,]+)", r"(?i)\bQUANTIDADE\b[^0-9\n]{0,30}([0-9.,]+)"), _P1)),
         *[(f, False, _NCM_IMPORT) for f in ("ncm", "ncm_or_hs")],
-        *[(f, False, said(lab, digit)) for f, lab, digit in (("country_of_origin", "PAIS DE ORIGEM", False), ("country_of_provenance", "PAIS DE PROCEDENCIA", False), ("country_of_acquisition", "PAIS DE AQUISICAO", True), ("country_proc", r"PAIS PROC\b", True), ("dispatch_urf", "URF DESPACHO", True), ("entry_urf", "URF ENTRADA", True), ("currency", "MOEDA NEGOCIADA", False), ("purchase_condition", "CONDICAO DE VENDA", False), ("unit_commercial", "UNIDADE COMERC", False))],
+        ("country_of_origin", False, licensed("country_of_origin", r"(?is)\bPA[IÍ]S\s+DE\s+ORIGEM\b\s*[:\-]?\s*([A-Z][A-Z \-]{2,})")),
+        ("country_of_provenance", False, licensed("country_of_provenance", r"(?is)\bPA[IÍ]S\s+DE\s+PROCED[ÊE]NCIA\b\s*[:\-]?\s*([A-Z][A-Z \-]{2,})")),
+        ("country_of_acquisition", False, licensed("country_of_acquisition", r"(?is)\bPA[IÍ]S\s+DE\s+AQUISI[ÇC][ÃA]O\b\s*[:\-]?\s*([A-Z0-9 \-]+)")),
+        ("country_proc", False, licensed("country_proc", r"(?is)\bPA[IÍ]S\s+PROC\b\s*[:\-]?\s*([A-Z0-9 \-]+)")),
+        *[(f, False, licensed(f)) for f in ("dispatch_urf", "entry_urf", "currency", "purchase_condition", "unit_commercial")],
         ("exporter_name", False, label(r"^EXPORTADOR\b", reject=r"\b(?:FABRICANTE|PRODUTOR)\b", ahead=4)),
-        ("unit_measure", False, pattern(r"(?i)\bUNIDADE\s+(?:DE\s+)?MEDIDA\b\s*[:\-]?\s*([^\n\r]+)")),
+        ("unit_measure", False, pattern(r"(?is)\bUNID\s+MEDIDA\s+ESTAT\b\s*[:\-]?\s*([A-Z ]{2,})", r"(?i)\bUNIDADE\s+(?:DE\s+)?MEDIDA\b\s*[:\-]?\s*([^\n\r]+)")),
         ("incoterm", False, incoterm_import),
-        *[(f, False, within(_IMPORTER, said(lab, digit), False)) for f, lab, digit in (("importer_address", "ENDERECO", False), ("importer_number", "NUMERO", True), ("importer_complement", "COMPLEMENTO", False), ("importer_city", "CIDADE", False), ("importer_country", "PAIS", False))],
-        *[(f, False, within(_EXPORTER, said(lab), False)) for f, lab in (("exporter_address", "ENDERECO"), ("exporter_city", "CIDADE"), ("exporter_country", "PAIS"))],
+        *[(x.field, False, licensed(x.field)) for x in LI_LABELS if x.section != "all"],
     ],
 }
 
@@ -673,7 +828,11 @@ def extract_kind(docs: DataFrame, flow: str, kind: str, with_lines: bool = False
     # The windows of an import invoice count its empty lines.
     d = d.withColumn("lines", lines_collapsed("text") if export else lines("text", keep_empty=kind == "invoice"))
     t, ls = F.col("text"), F.col("lines")
-    d = d.withColumns({name: rule(t, ls) for name, (rule, kinds) in SHARED["exportation" if export else "importation"].items() if kind in kinds})
+    later = ("shared_items",)
+    shared = {name: rule for name, (rule, kinds) in SHARED["exportation" if export else "importation"].items() if kind in kinds}
+    for names in ([n for n in shared if n not in later], [n for n in shared if n in later]):
+        if names:
+            d = d.withColumns({n: shared[n](t, ls) for n in names})
     more = [warnings(flow, kind).alias("warnings"), F.col("lines")] if with_lines else []
     out = d.select(*docs_columns(docs), *[rule(t, ls).alias(f) for f, _, rule in (EXPORT if export else IMPORT)[kind]], *more)
     if with_lines:
@@ -689,9 +848,24 @@ def warnings(flow: str, kind: str) -> Column:
     if (flow, kind) == ("importation", "invoice"):
         w = F.col("shared_weights")
         said = [F.when(w["one"].isNotNull(), "invoice_single_weight_used_for_net_and_gross"), F.when(w["net"].isNull() & w["gross"].isNotNull(), "invoice_net_weight_inferred_from_gross"), F.when(w["gross"].isNull() & w["net"].isNotNull(), "invoice_gross_weight_inferred_from_net")]
+    if (flow, kind) == ("importation", "packing_list"):
+        volume = F.exists("lines", lambda x: x.rlike(r"(?i)\bTOTAL\s+VOLUME\b.*\b(?:MC|M3)\b"))
+        said = [F.when(F.col("shared_items.compact"), "packing_items_compact_fallback_used"), F.when(F.col("shared_totals.m3").isNull() & volume, "packing_total_volume_found_without_numeric_value")]
+    if (flow, kind) == ("exportation", "draft_bl"):
+        said = [F.when(empty_due(F.col("text")), 'DUE appears empty (example: "DUE: .") and was treated as missing.')]
     return F.array_compact(F.array(*said))
 
 
+# The codes of tariffs have so many digits.
+NCM_DIGITS = (4, 6, 8)
+DUE = r"(?i)\bDUE\b[:\s\-]*([A-Z0-9.\-/]+)"
+
+
+def empty_due(t: Column) -> Column:
+    """Whether a bill names its DUE but says nothing behind it."""
+    return F.coalesce(find(t, DUE).isNotNull() & clean_token(find(t, DUE)).isNull(), F.lit(False))
+
+
 def row_warnings(flow: str, kind: str) -> Column:
     """Warnings that compare the fields of an extracted row."""
     said = [F.lit(None).cast("string")]
@@ -700,6 +874,9 @@ def row_warnings(flow: str, kind: str) -> Column:
             total = F.aggregate(F.filter(F.col(f"items.{field}"), lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
             text = F.format_string(f"Soma {name} da tabela (%.2f) difere do TOTAL (%.2f). Usando TOTAL.", total, F.col(field))
             said.append(F.when((F.size("items") > 0) & (F.abs(total - F.col(field)) > 0.5), text))
+    if flow == "importation" and kind in ("bl", "hbl", "di", "li"):
+        n = F.length("ncm")
+        said.append(F.when(F.col("ncm").isNotNull() & ~n.isin(*NCM_DIGITS), F.concat(F.lit("NCM/HS com "), n.cast("string"), F.lit(" digitos ("), "ncm", F.lit("). Verificar."))))
     if (flow, kind) == ("exportation", "draft_bl"):
         want = expected_freight(F.col("incoterm"), True)
         text = F.concat(F.lit("possible_incoterm_freight_mismatch: incoterm="), "incoterm", F.lit(" expected="), want, F.lit(" freight_mode="), "freight_mode")
@@ -707,13 +884,24 @@ def row_warnings(flow: str, kind: str) -> Column:
     return F.array_compact(F.array(*said))
 
 
+def optional(flow: str, kind: str) -> dict[str, Column]:
+    """Required fields that an extracted row may lack all the same, by its warnings."""
+    if (flow, kind) == ("exportation", "draft_bl"):
+        return {"due": F.exists("warnings", lambda w: w.startswith("DUE appears empty"))}
+    return {}
+
+
 def missing_required(fields: DataFrame, flow: str, kind: str) -> Column:
-    """Names of the required fields that are null, empty or an empty list, in the order of the kind."""
+    """Names of the required fields that are null, empty or an empty list, in the order of the kind.
+
+    Where fields have their warnings, those that a warning makes optional are left out.
+    """
+    spared = optional(flow, kind) if "warnings" in fields.columns else {}
     out = []
     for f, required, _ in (EXPORT if flow != "importation" else IMPORT)[kind]:
         if required:
             lacks = F.col(f).isNull()
             kind_ = dict(fields.dtypes)[f]
             lacks = lacks | (F.size(f) == 0) if kind_.startswith("array") else lacks | (F.btrim(f) == "") if kind_ == "string" else lacks
-            out.append(F.when(lacks, F.lit(f)))
+            out.append(F.when(lacks & ~spared[f] if f in spared else lacks, F.lit(f)))
     return F.array_compact(F.array(*out))

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_lines, truncate_evidence
+from ..sources.tables import written
 from . import checks, report
 from . import extract as X
 
 FLOWS = ("importation", "exportation")
-#: Names of the engines.
+#: Names of the engines. The variables are the engine's own.
 ENGINES = {"regex": "regex", "legacy": "regex", "llm": "llm", "codex": "llm"}
-ENGINE_VARIABLE, FALLBACK_VARIABLE = "DOCREADER_STAGE2_ENGINE", "DOCREADER_STAGE2_LLM_FALLBACK_REGEX"
+ENGINE_VARIABLE, FALLBACK_VARIABLE = "TRADELOOM_ENGINE", "TRADELOOM_FALLBACK_TO_RULES"
 #: Group checks: name, roles, aliases, mode.
 GROUPS = {
     "importation": [
@@ -62,7 +63,7 @@ def document_kind(flow: str) -> Column:
 
 def _long(x: DataFrame, flow: str, kind: str) -> DataFrame:
     """An extracted row in long form: a struct for each field, with required, present, evidence and method."""
-    types, out = dict(x.dtypes), []
+    types, out, spared = dict(x.dtypes), [], X.optional(flow, kind)
     for f, required, _ in (X.EXPORT if flow == "exportation" else X.IMPORT)[kind]:
         c, t = F.col(f), types[f]
         text = c if t == "string" else c.cast("string") if t == "boolean" else F.lit(None).cast("string")
@@ -71,7 +72,7 @@ def _long(x: DataFrame, flow: str, kind: str) -> DataFrame:
         present = c.isNotNull() & (F.size(c) > 0 if t.startswith("array") else F.btrim(c) != "" if t == "string" else F.lit(True))
         token = F.get(items, F.lit(0)) if t == "array<string>" else text
         evidence = F.when(present & token.isNotNull(), truncate_evidence(evidence_lines(F.col("lines"), token))) if t in ("string", "array<string>") else F.lit(None).cast("array<string>")
-        out.append(F.struct(F.lit(f).alias("field"), F.lit(required).alias("required"), present.alias("present"), text.alias("value_str"), number.alias("value_num"), items.alias("value_list"), F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"), F.lit("regex").alias("method")))
+        out.append(F.struct(F.lit(f).alias("field"), (~spared[f] if f in spared else F.lit(required)).alias("required"), present.alias("present"), text.alias("value_str"), number.alias("value_num"), items.alias("value_list"), F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"), F.lit("regex").alias("method")))
     return x.select("run_id", "doc_id", "original_file", "doc_kind", F.array(*out).alias("fields"), F.concat("warnings", X.row_warnings(flow, kind)).alias("warnings"))
 
 
@@ -88,9 +89,13 @@ def extract_wide(docs: DataFrame, flow: str, kinds: list[str] | None = None) ->
     # An unknown kind fails an import document and only warns on an export one.
     said = F.array(F.concat(F.lit("unsupported_doc_kind:" if flow == "exportation" else "doc_kind unknown: "), "doc_kind"))
     every = None
+    # Kinds of the same rules are extracted together.
+    table, same = X.EXPORT if flow == "exportation" else X.IMPORT, {}
     for kind in known:
-        x = X.extract_kind(dealt.where(F.col("doc_kind") == kind), flow, kind, with_lines=True)
-        one = _long(x, flow, kind)
+        same.setdefault(id(table[kind]), []).append(kind)
+    for alike in same.values():
+        x = X.extract_kind(dealt.where(F.col("doc_kind").isin(alike)), flow, alike[0], with_lines=True)
+        one = _long(x, flow, alike[0])
         every = one if every is None else every.unionByName(one)
     lacks = F.transform(F.filter("fields", lambda f: f["required"] & ~f["present"]), lambda f: f["field"])
     every = every.withColumn("missing", lacks)
@@ -101,8 +106,12 @@ def extract_wide(docs: DataFrame, flow: str, kinds: list[str] | None = None) ->
 def extract_documents(docs: DataFrame, flow: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents (…, doc_kind, missing, warnings) and their fields in long form, absent ones too."""
     every = extract_wide(docs, flow, kinds)
-    fields = every.select("run_id", "doc_id", "doc_kind", F.explode("fields").alias("f")).select("run_id", "doc_id", "doc_kind", "f.*")
-    return every.drop("fields"), fields
+    return every.drop("fields"), long_fields(every)
+
+
+def long_fields(wide: DataFrame) -> DataFrame:
+    """The fields of extract_wide, a row each."""
+    return wide.select("run_id", "doc_id", "doc_kind", F.explode("fields").alias("f")).select("run_id", "doc_id", "doc_kind", "f.*")
 
 
 def present_fields(fields: DataFrame) -> DataFrame:
@@ -140,8 +149,9 @@ def document_report(docs: DataFrame, fields: DataFrame) -> DataFrame:
 def run_flow(docs: DataFrame, flow: str, kinds: list[str] | None = None) -> dict[str, DataFrame]:
     """All of a flow: documents, fields, pairs, groups, rules, summary, status of documents and of runs."""
     flow = normalize_flow(flow)
-    wide = extract_wide(docs, flow, kinds)
-    d, fields = wide.drop("fields"), wide.select("run_id", "doc_id", "doc_kind", F.explode("fields").alias("f")).select("run_id", "doc_id", "doc_kind", "f.*")
+    # Written once: all that follows reads it, some of it several times.
+    wide = written(extract_wide(docs, flow, kinds))
+    d, fields = wide.drop("fields"), long_fields(wide)
     out = {"documents": d, "fields": fields, **compare(with_map(wide), None, flow), "status": document_report(d, fields)}
     out["overall"] = report.overall_status(out["status"], out["pairs"])
     return out

@@ -115,7 +115,7 @@ _shape = lambda: F.regexp_replace("cnpj_a", r"^(..)(...)(...)(....)(..)$", "$1.$
 _extract("extract_invoice_import", "importation", "invoice", lambda: _lines(_l("COMMERCIAL INVOICE"), ("INVOICE NO: ", _c("inv_a")), ("DATE: ", _c("day")), _l("PAYMENT TERMS\n90 DAYS"), ("BILL TO\n", _c("imp_a")), ("CNPJ: ", _shape()), _l("CURRENCY: USD"), ("INCOTERM ", _c("term")), ("NET WEIGHT: ", _fixed(_c("net_a"), 2), " KGS"), ("GROSS WEIGHT: ", _fixed(_c("net_a") + 5, 2), " KGS"), _l("* M1 2 UNITS @1,000 -. 2,000 -.")),
          {"invoice_number": "inv_a", "invoice_date": "day", "payment_terms": "'90 DAYS'", "importer_name": "imp_a", "importer_cnpj": "cnpj_a", "currency": "'USD'", "incoterm": "term", "net_weight_kg": "net_a", "gross_weight_kg": "net_a + 5", "items": "1::BIGINT", "amount": "2000.0::DOUBLE"},
          lambda x: x.withColumn("items", F.size("line_items").cast("long")).withColumn("amount", F.col("line_items")[0]["amount"]))
-_extract("extract_packing_import", "importation", "packing_list", lambda: _lines(("PACKING LIST ", F.regexp_replace("inv_a", "^INV", "DN")), _l("* MOD1: OUTBOARD"), _l("1 - 3 3 CARTONS @199 @264 1,2 3,6"), _l("597 792"), ("TOTAL : 3 CARTONS ", _fixed(_c("net_a"), 2), " ", _fixed(_c("net_a") * 2, 2), " 3.772"), ("CNPJ ", _shape())),
+_extract("extract_packing_import", "importation", "packing_list", lambda: _lines(("PACKING LIST ", F.regexp_replace("inv_a", "^INV", "DN")), _l("* MODEL: MOD1"), _l("1 - 3 3 CARTONS @199 @264 1,2 3,6"), _l("597 792"), ("TOTAL : 3 CARTONS ", _fixed(_c("net_a"), 2), " ", _fixed(_c("net_a") * 2, 2), " 3.772"), ("CNPJ ", _shape())),
          {"invoice_number": "'DN-' || substr(inv_a, 5)", "importer_cnpj": "cnpj_a", "packages_total": "3::BIGINT", "net_weight_kg": "net_a", "gross_weight_kg": "net_a * 2", "measurement_total_m3": "3.772::DOUBLE", "model": "'MOD1'", "item_net": "597.0::DOUBLE", "sum_packages": "3::BIGINT"},
          lambda x: x.withColumn("model", F.col("items")[0]["model"]).withColumn("item_net", F.col("items")[0]["net_weight_kg"]).withColumn("sum_packages", F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["packages"])))
 _extract("extract_bl_import", "importation", "bl", lambda: _lines(_l("BILL OF LADING"), _l("SHIPPER"), ("", _c("exp_a"), " 258255821A"), _l("SHIPPER SA\nCNPJ 11.222.333/0001-44"), _l("CONSIGNEE"), ("", _c("imp_a"), " Received by the Carrier"), _l("RUA 1, TEL 99"), ("CNPJ ", _shape()), _l("NOTIFY PARTY\nSAME AS CONSIGNEE\nOTHER SA\nCNPJ 99.888.777/0001-66"), ("NCM ", F.left("ncm_a", _l(6))), _l("PORT OF LOADING: TEL 5"), _l("PORT OF LOADING: GENOVA"), _l("PORT OF LOADING: SANTOS"), _l("PORT OF DISCHARGE\nEMAIL a\nNAVEGANTES"), ("GROSS WEIGHT\n", _fixed(_c("net_a"), 2), " KG ", _fixed(_c("net_a"), 2), " KG"), _l("53,772 CBM"), ("FREIGHT ", _c("freight"))),

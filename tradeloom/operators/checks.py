@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare as C
 from ..functions.numbers import to_float_export, to_float_import
-from ..functions.text import digits_only, norm_str_export, norm_str_import
+from ..functions.text import digits_only, let, norm_str_export, norm_str_import, strip
 
 #: The checks of each family of document pairs: name, kind, keys of a, keys of b, tolerances.
 _G = ["gross_weight_kg_total_calc", "gross_weight_kg", "gross_weight_total_kg"]
@@ -170,8 +170,36 @@ def label_of(name: Column, kind: Column) -> Column:
 
 
 def container_numbers(x: Column) -> Column:
-    """Sorted distinct container numbers of a list of texts."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(F.array_join(x, " ")), F.lit(r"\b([A-Z]{4}[0-9]{7})\b"), F.lit(1))))
+    """Sorted distinct container numbers of a list of texts, each a text or JSON of any depth.
+
+    An object that names its container_number stands for that alone; else all
+    its values are looked through, as are those of lists, and texts for numbers.
+    JSON is walked level by level over VARIANT, as many levels as it has brackets.
+    """
+    in_text = lambda s: F.regexp_extract_all(F.upper(s), F.lit(r"\b([A-Z]{4}[0-9]{7})\b"), F.lit(1))
+    as_text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    named = lambda v: F.nullif(F.upper(strip(F.try_variant_get(v, "$.container_number", "string"))), F.lit(""))
+    no_variants = F.array().cast("array<variant>")
+
+    def found(v: Column) -> Column:
+        return F.coalesce(F.when(named(v).isNotNull(), F.array(named(v))), in_text(as_text(v)), F.array().cast("array<string>"))
+
+    def below(v: Column) -> Column:
+        within = F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), no_variants)
+        return F.when(named(v).isNotNull(), no_variants).otherwise(F.filter(within, lambda c: c.isNotNull()))
+
+    def walk(text: Column, v: Column) -> Column:
+        depth = F.length(F.regexp_replace(text, r"[^\[{]", ""))
+        start = F.struct(F.array(v).alias("level"), F.array().cast("array<string>").alias("found"))
+        step = lambda a, _: F.struct(F.flatten(F.transform(a["level"], below)).alias("level"), F.concat(a["found"], F.flatten(F.transform(a["level"], found))).alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), depth), start, step, lambda a: a["found"])
+
+    def of(text: Column) -> Column:
+        nested = F.when(text.rlike(r"^\s*[\[{]"), F.try_parse_json(text))
+        return let(nested, lambda v: F.when(v.isNotNull(), walk(text, v)).otherwise(in_text(text)))
+
+    texts = F.filter(F.coalesce(x, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(texts, of))))
 
 
 def pair_checks(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFrame:
@@ -196,13 +224,15 @@ def pair_checks(docs: DataFrame, fields: DataFrame | None, flow: str) -> DataFra
     text = lambda s: F.coalesce(F.col(f"{s}.value_str"), F.col(f"{s}.value_num").cast("string"), F.array_join(F.col(f"{s}.value_list"), ","))
     number = lambda s: F.coalesce(F.col(f"{s}.value_num"), to_float(F.col(f"{s}.value_str")))
     items = lambda s: F.coalesce(F.col(f"{s}.value_list"), F.array(F.col(f"{s}.value_str")))
+    boxes = F.col("kind") == "container_set"
+    numbers = lambda s: F.when(boxes, container_numbers(items(s))) if flow != "importation" else F.lit(None).cast("array<string>")
+    full = full.select(F.explode(F.array(F.struct(*full.columns, numbers("a").alias("a_boxes"), numbers("b").alias("b_boxes")))).alias("row")).select("row.*")
     close = None
     for kind, f in (C.IMPORT if flow == "importation" else C.EXPORT).items():
         close = (F if close is None else close).when(F.col("kind") == kind, f(text("a"), text("b")))
     close = close.when(F.col("kind") == "docref_set", C.docref_set_close(items("a"), items("b")))
-    boxes = F.col("kind") == "container_set"
-    close = close.when(boxes, container_numbers(items("a")) == container_numbers(items("b")))
-    lacks = lambda s: F.col(s).isNull() | (boxes & (F.size(container_numbers(items(s))) == 0))
+    close = close.when(boxes, F.col("a_boxes") == F.col("b_boxes"))
+    lacks = lambda s: F.col(s).isNull() | (boxes & (F.size(F.col(f"{s}_boxes")) == 0))
     a, b = lacks("a"), lacks("b")
     numeric = F.col("kind") == "number"
     x, y = number("a"), number("b")

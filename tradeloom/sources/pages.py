@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from .files import read_files
 
 PAGES = "run_id long, source_file string, page int, method string, text_chars int, text string, note string"
 
@@ -67,10 +68,14 @@ def read_side_car(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_side_cars(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """(run_id, key, value) of the side-car files of that name: at the top of a folder for run 0, under a number for that run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(folder)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
-    parsed = _placed(files, folder).select("run_id", F.from_json(text, "map<string,string>").alias("m"))
+    """(run_id, key, value) of the side-car files of that name: at the top of a folder for run 0, under a number for that run.
+
+    Read as files, since their names begin with a low line, which Spark's own
+    readers pass over. Broken ones and blank values are left out.
+    """
+    files = read_files(spark, folder, f"*{name}", plain=True)
+    run = F.when(F.col("name") == name, F.lit(0).cast("long")).when(F.col("name").rlike("^[0-9]{1,18}/[^/]*$") & F.col("name").endswith(f"/{name}"), F.substring_index("name", "/", 1).try_cast("bigint"))
+    parsed = files.select(run.alias("run_id"), F.from_json("content", "map<string,string>").alias("m")).where("run_id IS NOT NULL")
     return parsed.select("run_id", F.explode("m").alias("key", "value")).where(F.btrim("value") != "").select("run_id", "key", F.btrim("value").alias("value"))
 
 

@@ -5,9 +5,10 @@ of k words by the slot of their own. A phrase of k words can only be frequent if
 both its parts of k - 1 words are, so a window's key is (slot of the first k - 1
 words, slot of the last word): exact, whatever the words. For each k
 
-1. mappers bincount the hashed keys of windows whose parts are both frequent into
-   buckets; a window in a bucket below the least count is no candidate. Both
-   tests only ever pass over phrases that cannot be frequent;
+1. mappers count the hashed keys of windows whose parts are both frequent by
+   buckets, at least one for every eight words of the corpus; a window in a bucket
+   below the least count is no candidate. Both tests only ever pass over phrases
+   that cannot be frequent;
 2. the distinct keys that are left are the candidates. Blocks of them get a
    minimal perfect hash (bit arrays by level, each with the keys that no other
    key meets there) that stores the key of each slot; a window has a slot only if
@@ -19,9 +20,10 @@ A candidate carries the slots of its first and its last k - 1 words, so that the
 counts of all its cuts are read along two chains of slots.
 
 Bounds: a block has BLOCK candidates and is broadcast; more candidates are more
-rounds over the windows, not a larger broadcast. Buckets are 2^22 at most (past
-that they pass more candidates), the marks of frequent slots one bit a slot, of
-2^32 slots at most. Words are told apart by a 64-bit hash of language and word
+rounds over the windows, not a larger broadcast. A task holds the counts of its
+own buckets only. Marks of frequent slots and buckets are one bit each, of 2^32
+slots and 2^30 buckets (128 MB) at most; with fewer buckets than an eighth of the
+words more candidates pass, and none is lost. Words are told apart by a 64-bit hash of language and word
 that is checked to have no two words in common; another seed is taken if it has.
 
 Edge cases: null text: no words; null lang: `und`; empty texts and an empty
@@ -46,7 +48,7 @@ from .common import materialize, table
 
 MIN_COUNT, LONGEST, TOP, NO_LANG = 100, 5, 2000, "und"
 #: Candidates of a perfect hash; the most buckets; slots of a range that one task sums; arrays that are summed at a time.
-BLOCK, BUCKETS, RANGE, FAN = 1 << 22, 1 << 22, 1 << 16, 64
+BLOCK, BUCKETS, RANGE, FAN = 1 << 22, 1 << 30, 1 << 16, 64
 #: Words of a row of windows, at least (a batch of Spark's has 10,000 rows), texts and rows that are worked on at a time, numbers
 #: that are counted at a time, and words of a language that a task remembers.
 ROW_WORDS, DOCS, ROWS, COUNT_AT, REMEMBERED = 512, 500, 128, 1 << 20, 1 << 16
@@ -142,6 +144,12 @@ def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(data or b"")[ends[0] : ends[-1]], ends - ends[0]
 
 
+def _words_and_phrases(b: pa.RecordBatch) -> tuple[memoryview, memoryview]:
+    """The two columns of rows of windows; before there are phrases these are the words."""
+    w = _bytes(b["w"])[0]
+    return w, w if b["p"].null_count == len(b["p"]) else _bytes(b["p"])[0]
+
+
 _READ = "windows binary, lang string, word string, hash long, n long"
 
 
@@ -190,8 +198,16 @@ def _read(seed: int):
 _SPARSE = "part long, mapper long, place binary, n binary"
 
 
+def _sparse(kind: str, numbers: np.ndarray, counts: np.ndarray):
+    """Ascending numbers and their counts as a row for each range of numbers."""
+    if len(numbers):
+        part, at = np.unique(numbers // RANGE, return_index=True)
+        places, n = np.split((numbers % RANGE).astype(np.uint16), at[1:]), np.split(counts.astype(np.int64), at[1:])
+        yield _batch(kind, part=part, mapper=[TaskContext.get().partitionId()] * len(part), place=[x.tobytes() for x in places], n=[x.tobytes() for x in n])
+
+
 class _Counts:
-    """Counts of numbers below `size`, given out as sparse rows for ranges of numbers."""
+    """Counts of numbers below `size`."""
 
     def __init__(self, size: int, first: int = 0):
         self.size, self.first = size, first
@@ -209,16 +225,9 @@ class _Counts:
         self.held, self.waiting = [], 0
 
     def batches(self, kind: str):
-        for row in self._rows():
-            yield _batch(kind, **{k: [v] for k, v in row.items()})
-
-    def _rows(self):
         self._flush()
-        mapper = TaskContext.get().partitionId()
-        for at in range(0, self.size, RANGE):
-            part = self.total[at : at + RANGE]
-            if len(some := np.flatnonzero(part)):
-                yield {"part": (self.first + at) // RANGE, "mapper": mapper, "place": some.astype(np.uint16).tobytes(), "n": part[some].tobytes()}
+        some = np.flatnonzero(self.total)
+        yield from _sparse(kind, some + self.first, self.total[some])
 
 
 def _tree_sum(sparse: DataFrame, mappers: int) -> DataFrame:
@@ -285,7 +294,7 @@ def _distinct(size: int, heavy, marks, k: int):
                 yield _batch(kind, key=keys[a : a + (1 << 16)].view(np.int64), suffix=last[a : a + (1 << 16)])
 
         for b in _pieces(batches, ROWS):
-            _, keys, last, _ = _windows(_bytes(b["w"])[0], _bytes(b["p"])[0], marks.value, k)
+            _, keys, last, _ = _windows(*_words_and_phrases(b), marks.value, k)
             good = _bit(heavy.value, (_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
             held.append(keys[good])
             suffix.append(last[good])
@@ -303,11 +312,16 @@ def _buckets(size: int, marks, k: int):
     """This task's counts of the hashed keys of windows whose parts are frequent."""
 
     def run(batches):
-        counts = _Counts(size)
+        held, waiting = [], 0
         for b in _pieces(batches, ROWS):
-            _, keys, _, _ = _windows(_bytes(b["w"])[0], _bytes(b["p"])[0], marks.value, k)
-            counts.add((_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
-        yield from counts.batches(_SPARSE)
+            _, keys, _, _ = _windows(*_words_and_phrases(b), marks.value, k)
+            held.append((_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
+            waiting += len(keys)
+            if waiting >= COUNT_AT:
+                yield from _sparse(_SPARSE, *np.unique(np.concatenate(held), return_counts=True))
+                held, waiting = [], 0
+        if waiting:
+            yield from _sparse(_SPARSE, *np.unique(np.concatenate(held), return_counts=True))
 
     return run
 
@@ -315,14 +329,18 @@ def _buckets(size: int, marks, k: int):
 _COUNTED = "w binary, p binary, q binary, " + _SPARSE
 
 
-def _count(block, first: int, marks, k: int):
-    """Rows of windows with the slots of this block's phrases, and this task's counts of them."""
+def _count(block, first: int, marks, k: int, last: bool):
+    """Rows of windows with the slots of this block's phrases, and this task's counts of them.
+
+    After the last block the shorter phrases are not needed any longer, nor are
+    rows that have no phrase: without one there is none to come.
+    """
 
     def run(batches):
         counts = _Counts(len(block.value), first)
         for b in _pieces(batches, ROWS):
-            w, ends = _bytes(b["w"])
-            at, keys, _, n = _windows(w, _bytes(b["p"])[0], marks.value, k)
+            ends = _bytes(b["w"])[1]
+            at, keys, _, n = _windows(*_words_and_phrases(b), marks.value, k)
             slot = block.value.slots(keys)
             here = np.flatnonzero(slot >= 0)
             counts.add(slot[here])
@@ -334,9 +352,9 @@ def _count(block, first: int, marks, k: int):
                 mine = own[a:e]
                 if q:
                     mine = np.minimum(mine, np.frombuffer(q, np.uint32))
-                # Empty: no phrase as yet, and without one there is none to come.
                 done.append(mine.tobytes() if len(mine) and mine.min() != NONE else b"")
-            yield _batch(_COUNTED, w=b["w"], p=b["p"], q=done)
+            out = _batch(_COUNTED, w=b["w"], q=done) if last else _batch(_COUNTED, w=b["w"], p=b["p"], q=done)
+            yield out.filter(pa.array([x != b"" for x in done])) if last else out
         yield from counts.batches(_COUNTED)
 
     return run
@@ -370,7 +388,7 @@ def _slotted(block, first: int):
 
 
 def _blocks(candidates: DataFrame, columns: list[str], block: int):
-    """Blocks of `block` candidates about, each as arrays: (first slot, perfect hash, its other columns by slot)."""
+    """Blocks of `block` candidates about, each as arrays: (first slot, whether it is the last, perfect hash, slots and other columns of its candidates)."""
     spark, n = candidates.sparkSession, candidates.count()
     if n >= int(NONE):
         raise ValueError(f"{n} candidates are more than slots can number")
@@ -384,7 +402,7 @@ def _blocks(candidates: DataFrame, columns: list[str], block: int):
         keys = got["key"].to_numpy(np.int64).view(np.uint64)
         hashed = PerfectHash(keys)
         slot = hashed.slots(keys)
-        yield first, hashed, slot, got
+        yield first, k == parts - 1, hashed, slot, got
         first += -(-len(keys) // RANGE) * RANGE
 
 
@@ -416,11 +434,11 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
     read, words = _words(docs)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     every = words.agg(F.sum("n")).collect()[0][0] or 0
-    size = min(buckets, max(RANGE, 1 << int(every // 8).bit_length()))
+    size = min(buckets, max(RANGE, 1 << int(every // 4).bit_length()))
     often = words.where(F.col("n") >= least).withColumnRenamed("hash", "key")
     rows = read.where("windows is not null").select("windows", F.lit(None).cast("binary").alias("w"))
     word = None
-    for first, hashed, _, _ in _blocks(often, [], block):
+    for first, _, hashed, _, _ in _blocks(often, [], block):
         shared = sc.broadcast(hashed)
         rows = rows.mapInArrow(*_number(shared, first))
         mine = often.mapInPandas(_slotted(shared, first), "slot long, lang string, phrase string, n long")
@@ -430,7 +448,7 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
     levels = [word.select("slot", "lang", "phrase", "n", none.alias("heads"), none.alias("tails"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))]
     if word.isEmpty():
         return levels, totals
-    rows = materialize(rows.select("w", F.col("w").alias("p")))
+    rows = materialize(rows.select("w", F.lit(None).cast("binary").alias("p")))
     marks = sc.broadcast(None)
     for k in range(2, longest + 1):
         mappers = rows.rdd.getNumPartitions()
@@ -439,13 +457,13 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
         candidates = materialize(found.groupBy("key").agg(F.min("suffix").alias("suffix")))
         counted, slots, tables = rows.withColumn("q", F.lit(None).cast("binary")), 0, []
         sums = []
-        for first, hashed, slot, got in _blocks(candidates, ["suffix"], block):
-            if not len(hashed):
+        for first, last, hashed, slot, got in _blocks(candidates, ["suffix"], block):
+            if not len(hashed) and last and not tables:
                 break
             suffix = np.empty(len(hashed), np.int64)
             suffix[slot] = got["suffix"].to_numpy()
             shared = sc.broadcast(hashed)
-            done = materialize(counted.mapInArrow(_count(shared, first, marks, k), _COUNTED))
+            done = materialize(counted.mapInArrow(_count(shared, first, marks, k, last), _COUNTED))
             counted = done.where("w is not null").select("w", "p", "q")
             total = materialize(_tree_sum(done.where("w is null").select("part", "mapper", "place", "n"), mappers))
             sums.append(total)
@@ -459,8 +477,7 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
             total, found = total.unionByName(x), found.unionByName(y)
         levels.append(materialize(_chain(found, levels[-1], levels[0])))
         marks = sc.broadcast(_marks(total, slots, least))
-        # Rows of windows that have no phrase of this length have no longer one.
-        rows = counted.where(F.length("q") > 0).select("w", F.col("q").alias("p"))
+        rows = counted.select("w", F.col("q").alias("p"))
     return levels, totals
 
 

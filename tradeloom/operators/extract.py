@@ -766,12 +766,17 @@ IMPORT: dict[str, list[tuple[str, bool, Rule]]] = {
 }
 
 
-def detect_kind_import(t: Column) -> Column:
+# Further marks of declarations and licences, that are looked for where a model reads them.
+MODEL_MARKS = {"di": r"|DECLARA\w*\s+DE\s+IMPORTA|\bN\w*MERO\s+DA\s+DI\b", "li": r"|LICEN[CÇ]A\s+DE\s+IMPORTA|\bN\w*MERO\s+DA\s+LI\b"}
+
+
+def detect_kind_import(t: Column, model: bool = False) -> Column:
     u = F.upper(t)
+    more = MODEL_MARKS if model else {"di": "", "li": ""}
     return (
         F.when(u.rlike(r"\bHBL\b|HOUSE\s+BILL"), "hbl").when(u.rlike(r"PACKING\s+LIST|\bROMANEIO\b"), "packing_list")
-        .when(u.rlike(r"CONFERENCIA\s+DI|RASCUNHO\s+(?:DA\s+)?DI|\bNR\.?\s*DI\b"), "di")
-        .when(u.rlike(r"CONFERENCIA\s+LI|RASCUNHO\s+LI|\bNR\.?\s*LI\b|\bNREFERENCIA\s+LI\b"), "li")
+        .when(u.rlike(r"(?U)CONFERENCIA\s+DI|RASCUNHO\s+(?:DA\s+)?DI|\bNR\.?\s*DI\b" + more["di"]), "di")
+        .when(u.rlike(r"(?U)CONFERENCIA\s+LI|RASCUNHO\s+LI|\bNR\.?\s*LI\b|\bNREFERENCIA\s+LI\b" + more["li"]), "li")
         .when(u.rlike(r"INVOICE|PRO[-\s]?FORMA|FATTURA"), "invoice").when(u.rlike(r"BILL\s+OF\s+LADING|\bB/L\b|\bBL\b"), "bl").otherwise("unknown")
     )
 

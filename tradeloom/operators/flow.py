@@ -54,10 +54,10 @@ def falls_back() -> bool:
     return os.environ.get(FALLBACK_VARIABLE, "").strip().lower() in ("1", "true", "yes", "on")
 
 
-def document_kind(flow: str) -> Column:
-    """By the hint, else by the text (and, for export, the name)."""
+def document_kind(flow: str, model: bool = False) -> Column:
+    """By the hint, else by the text (and, for export, the name); a model knows more marks of declarations and licences."""
     text = F.coalesce("text", F.lit(""))
-    found = X.detect_kind_import(text) if flow == "importation" else X.infer_kind_export(F.col("original_file"), text)
+    found = X.detect_kind_import(text, model) if flow == "importation" else X.infer_kind_export(F.col("original_file"), text)
     return F.coalesce(X.hint_kind(F.col("hint"), flow), found)
 
 
@@ -85,9 +85,6 @@ def extract_wide(docs: DataFrame, flow: str, kinds: list[str] | None = None) ->
     flow = normalize_flow(flow)
     dealt = X.deal(docs, "run_id").withColumn("doc_kind", document_kind(flow)).select("run_id", "doc_id", "original_file", "doc_kind", "text")
     known = kinds or list(X.EXPORT if flow == "exportation" else X.IMPORT)
-    empty = F.array().cast("array<string>")
-    # An unknown kind fails an import document and only warns on an export one.
-    said = F.array(F.concat(F.lit("unsupported_doc_kind:" if flow == "exportation" else "doc_kind unknown: "), "doc_kind"))
     every = None
     # Kinds of the same rules are extracted together.
     table, same = X.EXPORT if flow == "exportation" else X.IMPORT, {}
@@ -99,8 +96,16 @@ def extract_wide(docs: DataFrame, flow: str, kinds: list[str] | None = None) ->
         every = one if every is None else every.unionByName(one)
     lacks = F.transform(F.filter("fields", lambda f: f["required"] & ~f["present"]), lambda f: f["field"])
     every = every.withColumn("missing", lacks)
-    other = dealt.where(~F.col("doc_kind").isin(list(known))).select("run_id", "doc_id", "original_file", "doc_kind", F.lit(None).cast(every.schema["fields"].dataType).alias("fields"), (empty if flow == "importation" else said).alias("warnings"), (said if flow == "importation" else empty).alias("missing"))
-    return every.unionByName(other)
+    other = unknown_kinds(dealt.where(~F.col("doc_kind").isin(list(known))), flow)
+    return every.unionByName(other.withColumn("fields", F.lit(None).cast(every.schema["fields"].dataType)).select(*every.columns))
+
+
+def unknown_kinds(docs: DataFrame, flow: str) -> DataFrame:
+    """Documents of no known kind: one fails an import document and only warns on an export one."""
+    empty = F.array().cast("array<string>")
+    said = F.array(F.concat(F.lit("unsupported_doc_kind:" if flow == "exportation" else "doc_kind unknown: "), "doc_kind"))
+    warns, lacks = (said, empty) if flow == "exportation" else (empty, said)
+    return docs.select("run_id", "doc_id", "original_file", "doc_kind", warns.alias("warnings"), lacks.alias("missing"))
 
 
 def extract_documents(docs: DataFrame, flow: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -889,10 +889,10 @@ def row_warnings(flow: str, kind: str) -> Column:
     return F.array_compact(F.array(*said))
 
 
-def optional(flow: str, kind: str) -> dict[str, Column]:
-    """Required fields that an extracted row may lack all the same, by its warnings."""
+def optional(flow: str, kind: str) -> dict[str, str]:
+    """Required fields that an extracted row may lack all the same, by an expression over its warnings."""
     if (flow, kind) == ("exportation", "draft_bl"):
-        return {"due": F.exists("warnings", lambda w: w.startswith("DUE appears empty"))}
+        return {"due": "exists(warnings, w -> startswith(w, 'DUE appears empty'))"}
     return {}
 
 
@@ -908,5 +908,5 @@ def missing_required(fields: DataFrame, flow: str, kind: str) -> Column:
             lacks = F.col(f).isNull()
             kind_ = dict(fields.dtypes)[f]
             lacks = lacks | (F.size(f) == 0) if kind_.startswith("array") else lacks | (F.btrim(f) == "") if kind_ == "string" else lacks
-            out.append(F.when(lacks & ~spared[f] if f in spared else lacks, F.lit(f)))
+            out.append(F.when(lacks & ~F.expr(spared[f]) if f in spared else lacks, F.lit(f)))
     return F.array_compact(F.array(*out))

@@ -62,29 +62,42 @@ def document_kind(flow: str, model: bool = False) -> Column:
 
 
 def _long(x: DataFrame, flow: str, kind: str) -> DataFrame:
-    """An extracted row in long form: a struct for each field, with required, present, evidence and method."""
-    types, out, spared = dict(x.dtypes), [], X.optional(flow, kind)
-    for f, required, _ in (X.EXPORT if flow == "exportation" else X.IMPORT)[kind]:
-        c, t = F.col(f), types[f]
-        text = c if t == "string" else c.cast("string") if t == "boolean" else F.lit(None).cast("string")
-        number = c.cast("double") if t in ("double", "bigint", "int") else F.lit(None).cast("double")
-        items = c if t == "array<string>" else F.transform(c, lambda i: F.to_json(i) if t != "array<string>" else i) if t.startswith("array") else F.lit(None).cast("array<string>")
-        present = c.isNotNull() & (F.size(c) > 0 if t.startswith("array") else F.btrim(c) != "" if t == "string" else F.lit(True))
-        token = F.get(items, F.lit(0)) if t == "array<string>" else text
-        evidence = F.when(present & token.isNotNull(), truncate_evidence(evidence_lines(F.col("lines"), token))) if t in ("string", "array<string>") else F.lit(None).cast("array<string>")
-        out.append(F.struct(F.lit(f).alias("field"), (~spared[f] if f in spared else F.lit(required)).alias("required"), present.alias("present"), text.alias("value_str"), number.alias("value_num"), items.alias("value_list"), F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"), F.lit("regex").alias("method")))
-    return x.select("run_id", "doc_id", "original_file", "doc_kind", F.array(*out).alias("fields"), F.concat("warnings", X.row_warnings(flow, kind)).alias("warnings"))
-
-
-def extract_wide(docs: DataFrame, flow: str, kinds: list[str] | None = None) -> DataFrame:
-    """One row for each document: kind, fields (an array, absent ones too), missing, warnings.
-
-    kinds: those that are extracted, where it is known that no others occur; a
-    plan with fewer rules is made faster.
+    """An extracted row in long form: a struct for each field, with required, present, evidence and method.
+
+    Fields are put into one array, by their types, and one expression over it
+    does the rest: what is built does not grow with the fields but by a line each.
     """
+    spared = X.optional(flow, kind)
+    # By type: the text, number and list of a field, and what its evidence is looked for by.
+    forms = {
+        "string": ("`{0}`", "NULL", "NULL", "`{0}`"),
+        "boolean": ("CAST(`{0}` AS STRING)", "NULL", "NULL", "NULL"),
+        "number": ("NULL", "CAST(`{0}` AS DOUBLE)", "NULL", "NULL"),
+        "array<string>": ("NULL", "NULL", "`{0}`", "get(`{0}`, 0)"),
+        "array": ("NULL", "NULL", "transform(`{0}`, i -> to_json(i))", "NULL"),
+    }
+    types, rows = dict(x.dtypes), []
+    for f, required, _ in (X.EXPORT if flow == "exportation" else X.IMPORT)[kind]:
+        t = "number" if types[f] in ("double", "bigint", "int") else types[f] if types[f] in forms else "array"
+        text, number, items, token = (e.format(f) for e in forms[t])
+        need = f"NOT ({spared[f]})" if f in spared else str(required).lower()
+        rows.append(f"struct('{f}' AS field, {need} AS required, CAST({text} AS STRING) AS value_str, CAST({number} AS DOUBLE) AS value_num, CAST({items} AS ARRAY<STRING>) AS value_list, CAST({token} AS STRING) AS token)")
+    none = F.array().cast("array<string>")
+
+    def full(v: Column) -> Column:
+        present = F.coalesce(F.btrim(v["value_str"]) != "", F.lit(False)) | v["value_num"].isNotNull() | F.coalesce(F.size(v["value_list"]) > 0, F.lit(False))
+        evidence = F.when(present & v["token"].isNotNull(), truncate_evidence(evidence_lines(F.col("lines"), v["token"])))
+        return F.struct(v["field"].alias("field"), v["required"].alias("required"), present.alias("present"), v["value_str"].alias("value_str"), v["value_num"].alias("value_num"), v["value_list"].alias("value_list"), F.coalesce(evidence, none).alias("evidence"), F.lit("regex").alias("method"))
+
+    fields = F.transform(F.expr(f"array({', '.join(rows)})"), full)
+    return x.select("run_id", "doc_id", "original_file", "doc_kind", fields.alias("fields"), F.concat("warnings", X.row_warnings(flow, kind)).alias("warnings"))
+
+
+def extract_wide(docs: DataFrame, flow: str) -> DataFrame:
+    """One row for each document: kind, fields (an array, absent ones too), missing, warnings."""
     flow = normalize_flow(flow)
     dealt = X.deal(docs, "run_id").withColumn("doc_kind", document_kind(flow)).select("run_id", "doc_id", "original_file", "doc_kind", "text")
-    known = kinds or list(X.EXPORT if flow == "exportation" else X.IMPORT)
+    known = list(X.EXPORT if flow == "exportation" else X.IMPORT)
     every = None
     # Kinds of the same rules are extracted together.
     table, same = X.EXPORT if flow == "exportation" else X.IMPORT, {}
@@ -108,9 +121,9 @@ def unknown_kinds(docs: DataFrame, flow: str) -> DataFrame:
     return docs.select("run_id", "doc_id", "original_file", "doc_kind", warns.alias("warnings"), lacks.alias("missing"))
 
 
-def extract_documents(docs: DataFrame, flow: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def extract_documents(docs: DataFrame, flow: str) -> tuple[DataFrame, DataFrame]:
     """Documents (…, doc_kind, missing, warnings) and their fields in long form, absent ones too."""
-    every = extract_wide(docs, flow, kinds)
+    every = extract_wide(docs, flow)
     return every.drop("fields"), long_fields(every)
 
 
@@ -151,11 +164,11 @@ def document_report(docs: DataFrame, fields: DataFrame) -> DataFrame:
     return report.in_report_order(out.withColumn("n_missing", F.size("missing").cast("long")).withColumn("status", status))
 
 
-def run_flow(docs: DataFrame, flow: str, kinds: list[str] | None = None) -> dict[str, DataFrame]:
+def run_flow(docs: DataFrame, flow: str) -> dict[str, DataFrame]:
     """All of a flow: documents, fields, pairs, groups, rules, summary, status of documents and of runs."""
     flow = normalize_flow(flow)
     # Written once: all that follows reads it, some of it several times.
-    wide = written(extract_wide(docs, flow, kinds))
+    wide = written(extract_wide(docs, flow))
     d, fields = wide.drop("fields"), long_fields(wide)
     out = {"documents": d, "fields": fields, **compare(with_map(wide), None, flow), "status": document_report(d, fields)}
     out["overall"] = report.overall_status(out["status"], out["pairs"])

@@ -9,7 +9,8 @@ words, slot of the last word): exact, whatever the words. For each k
    buckets, at least one for every eight words of the corpus; a window in a bucket
    below the least count is no candidate. Both tests only ever pass over phrases
    that cannot be frequent;
-2. the distinct keys that are left are the candidates. Blocks of them get a
+2. the keys that are left, as arrays merged in a tree of tasks by ranges of
+   buckets, are the candidates. Blocks of them get a
    minimal perfect hash (bit arrays by level, each with the keys that no other
    key meets there) that stores the key of each slot; a window has a slot only if
    its key is the one stored there;
@@ -230,21 +231,48 @@ class _Counts:
         yield from _sparse(kind, some + self.first, self.total[some])
 
 
+def _tree(rows: DataFrame, mappers: int, merge) -> DataFrame:
+    """One row for each range of numbers: FAN arrays of a range are merged in a task, then FAN of what that gives."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = merge(group.iloc[:, 2], group.iloc[:, 3])
+        return pd.DataFrame([(group["part"].iloc[0], group["mapper"].iloc[0] // FAN, a, b)], columns=list(group.columns))
+
+    kind = ", ".join(" ".join(x) for x in (("part", "long"), ("mapper", "long"), *((c, "binary") for c in rows.columns[2:])))
+    while True:
+        rows = rows.groupBy("part", F.floor(F.col("mapper") / FAN).alias("of")).applyInPandas(lambda _, group: one(group), kind)
+        mappers = -(-mappers // FAN)
+        if mappers <= 1:
+            return rows
+
+
 def _tree_sum(sparse: DataFrame, mappers: int) -> DataFrame:
-    """One row for each range that has a count: FAN arrays of a range are summed in a task, then FAN of the sums."""
+    """The counts of all mappers, by range."""
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
+    def total(places, counts) -> tuple[bytes, bytes]:
         out = np.zeros(RANGE, np.int64)
-        for place, n in zip(group["place"], group["n"], strict=True):
+        for place, n in zip(places, counts, strict=True):
             out[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.int64)
         some = np.flatnonzero(out)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "mapper": [group["mapper"].iloc[0] // FAN], "place": [some.astype(np.uint16).tobytes()], "n": [out[some].tobytes()]})
+        return some.astype(np.uint16).tobytes(), out[some].tobytes()
 
-    while True:
-        sparse = sparse.groupBy("part", F.floor(F.col("mapper") / FAN).alias("of")).applyInPandas(total, _SPARSE)
-        mappers = -(-mappers // FAN)
-        if mappers <= 1:
-            return sparse
+    return _tree(sparse, mappers, total)
+
+
+def _tree_union(keys: DataFrame, mappers: int) -> DataFrame:
+    """The keys of all mappers, each once, by range, as rows (key, suffix)."""
+
+    def union(arrays, suffixes) -> tuple[bytes, bytes]:
+        every, first = np.unique(np.frombuffer(b"".join(arrays), np.uint64), return_index=True)
+        return every.tobytes(), np.frombuffer(b"".join(suffixes), np.uint32)[first].tobytes()
+
+    def rows(batches):
+        for b in _pieces(batches, ROWS):
+            key, suffix = (np.frombuffer(_bytes(b[c])[0], kind) for c, kind in (("keys", np.int64), ("suffixes", np.uint32)))
+            for a in range(0, len(key), 1 << 16):
+                yield _batch("key long, suffix long", key=key[a : a + (1 << 16)], suffix=suffix[a : a + (1 << 16)].astype(np.int64))
+
+    return _tree(keys, mappers, union).mapInArrow(rows, "key long, suffix long")
 
 
 def _marks(sums: DataFrame, size: int, least: int) -> np.ndarray:
@@ -280,32 +308,40 @@ def _windows(words, phrases, marks: np.ndarray | None, k: int) -> tuple[np.ndarr
     return both, keys, p[both + 1], len(p)
 
 
+_KEYS = "part long, mapper long, keys binary, suffixes binary"
+
+
 def _distinct(size: int, heavy, marks, k: int):
-    """Distinct keys, with the slot of their last part, of windows that may be frequent; of this task."""
-    kind = "key long, suffix long"
+    """Keys, each once, with the slot of their last part, of this task's windows that may be frequent: an array for each range of buckets."""
+
+    def out(held: list, suffix: list):
+        keys, first = np.unique(np.concatenate(held), return_index=True)
+        last = np.concatenate(suffix)[first]
+        part = (_bucket(keys, size) // RANGE).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        parts, at = np.unique(part[order], return_index=True)
+        mine, ends = np.split(keys[order], at[1:]), np.split(last[order], at[1:])
+        yield _batch(_KEYS, part=parts, mapper=[TaskContext.get().partitionId()] * len(parts), keys=[x.tobytes() for x in mine], suffixes=[x.tobytes() for x in ends])
 
     def run(batches):
         held, suffix, waiting = [], [], 0
-
-        def out():
-            keys, first = np.unique(np.concatenate(held), return_index=True)
-            last = np.concatenate(suffix)[first].astype(np.int64)
-            for a in range(0, len(keys), 1 << 16):
-                yield _batch(kind, key=keys[a : a + (1 << 16)].view(np.int64), suffix=last[a : a + (1 << 16)])
-
         for b in _pieces(batches, ROWS):
             _, keys, last, _ = _windows(*_words_and_phrases(b), marks.value, k)
-            good = _bit(heavy.value, (_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
+            good = _bit(heavy.value, _bucket(keys, size))
             held.append(keys[good])
             suffix.append(last[good])
             waiting += len(held[-1])
             if waiting > COUNT_AT:
-                yield from out()
+                yield from out(held, suffix)
                 held, suffix, waiting = [], [], 0
         if waiting:
-            yield from out()
+            yield from out(held, suffix)
 
-    return run, kind
+    return run
+
+
+def _bucket(keys: np.ndarray, size: int) -> np.ndarray:
+    return (_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _buckets(size: int, marks, k: int):
@@ -315,7 +351,7 @@ def _buckets(size: int, marks, k: int):
         held, waiting = [], 0
         for b in _pieces(batches, ROWS):
             _, keys, _, _ = _windows(*_words_and_phrases(b), marks.value, k)
-            held.append((_mix(keys, 97) & np.uint64(size - 1)).astype(np.int64))
+            held.append(_bucket(keys, size))
             waiting += len(keys)
             if waiting >= COUNT_AT:
                 yield from _sparse(_SPARSE, *np.unique(np.concatenate(held), return_counts=True))
@@ -453,8 +489,7 @@ def count_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
     for k in range(2, longest + 1):
         mappers = rows.rdd.getNumPartitions()
         heavy = sc.broadcast(_marks(_tree_sum(rows.mapInArrow(_buckets(size, marks, k), _SPARSE), mappers), size, least))
-        found = rows.mapInArrow(*_distinct(size, heavy, marks, k))
-        candidates = materialize(found.groupBy("key").agg(F.min("suffix").alias("suffix")))
+        candidates = materialize(_tree_union(rows.mapInArrow(_distinct(size, heavy, marks, k), _KEYS), mappers))
         counted, slots, tables = rows.withColumn("q", F.lit(None).cast("binary")), 0, []
         sums = []
         for first, last, hashed, slot, got in _blocks(candidates, ["suffix"], block):

@@ -97,3 +97,32 @@ def test_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontamination", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_rows_are_judged_by_their_own_texts(spark):
+    """A leak under a null doc_id goes; of rows of one doc_id only those whose own text leaks or fails."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    good = " ".join(f"plain{i}" for i in range(80))
+    leak = f"{good} {item}"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `a.b` string"
+    rows = [(None, leak), (None, good), (1, leak), (1, good), (2, item), (2, "one"), (3, good), (3, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, "r", "x") for d, t in rows], kind)
+    left = decontaminate.stage(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, good), (1, good), (2, "one"), (3, good), (3, None)])
+    left = quality_rules.stage(spark, docs, SF)
+    assert left.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    want = Counter(r for r in rows if r[1] not in ("one", None))
+    assert kept == want
+
+
+def test_pages_of_equal_and_null_ids(spark):
+    from tradeloom.llm import html_text
+
+    shared = "this run of eight words is on every page here"
+    page = lambda x: f"<html><body><div>{x}</div><div>{shared}</div></body></html>"
+    rows = [(None, "http://h/1", page("own words here")), (None, "http://h/2", page("other text there")), (5, "http://h/3", page("first of five")), (5, "http://h/3", page("second of five")), (5, "http://h/3", page("second of five")), (9007199254740993, "http://h/4", None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["text"]) for r in html_text.extract(docs).collect())
+    assert got == Counter([(None, "own words here"), (None, "other text there"), (5, "first of five"), (5, "second of five"), (5, "second of five"), (9007199254740993, "")])

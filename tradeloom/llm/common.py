@@ -57,6 +57,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_key(docs: DataFrame, *columns: str) -> list[Column]:
+    """Two 64-bit hashes of a row's values in the columns, null unlike any text: rows of equal values share them, whatever their ids."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name clashes with another."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 class WordHashes:
     """64-bit hashes of the words of texts, by whole arrays of bytes: no step is taken word by word and nothing is remembered.
 

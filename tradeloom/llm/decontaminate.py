@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, table
+from .common import WordHashes, materialize, row_key, table, whole_row
 
 BUCKETS, BLOCK, PASS, OVER = 1 << 16, 512, 8, 16
 #: Longest passage, size and stride of the windows it is searched in.
@@ -374,9 +374,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a leak."""
-    leaks = materialize(find_leaks(docs, table(spark, sf_dir, "benchmark"))).select("doc_id")
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Pipeline stage: documents without a leak. Every row is judged by its own text, whatever its doc_id: null, or that of other rows."""
+    keyed = docs.select(whole_row(docs).alias("row"), row_key(docs, "doc_id", "text")[0].alias("doc_id"))
+    texts = keyed.select("doc_id", "row.text")
+    leaks = materialize(find_leaks(texts, table(spark, sf_dir, "benchmark"))).select("doc_id")
+    return keyed.join(leaks, "doc_id", "left_anti").select("row.*")
 
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}

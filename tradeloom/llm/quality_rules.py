@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, materialize, table, words
+from .common import SPACE, WORD, let, materialize, row_key, table, whole_row, words
 
 ALPHA, DELTA, STEPS = 0.005, 0.05, 50
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -160,13 +160,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, stratum: str = "lang") -> DataFrame:
-    """Pipeline stage: the kept documents, whole. Rows of a null doc_id are judged each by its own text."""
-    s = materialize(_measured(docs, stratum, "doc_id"))
+    """Pipeline stage: the kept documents, whole. Every row is judged by its own text, whatever its doc_id: null, or that of other rows."""
+    a, b = row_key(docs, "doc_id", "text", stratum)
+    s = materialize(_measured(docs, stratum, "doc_id", a.alias("a"), b.alias("b")))
     cut = materialize(cutoffs(s, table(spark, sf_dir, "labels")))
-    kept = s.join(cut, "stratum", "left").where(_kept()).select("doc_id")
-    bare = docs.where("doc_id IS NULL").select(F.struct(*docs.columns).alias("__row"), F.col("text"), F.col(stratum).alias("__stratum"))
-    bare = _measured(bare, "__stratum", "__row").join(cut, "stratum", "left").where(_kept()).select("__row.*")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(bare)
+    kept = s.join(cut, "stratum", "left").where(_kept()).select("a", "b")
+    return docs.select(whole_row(docs).alias("row"), a.alias("a"), b.alias("b")).join(kept, ["a", "b"], "left_semi").select("row.*")
 
 
 def sql(docs: str = "documents") -> str:

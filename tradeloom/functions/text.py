@@ -98,34 +98,6 @@ def first_where(items: Column, test) -> Column:
     return F.get(F.filter(items, test), F.lit(0))
 
 
-def value_after(ls: Column, label: str, value: str = r".+", reject: str | None = None, ahead: int = 8) -> Column:
-    """Label look-ahead: the value on the label's line after it, else the first of the next lines that has one.
-
-    ls: array of lines. Labels are tried from the top; a line counts as a value
-    if it has the pattern, is no label itself and isn't rejected.
-    """
-    label_, value_ = f"(?i)(?:{label})", f"(?i)({value})"
-    good = lambda x: x.rlike(value_) & ~x.rlike(label_) & (~x.rlike(f"(?i){reject}") if reject else F.lit(True)) & (strip(x) != "")
-
-    def at(i: Column) -> Column:
-        line = F.get(ls, i)
-        rest = F.regexp_replace(strip(F.regexp_replace(line, f"^.*?{label_}", "")), r"^[\s:.\-]+", "")
-        inline = F.when(line.rlike(label_) & good(rest), F.regexp_extract(rest, value_, 1))
-        below = first_where(F.slice(ls, i + 2, F.lit(ahead)), good)
-        return F.coalesce(inline, F.regexp_extract(below, value_, 1))
-
-    where = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0))), lambda i: F.coalesce(F.get(ls, i).rlike(label_), F.lit(False)))
-    return strip(first_where(F.transform(where, at), lambda v: v.isNotNull()))
-
-
-def line_before(ls: Column, mark: str, test=None, back: int = 7) -> Column:
-    """Backward window: the nearest line above the first one that has the mark, within `back`, that passes."""
-    i = F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0))), lambda k: F.coalesce(F.get(ls, k).rlike(mark), F.lit(False))), F.lit(0))
-    start = F.greatest(i - back, F.lit(0))
-    above = F.reverse(F.slice(ls, start + 1, i - start))
-    return F.when(i > 0, first_where(above, test or (lambda x: x != "")))
-
-
 def section(ls: Column, head: str, end: str, most: int = 40) -> Column:
     """Lines below the heading, up to the end mark or `most` lines; null without a heading."""
     i = F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0))), lambda k: F.coalesce(F.get(ls, k).rlike(head), F.lit(False))), F.lit(0))

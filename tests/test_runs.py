@@ -159,6 +159,22 @@ def test_stages_and_command_line(spark, inputs, done, tmp_path, capsys):
     assert not told["success"] and told["stages_completed"] == [] and "no PDF for flow" in told["errors"][0]
 
 
+def test_model_engine(spark, done, tmp_path, monkeypatch):
+    """The second stage by a model: its own engine names, no client is an error, a bad answer falls back on the rules where that is wanted."""
+    _, result = done
+    params = {"in_dir": result.output_files["stage_01"], "out_dir": str(tmp_path / "two"), "engine": "codex"}
+    with pytest.raises(ValueError, match="needs `client`"):
+        runs.run_stage(spark, 2, params)
+    with pytest.raises(ValueError, match="unknown engine"):
+        runs.run_stage(spark, 2, params | {"engine": "other"})
+    monkeypatch.setenv("TRADELOOM_FALLBACK_TO_RULES", "yes")
+    assert runs.run_stage(spark, 2, params | {"client": lambda prompt: "nothing"}) == {"processed_count": 7, "warnings": []}
+    docs, fields = S.read_stage02(spark, str(tmp_path / "two"))
+    first, _ = S.read_stage02(spark, result.output_files["stage_02"])
+    plain = lambda df: sorted(map(repr, df.select("run_id", "doc_id", "doc_kind", "missing").collect()))
+    assert plain(docs) == plain(first) and fields.where("field = 'invoice_number' and present").count() > 0
+
+
 def test_nested_containers(spark):
     """Numbers of containers at any depth: under their key, in values of objects and lists, in texts."""
     deep = {"a": [{"b": {"container_number": " temu1680211 ", "other": "MSKU0000001"}}, ["x MSCU1234567, y", 5, None]], "c": "no", "d": {"e": {"f": ["hlcu7654321"]}}}

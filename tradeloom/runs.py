@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .operators import checks as K
 from .operators import flow as FL
+from .operators import model as M
 from .operators import run_report as RR
 from .operators.normalise import normalise
 from .sources import pages as P
@@ -76,14 +77,23 @@ def stage_01(spark: SparkSession, flow: str, in_dir: str, out_dir: str, read: Ca
     return {"processed_count": n, "warnings": [] if n else [f"No PDF files found in: {in_dir}"]}
 
 
-def stage_02(spark: SparkSession, flow: str, in_dir: str, out_dir: str) -> dict:
-    """Pages to fields by rules."""
-    docs = S.documents_for_fields(S.read_stage01(spark, in_dir))
-    wide = written(FL.extract_wide(docs, flow))
-    n = wide.count()
+def stage_02(spark: SparkSession, flow: str, in_dir: str, out_dir: str, engine: str | None = None, client: Callable | str | None = None) -> dict:
+    """Pages to fields, by rules or by a model behind `client`, a function of a prompt or its name; the engine is a parameter or the environment's."""
+    stage01 = S.read_stage01(spark, in_dir)
+    docs = S.documents_for_fields(stage01)
+    if FL.resolve_engine(engine) == "llm":
+        client = _plug_in(client) if isinstance(client, str) else client
+        if client is None:
+            raise ValueError("the model engine needs `client`, a function of a prompt that gives the answer")
+        out, fields = M.extract_with_model(written(docs), flow, client, FL.falls_back())
+    else:
+        wide = written(FL.extract_wide(docs, flow))
+        out, fields = wide.drop("fields"), FL.long_fields(wide)
+    n = out.count()
     if not n:
         return {"processed_count": 0, "warnings": [f"No *_extracted.json files found in: {in_dir}"]}
-    S.write_stage02(wide.drop("fields"), FL.long_fields(wide), out_dir, flow, _now())
+    hints = stage01.select("run_id", F.col("stage01_file").alias("doc_id"), "doc_kind_hint")
+    S.write_stage02(out.join(hints, ["run_id", "doc_id"], "left"), fields, out_dir, flow, _now())
     return {"processed_count": n, "warnings": []}
 
 
@@ -150,7 +160,7 @@ def run_stage(spark: SparkSession, number: int | str, params: dict) -> dict:
     return function(spark, flow, **{k: v for k, v in params.items() if k != "flow"})
 
 
-def run_flow(spark: SparkSession, input_dir: str, output_dir: str, flow: str = "importation", **stage_01_params) -> Result:
+def run_flow(spark: SparkSession, input_dir: str, output_dir: str, flow: str = "importation", engine: str | None = None, client: Callable | str | None = None, **stage_01_params) -> Result:
     """All stages. A stage that fails ends the flow; only the debug report's failure is a warning."""
     flow = FL.normalize_flow(flow)
     out = Result(success=True, flow=flow)
@@ -158,7 +168,7 @@ def run_flow(spark: SparkSession, input_dir: str, output_dir: str, flow: str = "
     try:
         source = S.resolve_input(spark, input_dir, flow)
         params = {
-            1: {"in_dir": source, "out_dir": where[1], **stage_01_params}, 2: {"in_dir": where[1], "out_dir": where[2]}, 3: {"in_dir": where[2], "out_dir": where[3]},
+            1: {"in_dir": source, "out_dir": where[1], **stage_01_params}, 2: {"in_dir": where[1], "out_dir": where[2], "engine": engine, "client": client}, 3: {"in_dir": where[2], "out_dir": where[3]},
             4: {"stage01_dir": where[1], "stage02_dir": where[2], "stage03_file": where[3], "out_dir": where[4]}, 5: {"stage02_dir": where[2], "stage03_file": where[3], "out_dir": where[5]},
         }
         for n, name in STAGES.items():
@@ -214,6 +224,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--param", action="append", default=[], help="key=value of a single stage")
     parser.add_argument("--read", help="module:function that gives the texts of a PDF's pages")
     parser.add_argument("--ocr", help="module:function that reads a page by OCR")
+    parser.add_argument("--engine", choices=sorted(FL.ENGINES), help="rules (regex) or a model (llm) for the fields")
+    parser.add_argument("--client", help="module:function that answers a prompt")
     parser.add_argument("--ocr-lang", default="eng+por")
     parser.add_argument("--ocr-dpi", type=int, default=300)
     parser.add_argument("--min-chars", type=int, default=80)
@@ -222,13 +234,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tradeloom").getOrCreate()
     if args.stage:
         params = dict(p.partition("=")[::2] for p in args.param)
+        if args.engine:
+            params |= {"engine": args.engine, "client": args.client}
         if args.read:
             params |= {"read": args.read, "ocr": args.ocr, "min_chars": args.min_chars, "ocr_lang": args.ocr_lang, "ocr_dpi": args.ocr_dpi}
         print(json.dumps(run_stage(spark, args.stage, {"flow": args.flow, **params})))
         return 0
     if not (args.input and args.output):
         parser.error("--input and --output are needed")
-    result = run_flow(spark, args.input, args.output, args.flow, read=args.read, ocr=args.ocr, min_chars=args.min_chars, ocr_lang=args.ocr_lang, ocr_dpi=args.ocr_dpi)
+    result = run_flow(spark, args.input, args.output, args.flow, engine=args.engine, client=args.client, read=args.read, ocr=args.ocr, min_chars=args.min_chars, ocr_lang=args.ocr_lang, ocr_dpi=args.ocr_dpi)
     if args.json:
         print(json.dumps(asdict(result), indent=2))
     else:

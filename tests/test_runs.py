@@ -114,6 +114,30 @@ def test_numbers_stay_numbers(spark, tmp_path):
     assert got == {f: (s, n, v) for f, s, n, v in rows}
 
 
+def test_files_of_other_writers(spark):
+    """Fields at the top of a document, evidence as snippets, files that are no JSON."""
+    one = {"source": {"stage01_file": "a", "doc_kind": "invoice"}, "invoice_number": {"value": "I-1", "locations": [{"snippet": "INVOICE I-1"}, {"page": 1}]}, "ncm": {"value": "1"}, "other": 5, "fields": {"ncm": {"value": "8703", "present": True, "evidence": ["NCM 8703"], "locations": [{"snippet": "no"}]}}}
+    files = spark.createDataFrame([("1/a_fields.json", json.dumps(one)), ("1/b_fields.json", "broken"), ("1/c_fields.json", "[1]")], "name string, content string")
+    docs, fields = S.parse_stage02(files)
+    assert docs.count() == 1
+    got = {r["field"]: (r["value_str"], r["evidence"]) for r in fields.collect()}
+    assert got == {"invoice_number": ("I-1", ["INVOICE I-1"]), "ncm": ("8703", ["NCM 8703"])}
+
+
+def test_export_reports(spark):
+    """An export report has its own kinds and labels; a text that says nothing is not there."""
+    docs = spark.createDataFrame([(1, "d", "D.pdf", "draft_bl", "BILL OF LADING\nWOODEN PACKAGE: -\nDUE: .\nRUC BR1")], "run_id long, doc_id string, original_file string, hint string, text string")
+    wide = FL.extract_wide(docs, "exportation")
+    fields = FL.long_fields(wide)
+    out = FL.compare(wide.drop("fields"), fields, "exportation")
+    rows = RR.flow_rows(out["pairs"], out["groups"], out["rules"], "exportation")
+    r = RR.run_reports(wide.drop("fields"), fields, rows, flow="exportation")
+    md = r.select(RR.as_markdown("exportation", "now")).collect()[0][0]
+    assert "| DRAFT BL | 1 | OK |" in md and "| COMMERCIAL INVOICE | 0 | MISSING |" in md and "DRAFT BL (D.pdf)" in md
+    there = {f["field"]: (f["required"], f["present"]) for f in fields.collect()}
+    assert there["due"] == (False, False) and there["ruc"] == (True, True)
+
+
 def test_names_that_meet(spark, tmp_path):
     """Two documents of one name: the last is kept and the summary tells of the other."""
     kind = "run_id long, doc_id string, original_file string, doc_kind string, missing array<string>, warnings array<string>"

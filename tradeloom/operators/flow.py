@@ -85,7 +85,9 @@ def _long(x: DataFrame, flow: str, kind: str) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def full(v: Column) -> Column:
-        present = F.coalesce(F.btrim(v["value_str"]) != "", F.lit(False)) | v["value_num"].isNotNull() | F.coalesce(F.size(v["value_list"]) > 0, F.lit(False))
+        # An export text that says nothing - a dash, N/A - is not there.
+        says = X.clean_token(v["value_str"]).isNotNull() if flow == "exportation" else F.coalesce(F.btrim(v["value_str"]) != "", F.lit(False))
+        present = says | v["value_num"].isNotNull() | F.coalesce(F.size(v["value_list"]) > 0, F.lit(False))
         evidence = F.when(present & v["token"].isNotNull(), truncate_evidence(evidence_lines(F.col("lines"), v["token"])))
         return F.struct(v["field"].alias("field"), v["required"].alias("required"), present.alias("present"), v["value_str"].alias("value_str"), v["value_num"].alias("value_num"), v["value_list"].alias("value_list"), F.coalesce(evidence, none).alias("evidence"), F.lit("regex").alias("method"))
 

@@ -1,5 +1,7 @@
 """Every query of the comparison, text and report operators against its oracle, on the smallest tables."""
 
+import functools
+
 import pytest
 from oracle import DATA, expected, rows
 
@@ -8,6 +10,10 @@ from tradeloom.plans import compare_queries, flow_queries, report_queries, resul
 ALL = {n: (q, m.ORACLES[n]) for m in (compare_queries, text_queries, report_queries, flow_queries, result_queries) for n, q in m.QUERIES.items()}
 
 
+# What several of these queries begin with is written once here, not once for each.
+result_queries._written = functools.cache(result_queries._written)
+
+
 @pytest.mark.parametrize("name", ALL)
 def test_oracle(spark, name):
     query, sql = ALL[name]

@@ -15,6 +15,7 @@ from tradeloom.operators import flow as FL
 from tradeloom.operators import run_report as RR
 from tradeloom.sources import stages as S
 from tradeloom.sources.files import read_files, write_files
+from tradeloom.sources.tables import written
 
 HERE = Path(__file__).parent
 
@@ -127,11 +128,11 @@ def test_files_of_other_writers(spark):
 def test_export_reports(spark):
     """An export report has its own kinds and labels; a text that says nothing is not there."""
     docs = spark.createDataFrame([(1, "d", "D.pdf", "draft_bl", "BILL OF LADING\nWOODEN PACKAGE: -\nDUE: .\nRUC BR1")], "run_id long, doc_id string, original_file string, hint string, text string")
-    wide = FL.extract_wide(docs, "exportation")
+    wide = written(FL.extract_wide(docs, "exportation"))
     fields = FL.long_fields(wide)
     out = FL.compare(wide.drop("fields"), fields, "exportation")
-    rows = RR.flow_rows(out["pairs"], out["groups"], out["rules"], "exportation")
-    r = RR.run_reports(wide.drop("fields"), fields, rows, flow="exportation")
+    rows = written(RR.flow_rows(out["pairs"], out["groups"], out["rules"], "exportation"))
+    r = written(RR.run_reports(wide.drop("fields"), fields, rows, flow="exportation"))
     md = r.select(RR.as_markdown("exportation", "now")).collect()[0][0]
     assert "| DRAFT BL | 1 | OK |" in md and "| COMMERCIAL INVOICE | 0 | MISSING |" in md and "DRAFT BL (D.pdf)" in md
     there = {f["field"]: (f["required"], f["present"]) for f in fields.collect()}

@@ -108,6 +108,16 @@ def test_forest_of_a_chain(spark):
     assert got == {x: min(y for y in ids if place[y] // 20 == place[x] // 20) for x in ids}
 
 
+def test_forest_of_members_that_different_pivots_reach(spark):
+    """Chains whose links join members that are linked with one pivot each, of pivots that are not linked."""
+    chains = {key: [key * 100 + i for i in range(7)] for key in range(40)}
+    members = spark.createDataFrame([(key, i, 1, i) for key, ids in chains.items() for i in ids], "key long, id long, weight long, at long")
+    links = lambda at, rows, columns: np.abs(np.array(at)[rows][:, None] - np.array(at)[columns][None, :]) <= 1
+    edges = near_dedup.forest(members, "at", links, 2, 2)
+    got = {r["id"]: r["component"] for r in components(edges).collect()}
+    assert got == {i: ids[0] for ids in chains.values() for i in ids}
+
+
 def test_near_same_id_and_null_id(spark):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     rows = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (None, a), (None, c), (9, c)], "doc_id long, text string")

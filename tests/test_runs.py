@@ -214,3 +214,13 @@ def test_caps_are_of_each_run(spark, sf):
     rows = Q.check_rows(spark, f"{DATA}/{sf}").withColumnRenamed("k", "run_id")
     got = RR.listed(rows, {"divergent": 1}).where("list = 'divergent'").groupBy("run_id").count()
     assert got.where("count > 1").isEmpty() and got.count() == rows.where("list = 'divergent'").select("run_id").distinct().count()
+
+
+def test_checks_deal_documents_once(spark):
+    """Line items by their order and shipments by run are all that checks of whole tables shuffle: neither maps of fields nor pairs."""
+    import __spark_entry__
+
+    for name in ("checks_import", "checks_export", "checks_licence", "top_divergent", "document_status", "overall_status"):
+        plan = __spark_entry__.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        dealt = set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan))
+        assert dealt <= {"k", "l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "sk", "s_suppkey", "doc_kind"}, (name, dealt)

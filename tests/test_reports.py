@@ -6,6 +6,7 @@ import re
 import pytest
 from oracle import DATA
 
+from tradeloom.operators import checks as K
 from tradeloom.operators import run_report as RR
 
 
@@ -39,3 +40,12 @@ def test_maps_and_long_fields_agree(spark):
     assert (got[1]["overall"]["status"], got[1]["overall"]["reasons"]) == ("FAIL", ["missing_required_fields=1", "divergences=2", "warnings=1"])
     assert (len(got[1]["lists"]["matches"]), got[1]["counts"]["matches"], got[2]["summary"], got[3]["documents"]) == (RR.JSON_MATCHES, 201, None, None)
     assert [(d["stage01_file"], d["status"], d["missing_required_fields"], d["fields_total"]) for d in got[1]["documents"]] == [("b", "FAIL", ["ncm"], 1), ("a", "ALERT", [], 2), ("c", "OK", [], 0)]
+
+
+def test_values_are_made_once(spark):
+    """A value is looked for once for a row and side: a plan that is executed holds each search of a map's keys once."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["summary_import"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"transform\(a_keys", plan)) == 1 and len(re.findall(r"transform\(b_keys", plan)) == 1
+    assert K.SPECS["importation"] is K.IMPORT_SPECS

@@ -49,3 +49,26 @@ def test_values_are_made_once(spark):
     plan = __spark_entry__.queries()["summary_import"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"transform\(a_keys", plan)) == 1 and len(re.findall(r"transform\(b_keys", plan)) == 1
     assert K.SPECS["importation"] is K.IMPORT_SPECS
+
+
+def test_results_are_read_from_variant_once(spark):
+    """Odd results of every layout, and plans that take each field from VARIANT once and not for every use of it."""
+    from tradeloom.operators.normalise import normalise
+
+    rows = [
+        (1, '{"comparisons": [{"field": "", "check": 7, "status": "match", "evidence": {"a": ["x", "y", "z"]}}, 3, null], "groups": {}, "rule_checks": [{"rule": "r", "field": "", "rule_check": "f", "status": "PASS", "invoice_incoterm": "FOB"}], "summary": {"matches": null, "total_checks": "4"}}'),
+        (2, '{"pairs": [], "pair_checks": [{"campo": {"b": 1, "a": 2}, "status": "ok", "evidence": 1, "evidence_a": "e"}], "groups": [{"group": "g", "items": [{"doc": "", "doc_kind": "bl"}, 5]}], "summary": {"pairs": 3}}'),
+        (3, "[1]"), (4, None), (5, "{}"), (6, '{"summary": {"pairs": {"total": 2.0, "matches": "1"}}}'),
+    ]
+    got, counts = normalise(spark.createDataFrame(rows, "run_id long, result string"))
+    columns = ("run_id", "ord", "bucket", "field", "status", "a_value", "evidence_a", "list")
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == [
+        (1, 0, "pair", "7", "match", None, "x\ny", "matches"), (1, 1, "pair", None, None, None, "", None), (1, 2, "pair", None, None, None, "", None), (1, 3, "rule", "f", "PASS", "FOB", "", "matches"),
+        (2, 0, "pair", '{"a":2,"b":1}', "ok", None, "e", None), (2, 1, "group", "g", None, "bl: None; doc: None", "", None),
+    ]
+    assert sorted(map(tuple, counts.collect())) == [
+        (1, "legacy", 4, 0, 0, 0), (2, "new, counted", 2, 0, 0, 0), (3, "broken", 0, 0, 0, 0), (4, "broken", 0, 0, 0, 0), (5, "new, counted", 0, 0, 0, 0), (6, "new", 2, 1, 0, 0),
+    ]
+    for df, most in ((got, 2), (counts, 6)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("variant_get(") <= most and "schema_of_variant" not in plan and plan.count("parseJson") == 1

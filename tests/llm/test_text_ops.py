@@ -239,6 +239,47 @@ def test_runs_of_a_large_host(spark):
     assert all(len(got[n]) == 5 for n, (h, _) in enumerate(keys) if h != "other") and got[len(keys)] == pages["big", 0]
 
 
+def test_pages_of_a_host_are_all_in_its_array(spark):
+    """Marked pages show what an unmarked page shares with its host, and a copy of a page loses nothing."""
+    shared = "nine words that stand on every page of here"
+    rows = [
+        (1, "http://h/1", f"<body><article>kept {shared} a</article><div>left out {shared} of one</div></body>"),
+        (2, "http://h/2", f"<body><div>own of two {shared} end</div></body>"),
+        (3, "http://i/3", f"<body><p>an article {shared} that was published twice</p></body>"),
+        (4, "http://i/4", f"<body><p>an article {shared} that was published twice</p></body>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"kept {shared} a" and got[2] == "own of two end"
+    assert got[3] == got[4] == f"an article {shared} that was published twice"
+
+
+def test_suffix_array_across_partitions(spark):
+    """Sorted suffixes dealt anyhow to partitions and batches, and by Spark, give what brute force gives."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(4)
+    for _ in range(150):
+        rows = sorted((h, s, p, n) for n, (h, s, p) in enumerate((r.choice("ab"), r.choice("uvwxyz"), r.choice([1, 1, 1, 2, 3])) for _ in range(r.randrange(1, 40))))
+        every = pd.DataFrame([(h, s, p, n, 7) for h, s, p, n in rows], columns=["host", "head", "page", "row", "i"])
+        cuts = sorted({0, len(every), *(r.randrange(len(every) + 1) for _ in range(r.randrange(12)))})
+        parts = [[every[a : min(a + 3, hi)] for a in range(lo, hi, 3)] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        # What a partition says of a group that it can't settle is held against the others, as shared_starts does.
+        said = pd.concat([pd.concat(list(html_text._neighbours(iter(p)))) for p in parts])
+        sure, late = said[said["host"].isna()], said[said["host"].notna()]
+        across = late.groupby(["host", "head"]).agg(lo=("lo", "min"), hi=("hi", "max"))
+        across = set(across[across["lo"] < across["hi"]].index)
+        got = sorted([*sure["row"], *[x.row for x in late.itertuples() if x.row is not None and (x.host, x.head) in across]])
+        assert got == sorted(n for h, s, p, n in rows if len({q for g, t, q, _ in rows if (g, t) == (h, s)}) > 1)
+    pages = [[r.choice("abc") for _ in range(r.randrange(30))] for _ in range(40)]
+    tokens = spark.createDataFrame([("h", n, n, w) for n, w in enumerate(pages)], "host string, row long, page long, w array<string>")
+    covered = {n: set() for n in range(len(pages))}
+    for x in html_text.shared_starts(tokens, 4).collect():
+        covered[x["row"]] |= set(range(x["i"], x["i"] + 4))
+    assert [[t for i, t in enumerate(w) if i not in covered[n]] for n, w in enumerate(pages)] == html_text.unique_runs(pages, 4)
+
+
 def test_unique_runs_brute_force():
     pages = [list("xxabcdefghyy"), list("abcdefghij"), list("cdefghijk"), list("zzzzzzzzzzzz"), []]
     got = html_text.unique_runs(pages, 4)
